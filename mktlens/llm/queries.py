@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, packing, secrets
 
 QUERIES = {
+    "op3_secret_scans": secrets.op3_secret_scans,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
