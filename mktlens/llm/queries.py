@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, secrets
+from . import bpe, exact_dedup, language_id, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 ORACLE_SQL = {
