@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, packing, quality, secrets, toxicity
+from . import bpe, exact_dedup, language_id, neighbours, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
+    "op10_nearest_neighbours": neighbours.op10_nearest_neighbours,
 }
 
 ORACLE_SQL = {
