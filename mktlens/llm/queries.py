@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, neighbours, packing, quality, secrets, toxicity
+from . import bpe, exact_dedup, language_id, neighbours, packing, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
