@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, neighbours, packing, quality, secrets, substring_dedup, toxicity
+from . import bpe, exact_dedup, language_id, near_dedup, neighbours, packing, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_nearest_neighbours": neighbours.op10_nearest_neighbours,
