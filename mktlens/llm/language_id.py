@@ -122,6 +122,27 @@ def fit(rows: DataFrame) -> Model:
     return Model(langs, code, weights.astype(np.float32), sure / np.maximum(sure.sum(1, keepdims=True), 1e-9))
 
 
+def predict(batch: pa.RecordBatch, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is ambiguous, of each row of a batch with a column text."""
+    code, n = model.code.astype(np.float64), len(model.langs)
+    data, ends = text_bytes(batch.column("text"))
+    grams, size = trigrams(data, ends), np.diff(ends)
+    known = np.array([n > 0 and has_letter(text) for text in batch.column("text").to_pylist()], dtype=bool)
+    if not n:
+        return [UNDETERMINED] * len(size), np.zeros(len(size)), known
+    margin = np.zeros((len(size), code.shape[1]))
+    full = np.flatnonzero(size)
+    for k, w in enumerate(model.weights):
+        if len(full):
+            margin[full, k] = np.add.reduceat(w[grams], ends[:-1][full]) / np.maximum(size[full] - 2, 1)
+    loss = (np.log1p(np.exp(-STEEP * margin[:, None, :] * code[None])) * model.trust[None]).sum(2)
+    order = np.sort(loss, axis=1)
+    score = np.exp(-SHARP * order[:, 0]) / np.exp(-SHARP * loss).sum(1)
+    apart = order[:, 1] - order[:, 0] if n > 1 else np.full(len(size), np.inf)
+    langs = [model.langs[best] if k else UNDETERMINED for best, k in zip(loss.argmin(1).tolist(), known.tolist(), strict=True)]
+    return langs, np.where(known, score, 0.0), known & (apart < LEAST_MARGIN)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), ambiguous of every row's whole text.
 
@@ -131,33 +152,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, n = model.code.astype(np.float64), len(model.langs)
         for batch in steps(batches):
-            data, ends = text_bytes(batch.column("text"))
-            grams, size = trigrams(data, ends), np.diff(ends)
-            margin = np.zeros((len(size), code.shape[1]))
-            full = np.flatnonzero(size)
-            for k, w in enumerate(model.weights):
-                if len(full):
-                    margin[full, k] = np.add.reduceat(w[grams], ends[:-1][full]) / np.maximum(size[full] - 2, 1)
-            loss = (np.log1p(np.exp(-STEEP * margin[:, None, :] * code[None])) * model.trust[None]).sum(2)
-            known = np.array([n > 0 and has_letter(text) for text in batch.column("text").to_pylist()], dtype=bool)
-            if n:
-                order = np.sort(loss, axis=1)
-                best = loss.argmin(1)
-                score = np.exp(-SHARP * order[:, 0]) / np.exp(-SHARP * loss).sum(1)
-                apart = order[:, 1] - order[:, 0] if n > 1 else np.full(len(size), np.inf)
-            else:
-                best, score, apart = np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size))
-            langs = [model.langs[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(known & (apart < LEAST_MARGIN))],
-                names=["doc_id", "lang_pred", "score", "ambiguous"],
-            )
+            langs, score, ambiguous = predict(batch, model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array(ambiguous)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def only_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all columns, whose language can be told (lang_pred is not `und`); no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            langs, _, _ = predict(batch, model)
+            yield batch.filter(pa.array([lang != UNDETERMINED for lang in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned(docs: DataFrame) -> Model:
     """The model of the rows of documents that may be learned from: 3 of 4 ids, with text and lang."""
     return fit(docs.where((fold(4) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, exact_dedup, language_id, near_dedup, neighbours, packing, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_secret_scans": secrets.op3_secret_scans,
