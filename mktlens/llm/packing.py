@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import Encoder, byte_symbols, vocabulary_text
+from .bpe import Encoder, byte_symbols, kept, vocabulary_text
 from .common import cut, documents, steps
 
 CAPACITY, END_ID = 4096, 1
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = library_encoder(vocabulary), np.array([end_id], dtype="<i4").tobytes()
+        encoder, end = kept(library_encoder, vocabulary), np.array([end_id], dtype="<i4").tobytes()
         for batch in steps(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import cut, documents, gram_hashes, mix, steps, text_bytes, word_hashes, word_spans
 
 WINDOW, RUN = 20, 6
-_SEEN = "key long, doc_id long, at int, known boolean, value long"
 
 
 class Words:
@@ -56,11 +55,8 @@ class Words:
         return np.searchsorted(self.first, words, side="right") - 1
 
 
-def _seen(key, doc_id, at, known, value) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(doc_id.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(known), pa.array(value.view(np.int64))],
-        names=["key", "doc_id", "at", "known", "value"],
-    )
+def _rows(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def _spread(value: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -93,13 +89,15 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
             twice = np.searchsorted(runs, anchors[change], side="right") - np.searchsorted(runs, anchors[change]) > 1
             often = np.repeat(twice, np.diff(np.append(change, len(anchors))))
             # one row for each anchor, and one under a spread key for each document of an anchor that repeats here
-            yield _seen(anchors[change], doc_id[change], np.where(twice, 2, 1), np.zeros(len(change), bool), anchors[change])
-            yield _seen(_spread(anchors[often], doc_id[often]), doc_id[often], np.full(often.sum(), 2), np.ones(often.sum(), bool), anchors[often])
+            none = pa.nulls(len(change), pa.int64())
+            yield _rows(key=anchors[change].view(np.int64), doc_id=doc_id[change], n=np.where(twice, 2, 1).astype(np.int32), known=none)
+            anchors, doc_id = anchors[often], doc_id[often]
+            yield _rows(key=_spread(anchors, doc_id).view(np.int64), doc_id=doc_id, n=np.full(len(anchors), 2, np.int32), known=anchors.view(np.int64))
 
-    seen = docs.mapInArrow(run, _SEEN)
-    total = F.sum("at").over(Window.partitionBy("key"))
-    often = seen.withColumn("total", total).where(F.col("known") | (F.col("total") > 1))
-    return often.groupBy("doc_id").agg(F.collect_set("value").alias("anchors"))
+    seen = docs.mapInArrow(run, "key long, doc_id long, n int, known long")
+    total = F.sum("n").over(Window.partitionBy("key"))
+    often = seen.withColumn("total", total).where(F.col("known").isNotNull() | (F.col("total") > 1))
+    return cut(often.groupBy("doc_id").agg(F.collect_set(F.coalesce("known", "key")).alias("anchors")))
 
 
 def later_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -126,13 +124,15 @@ def later_windows(docs: DataFrame, window: int) -> DataFrame:
             # a document repeated with its id is no earlier one
             group = np.flatnonzero(first)[np.cumsum(first) - 1]
             late = (doc_id != doc_id[group]) | (start != start[group])
-            yield _seen(hashes[first], doc_id[first], start[first], np.zeros(first.sum(), bool), hashes[first])
-            yield _seen(_spread(hashes[late], doc_id[late] + start[late]), doc_id[late], start[late], np.ones(late.sum(), bool), hashes[late])
+            yield _rows(key=hashes[first].view(np.int64), doc_id=doc_id[first], at=start[first].astype(np.int32))
+            hashes, doc_id, start = hashes[late], doc_id[late], start[late]
+            # below 0: known to start earlier elsewhere
+            yield _rows(key=_spread(hashes, doc_id + start).view(np.int64), doc_id=doc_id, at=(-1 - start).astype(np.int32))
 
-    seen = docs.mapInArrow(run, _SEEN)
+    seen = docs.mapInArrow(run, "key long, doc_id long, at int")
     earliest = F.min(F.struct("doc_id", "at")).over(Window.partitionBy("key"))
-    later = seen.withColumn("earliest", earliest).where(F.col("known") | (F.struct("doc_id", "at") != F.col("earliest")))
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    later = seen.withColumn("earliest", earliest).where((F.col("at") < 0) | (F.struct("doc_id", "at") != F.col("earliest")))
+    return later.groupBy("doc_id").agg(F.collect_set(F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))).alias("starts"))
 
 
 def _pair(value: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -155,8 +155,9 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     with a probability of n / 2**64 each, n being the number of windows of repeated anchors.
     """
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    held = cut(docs.join(repeated_anchors(docs, window), "doc_id"))
-    return held.select("doc_id", "text").join(later_windows(held, window), "doc_id")
+    # both joins are on doc_id, so the texts are dealt out once and the second join meets them in place
+    held = docs.join(repeated_anchors(docs, window), "doc_id")
+    return held.join(later_windows(held, window), "doc_id").select("doc_id", "text", "starts")
 
 
 def without(text: str, starts: np.ndarray, window: int) -> tuple[str, int]:
