@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import registry, research, flow, live, market  # noqa: F401, I001
+from . import registry, research, flow, live, market, streams  # noqa: F401, I001
 
 
 def queries():

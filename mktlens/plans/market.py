@@ -379,10 +379,10 @@ def a42(spark, d):
     + f""", a AS (SELECT *, min(price) OVER (PARTITION BY snapshot_id) AS best, price * size AS usd FROM levels WHERE NOT is_bid),
 c AS (SELECT *, sum(usd) OVER (PARTITION BY snapshot_id ORDER BY price ROWS UNBOUNDED PRECEDING) - usd AS before FROM a WHERE price <= best * 1.05),
 t AS (SELECT *, greatest(0, least(usd, 5000 - before)) AS taken FROM c)
-SELECT snapshot_id, {r6({"filled": "sum(taken)", "shares": "sum(taken / price)", "avg_price": "round(sum(taken) / sum(taken / price), 4)", "slippage_bps": "(sum(taken) / sum(taken / price) - best) / best * 10000"})}, sum(taken) >= 2500 AS enough FROM t GROUP BY snapshot_id, best""",
+SELECT snapshot_id, {r6({"filled": "sum(taken)", "shares": "sum(taken / price)", "avg_cents": "sum(taken) / sum(taken / price) * 100", "slippage_bps": "(sum(taken) / sum(taken / price) - best) / best * 10000"})}, sum(taken) >= 2500 AS enough FROM t GROUP BY snapshot_id, best""",
 )
 def w23(spark, d):
-    return P.walk_depth(V.book_levels(spark, d)).withColumn("avg_price", F.round("avg_price", 4))
+    return P.walk_depth(V.book_levels(spark, d)).withColumn("avg_cents", F.col("avg_price") * 100).drop("avg_price")
 
 
 @query("f29_labels", M + "SELECT condition_id, trim(split_part(question || ': rest', ':', 1)) AS title, 'https://example.org/event/' || coalesce(nullif(category, 'view'), condition_id) AS url FROM markets")
