@@ -15,7 +15,9 @@ def col(x: Column | str | float | int) -> Column:
 
 
 def clamp(x, low=0.0, high=1.0) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), col(x)))
+    """x within [low, high]; null stays null (least and greatest alone would skip it)."""
+    x = col(x)
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
 def sigmoid(x) -> Column:
@@ -85,7 +87,7 @@ def seconds_to_close(now, close) -> Column:
 
 def time_ramp(hours) -> Column:
     """Weight that rises to 3 towards the close (never over 5); 1 if the close is unknown."""
-    return F.coalesce(F.least(F.lit(5.0), 1 + 2 * F.exp(-0.1 * col(hours))), F.lit(1.0))
+    return F.when(col(hours).isNull(), 1.0).otherwise(F.least(F.lit(5.0), 1 + 2 * F.exp(-0.1 * col(hours))))
 
 
 def time_bucket(minutes) -> Column:

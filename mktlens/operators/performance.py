@@ -12,7 +12,10 @@ from ..params import EventFilter, Grid
 from .events import contrarian_flag, filter_events
 from .statistics import auc, benjamini_hochberg, bootstrap_mean, information_ratio, point_biserial
 
-WON = F.col("outcome_won")
+
+def won() -> Column:
+    """Whether the event's outcome won; null while unresolved."""
+    return F.col("outcome_won")
 
 
 def _sum_if(c: Column, x: Column) -> Column:
@@ -22,15 +25,15 @@ def _sum_if(c: Column, x: Column) -> Column:
 def metric_sums() -> list[Column]:
     """Sums over resolved events that all metrics are made of; they combine map-side."""
     return [
-        F.count(WON).alias("n"),
-        F.count_if(WON).alias("wins"),
-        _sum_if(WON.isNotNull(), F.col("notional")).alias("total_notional"),
-        _sum_if(WON, F.col("notional") * (1 - F.col("price"))).alias("win_pnl"),
-        _sum_if(~WON, -F.col("notional") * F.col("price")).alias("loss_pnl"),
-        _sum_if(WON.isNotNull(), F.col("price")).alias("price_sum"),
-        _sum_if(WON.isNotNull(), F.col("price") * F.col("notional")).alias("price_notional"),
-        F.avg(F.when(WON, 1 - F.col("price")).when(~WON, -F.col("price"))).alias("mean_return"),
-        F.stddev_samp(F.when(WON, 1 - F.col("price")).when(~WON, -F.col("price"))).alias("std_return"),
+        F.count(won()).alias("n"),
+        F.count_if(won()).alias("wins"),
+        _sum_if(won().isNotNull(), F.col("notional")).alias("total_notional"),
+        _sum_if(won(), F.col("notional") * (1 - F.col("price"))).alias("win_pnl"),
+        _sum_if(~won(), -F.col("notional") * F.col("price")).alias("loss_pnl"),
+        _sum_if(won().isNotNull(), F.col("price")).alias("price_sum"),
+        _sum_if(won().isNotNull(), F.col("price") * F.col("notional")).alias("price_notional"),
+        F.avg(F.when(won(), 1 - F.col("price")).when(~won(), -F.col("price"))).alias("mean_return"),
+        F.stddev_samp(F.when(won(), 1 - F.col("price")).when(~won(), -F.col("price"))).alias("std_return"),
     ]
 
 
@@ -70,13 +73,13 @@ def pnl_metrics(events: DataFrame, *by: str) -> DataFrame:
 def correlation_summary(events: DataFrame, f: EventFilter) -> DataFrame:
     """One row: signal win rate, lift, correlation with its interval, AUC, and P&L of the signals."""
     chosen = filter_events(events, f)
-    resolved = chosen.where(WON.isNotNull()).withColumn("signal", contrarian_flag(f.mode))
+    resolved = chosen.where(won().isNotNull()).withColumn("signal", contrarian_flag(f.mode))
     flags = [F.col(c).cast("int") for c in ("is_price_contrarian", "is_against_trend", "is_against_ofi", "is_tail")]
-    counts = chosen.agg(F.count(F.lit(1)).alias("total_events"), F.count(WON).alias("resolved_events"))
+    counts = chosen.agg(F.count(F.lit(1)).alias("total_events"), F.count(won()).alias("resolved_events"))
     signals = resolved.agg(
-        F.count_distinct("condition_id").alias("markets"), F.count_if("signal").alias("signals"), _per(F.count_if(F.col("signal") & WON), F.count_if("signal")).alias("signal_win_rate")
+        F.count_distinct("condition_id").alias("markets"), F.count_if("signal").alias("signals"), _per(F.count_if(F.col("signal") & won()), F.count_if("signal")).alias("signal_win_rate")
     )
-    r = point_biserial(resolved, F.col("signal"), WON).drop("n")
+    r = point_biserial(resolved, F.col("signal"), won()).drop("n")
     area = auc(resolved.withColumn("score", sum(flags[1:], flags[0])), "score", "outcome_won")
     pnl = pnl_metrics(resolved.where("signal")).select("pnl", "roi", "profit_factor", "edge_points", "kelly")
     out = counts.crossJoin(signals).crossJoin(r).crossJoin(area).crossJoin(pnl)  # of one row each
@@ -93,8 +96,8 @@ def compare_modes(events: DataFrame, f: EventFilter, modes: tuple[str, ...]) ->
     """A summary for each mode, with adjusted p-values and ranks by correlation."""
     many = events.select("*", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
     flag = F.coalesce(*(F.when(F.col("mode") == m, contrarian_flag(m)) for m in modes))
-    resolved = filter_events(many, f).where(WON.isNotNull()).withColumn("signal", flag)
-    r = point_biserial(resolved, F.col("signal"), WON, ("mode",))
+    resolved = filter_events(many, f).where(won().isNotNull()).withColumn("signal", flag)
+    r = point_biserial(resolved, F.col("signal"), won(), ("mode",))
     tested = benjamini_hochberg(r, "p_value", "mode")
     return tested.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round("r", 3)), "adjusted_p", "mode")))
 
@@ -104,7 +107,7 @@ def time_split(events: DataFrame) -> DataFrame:
 
     Places come from counts of days first, so that no window orders all events in one task.
     """
-    rows = events.where(WON.isNotNull()).withColumn("day", F.to_date("ts"))
+    rows = events.where(won().isNotNull()).withColumn("day", F.to_date("ts"))
     days = rows.groupBy("day").agg(F.count(F.lit(1)).alias("m"))
     before = days.select("day", (F.sum("m").over(Window.partitionBy().orderBy("day")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy()).alias("total"))
     place = F.row_number().over(Window.partitionBy("day").orderBy("ts", "trade_id")) + F.col("before") - 1
@@ -114,12 +117,12 @@ def time_split(events: DataFrame) -> DataFrame:
 
 def breakdown(events: DataFrame, factor: Column, baseline: float = 0.5, least: int = 3) -> DataFrame:
     """Win rate and lift by a factor, of groups of `least` resolved events or more."""
-    sums = events.where(WON.isNotNull()).groupBy(factor.alias("factor")).agg(F.count(F.lit(1)).alias("n"), F.avg(WON.cast("double")).alias("win_rate"))
+    sums = events.where(won().isNotNull()).groupBy(factor.alias("factor")).agg(F.count(F.lit(1)).alias("n"), F.avg(won().cast("double")).alias("win_rate"))
     return sums.where(F.col("n") >= least).withColumn("lift", (F.col("win_rate") - baseline) / baseline)
 
 
 def breakdown_intervals(events: DataFrame, factor: Column, resamples: int = 200) -> DataFrame:
-    rows = events.where(WON.isNotNull()).select(factor.alias("factor"), "trade_id", WON.cast("double").alias("won"))
+    rows = events.where(won().isNotNull()).select(factor.alias("factor"), "trade_id", won().cast("double").alias("won"))
     return bootstrap_mean(rows, "won", "trade_id", ("factor",), resamples)
 
 
@@ -132,9 +135,9 @@ def rolling_correlation(events: DataFrame, mode: str, days: int = 7, least: int
     """For each day the correlation over the `days` before its end; an event belongs to at most days + 1 of them."""
     spine = events.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"))
     day = F.to_date("ts")
-    near = events.where(WON.isNotNull()).withColumn("signal", contrarian_flag(mode)).crossJoin(F.broadcast(spine))
+    near = events.where(won().isNotNull()).withColumn("signal", contrarian_flag(mode)).crossJoin(F.broadcast(spine))
     near = near.withColumn("day", F.explode(F.sequence(day, F.least(F.date_add(day, days - 1), F.col("last")))))
-    return point_biserial(near, F.col("signal"), WON, ("day",)).where(F.col("n") >= least)
+    return point_biserial(near, F.col("signal"), won(), ("day",)).where(F.col("n") >= least)
 
 
 def grid_table(spark: SparkSession, grid: Grid) -> DataFrame:
@@ -194,7 +197,7 @@ def pareto(results: DataFrame, objectives: tuple[str, ...] = ("roi", "sharpe", "
 
 
 def grid_information_ratio(events: DataFrame, grid: Grid) -> DataFrame:
-    return information_ratio(grid_events(events, grid).where(WON.isNotNull()), "config_id", "ts", "outcome_won", "price")
+    return information_ratio(grid_events(events, grid).where(won().isNotNull()), "config_id", "ts", "outcome_won", "price")
 
 
 def sensitivity(events: DataFrame, base: EventFilter, parameter: str, values: tuple, mode: str) -> DataFrame:
@@ -213,9 +216,9 @@ def sensitivity(events: DataFrame, base: EventFilter, parameter: str, values: tu
 
 def daily_rollups(events: DataFrame, windows: tuple[int, ...], notionals: tuple[float, ...], minutes: tuple[int, ...], modes: tuple[str, ...]) -> DataFrame:
     """Correlation by day of close, lookback, least notional, window and mode."""
-    rows = events.where(WON.isNotNull()).select("*", F.explode(F.array(*map(F.lit, windows))).alias("window_days"))
+    rows = events.where(won().isNotNull()).select("*", F.explode(F.array(*map(F.lit, windows))).alias("window_days"))
     rows = rows.select("*", F.explode(F.expr("sequence(to_date(ts), date_add(to_date(ts), window_days - 1))")).alias("date")).where(F.col("date") <= F.lit("2024-01-31").cast("date"))
     keep = lambda values, ok: F.explode(F.array_compact(F.array(*(F.when(ok(v), F.lit(v)) for v in values))))
     rows = rows.withColumn("min_notional", keep(notionals, lambda v: F.col("notional") >= v)).withColumn("max_minutes", keep(minutes, lambda v: F.col("minutes_before_close") <= v))
     rows = rows.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).withColumn("signal", F.coalesce(*(F.when(F.col("mode") == m, contrarian_flag(m)) for m in modes)))
-    return point_biserial(rows, F.col("signal"), WON, ("date", "window_days", "min_notional", "max_minutes", "mode"))
+    return point_biserial(rows, F.col("signal"), won(), ("date", "window_days", "min_notional", "max_minutes", "mode"))

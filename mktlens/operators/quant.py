@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_p_value, clamp
-from .performance import WON, event_metrics
+from .performance import event_metrics, won
 
 #: Bounds in minutes of the decay buckets.
 DECAY_BUCKETS = ((0, 10), (10, 20), (20, 30), (30, 45), (45, 60), (60, 90), (90, 120))
@@ -103,7 +103,7 @@ def time_decay(events: DataFrame) -> DataFrame:
     """Metrics by minutes before the close, the best bucket (10 events or more), and the decay of ln(edge) with time."""
     m = F.col("minutes_before_close")
     bucket = F.coalesce(*(F.when((m >= lo) & (m < hi), F.lit(lo)) for lo, hi in DECAY_BUCKETS))
-    rows = event_metrics(events.where(WON.isNotNull()).withColumn("from_minute", bucket).where("from_minute is not null"), "from_minute")
+    rows = event_metrics(events.where(won().isNotNull()).withColumn("from_minute", bucket).where("from_minute is not null"), "from_minute")
     until = F.coalesce(*(F.when(F.col("from_minute") == lo, F.lit(hi)) for lo, hi in DECAY_BUCKETS))
     rows = rows.withColumn("to_minute", until).select("from_minute", "to_minute", "n", "win_rate", "avg_price", "pnl", "roi", "edge_points")
     few = Window.partitionBy()  # over seven rows
@@ -142,7 +142,7 @@ def signal_groups(events: DataFrame, least: int = 10, most: int = 5) -> DataFram
     m = F.col("minutes_before_close")
     first = F.substring(F.floor(F.col("notional") + 0.5).cast("string"), 1, 1)
     groups = F.array_compact(F.array(F.when(F.col("is_against_ofi"), "vs_ofi"), F.when((m >= 10) & (m <= 60), "10-60m"), F.when(first.isin("2", "3", "4"), "digit 2-4")))
-    out = event_metrics(events.where(WON.isNotNull()).withColumn("group", F.explode(groups)), "group").where(F.col("n") >= least)
+    out = event_metrics(events.where(won().isNotNull()).withColumn("group", F.explode(groups)), "group").where(F.col("n") >= least)
     return out.orderBy(F.desc("win_rate"), "group").limit(most).select("group", "n", "win_rate", "avg_price", "pnl", "roi")
 
 
