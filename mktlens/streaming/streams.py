@@ -58,17 +58,19 @@ def gated(scores: DataFrame) -> DataFrame:
 
 
 class TokenState(StatefulProcessor):
-    """Hawkes intensity, CUSUM and the last book of each token, as keyed state with a time to live.
+    """Hawkes intensity, CUSUM and the last book of each token, as keyed state, with a time to live if given.
 
     Rows: token_id, kind (trade or book), trade_id, us, value (notional of a trade, mid of a book).
     Emits each trade with the state after it.
     """
 
-    TTL_MS = 24 * 3600 * 1000
     BASE, JUMP, DECAY = 0.1, 0.5, 0.1
 
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "us long, excess double, n long, total double, squares double, cusum double, mid double", self.TTL_MS)
+        self.state = handle.getValueState("state", "us long, excess double, n long, total double, squares double, cusum double, mid double", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
@@ -91,13 +93,17 @@ class TokenState(StatefulProcessor):
         pass
 
 
-def with_token_state(trades: DataFrame, books: DataFrame | None = None) -> DataFrame:
-    """Each trade with its token's intensity, CUSUM statistic and last book's mid; needs the RocksDB state store."""
+def with_token_state(trades: DataFrame, books: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Each trade with its token's intensity, CUSUM statistic and last book's mid; needs the RocksDB state store.
+
+    A time to live (24 hours for a lasting stream) runs on processing time, with which a stream goes
+    on for ever; one that ends when its input is drained has none.
+    """
     rows = trades.select("token_id", F.lit("trade").alias("kind"), "trade_id", F.unix_micros("ts").alias("us"), F.col("notional").alias("value"))
     if books is not None:
         rows = rows.unionByName(books.select("token_id", F.lit("book").alias("kind"), F.col("snapshot_id").alias("trade_id"), F.unix_micros("ts").alias("us"), F.col("mid").alias("value")))
     schema = "token_id string, trade_id long, intensity double, cusum double, mid double"
-    return rows.groupBy("token_id").transformWithStateInPandas(TokenState(), schema, "Append", "ProcessingTime")
+    return rows.groupBy("token_id").transformWithStateInPandas(TokenState(ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def folder(spark: SparkSession) -> str:
