@@ -119,7 +119,7 @@ def kyle_lambda(events: DataFrame, by: str) -> DataFrame:
     rows = events.where(F.col("drift_30m").isNotNull()).select(by, F.sqrt("notional").alias("x"), F.when(F.col("outcome") == "Yes", F.col("drift_30m")).otherwise(-F.col("drift_30m")).alias("y"))
     c = F.col
     s = rows.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("regr_r2"), F.sum(c("x") * c("x")).alias("xx"), F.sum(c("x") * c("y")).alias("xy"),
+        F.count(F.lit(1)).alias("n"), (F.covar_pop("x", "y") / F.nullif(F.var_pop("x"), F.lit(0.0))).alias("slope"), F.regr_r2("y", "x").alias("regr_r2"), F.sum(c("x") * c("x")).alias("xx"), F.sum(c("x") * c("y")).alias("xy"),
         F.sum(c("y") * c("y")).alias("yy"), F.sum("y").alias("ys"),
     )
     rest = c("yy") - 2 * c("slope") * c("xy") + c("slope") * c("slope") * c("xx")

@@ -10,6 +10,11 @@ from ..functions.numeric import clamp, t_cdf
 Z95 = 1.96
 
 
+def _corr(x: Column, y: Column) -> Column:
+    """Pearson's r; null where x or y doesn't vary (the built-in divides by 0 there)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def _tail(r: Column, n: Column) -> dict[str, Column]:
     """p-value and Fisher interval of a correlation r over n rows."""
     t = F.abs(r) * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
@@ -38,7 +43,7 @@ def point_biserial(df: DataFrame, x: Column, y: Column, by: tuple[str, ...] = ()
     Below 4 rows, or if x or y doesn't vary: r 0 and p 1.
     """
     a, b = x.cast("double"), y.cast("double")
-    summed = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("n1"), F.stddev_samp(b).alias("s"), F.corr(a, b).alias("c"))
+    summed = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("n1"), F.stddev_samp(b).alias("s"), _corr(a, b).alias("c"))
     usable = (F.col("n") >= 4) & (F.col("n1") > 0) & (F.col("n1") < F.col("n")) & (F.coalesce("s", F.lit(0.0)) > 0)
     return _correlated(summed, clamp(F.col("c") * F.sqrt((F.col("n") - 1) / F.col("n")), -1.0, 1.0), usable).drop("n1", "s", "c")
 
@@ -52,7 +57,7 @@ def average_rank(order: str, by: tuple[str, ...] = ()) -> Column:
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
     """Rank correlation in each group: n, r, p_value, ci_low, ci_high."""
     ranked = df.select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
-    summed = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("c"))
+    summed = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _corr(F.col("rx"), F.col("ry")).alias("c"))
     return _correlated(summed, clamp("c", -1.0, 1.0), (F.col("n") >= 4) & F.col("c").isNotNull() & ~F.isnan("c")).drop("c")
 
 
