@@ -2,14 +2,15 @@
 
 Texts become sets of word shingles. Equal sets are one from the start. In each of several
 independent trees, sets branch by minwise tokens chosen by tree and depth: a small node's sets are
-all compared, a crowded node's branch further. At the last depth a crowded node is dealt into
-blocks by a hash, and two of its sets, the pivots, join every block, so that no node is one task
-and none is compared in full. The number of trees follows from the recall that is asked for, for a
-pair at the threshold that is compared at the last depth.
+all compared, a crowded node's branch further. The number of trees follows from the recall that is
+asked for, for a pair at the threshold that meets at the last depth.
 
 Comparisons in nodes use sketches and yield candidate pairs; links are confirmed on full sets. As
-components are asked for, not pairs, each set's best candidates are confirmed first; then the nodes
-are compared again, now only between sets that are not connected yet. A dense group of near copies
+components are asked for, not pairs, each set's best candidates are confirmed first. For this, a
+node that is crowded at the last depth is dealt into blocks by a hash, and two of its sets, the
+pivots, join every block. Then what is not connected yet is compared in full: small nodes by
+sketches again, and the sets of crowded nodes by an exact prefix join on their rarest shingles, so
+that a template which a crowd shares brings none of its sets together. A dense group of near copies
 thus yields pairs in proportion to its size.
 """
 
@@ -33,6 +34,8 @@ TOKENS, HASHES = 128, 512
 DEPTHS, LEAF, RECALL = (2, 4, 6), 64, 0.9999
 #: Standard errors that a sketch's estimate may lie below the threshold.
 SLACK = 4.0
+#: Buckets in which shingles of crowded sets are counted (they only order the shingles), and rows of a shingle in one share of its join.
+COUNTED, SHARE = 1 << 18, 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -103,7 +106,7 @@ def paths(sets: DataFrame, trees: int) -> DataFrame:
 
 
 def nodes(sets: DataFrame, trees: int) -> DataFrame:
-    """node, block, set: where sets are compared."""
+    """node, block, set, crowded: where sets are compared; the blocks of a node of the last depth that is crowded don't compare it in full."""
     crowd, out, last = paths(sets, trees), [], len(DEPTHS) - 1
     for depth in range(len(DEPTHS)):
         node = f"node{depth}"
@@ -112,13 +115,13 @@ def nodes(sets: DataFrame, trees: int) -> DataFrame:
         here = cut(crowd.join(sizes, node))
         small = here if depth == last else here.where(F.col("n") <= LEAF)
         blocks = F.ceil(F.col("n") / LEAF)
-        out.append(small.select(F.col(node).alias("node"), F.pmod(F.xxhash64("set", node), blocks).cast("int").alias("block"), "set"))
+        out.append(small.select(F.col(node).alias("node"), F.pmod(F.xxhash64("set", node), blocks).cast("int").alias("block"), "set", (F.col("n") > LEAF).alias("crowded")))
         if depth < last:
             crowd = here.where(F.col("n") > LEAF).drop("n")
             continue
         ends = here.where(F.col("n") > LEAF).groupBy(F.col(node).alias("node")).agg(F.min(F.struct(F.xxhash64("set"), "set")).alias("one"), F.max(F.struct(F.xxhash64("set"), "set")).alias("two"), F.first("n").alias("n"))
         pivots = ends.select("node", F.explode(F.array("one.set", "two.set")).alias("set"), blocks.alias("blocks"))
-        out.append(pivots.select("node", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), "set"))
+        out.append(pivots.select("node", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), "set", F.lit(True).alias("crowded")))
     placed = out[0]
     for part in out[1:]:
         placed = placed.unionByName(part)
@@ -197,6 +200,76 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return cut(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
+def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Number of sets (column text) with a shingle of each bucket: at most COUNTED numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTED, dtype=np.int64)
+        for batch in steps(batches):
+            for tokens in shingle_sets(batch.column("text"), shingle):
+                np.add.at(counts, bucket_of(tokens), 1)
+        hit = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(counts[hit])], names=["bucket", "n"])
+
+    found = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTED, dtype=np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def bucket_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(46)).astype(np.int64)
+
+
+def prefixes(crowd: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """token, set, label, size, at, short: the first shingles of each set (set, label, text), rarest first.
+
+    Linked sets share a shingle of these: the first one they share is `short` in the smaller set.
+    """
+    counts = shingle_counts(crowd, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            sets = shingle_sets(batch.column("text"), shingle)
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            # a link's common part is at least the threshold of either set, and of a set no larger than its partner 2t / (1 + t)
+            kept = sizes + 1 - -(-percent * sizes // 100)
+            first = sizes + 1 - -(-2 * percent * sizes // (100 + percent))
+            tokens = [s[np.lexsort((s, counts[bucket_of(s)]))[:k]] for s, k in zip(sets, kept.tolist(), strict=True)]
+            row = np.repeat(np.arange(len(sets)), kept)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(kept) - kept, kept)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(tokens).view(np.int64)),
+                    *(batch.column(c).take(pa.array(row)) for c in ("set", "label")),
+                    pa.array(sizes[row].astype(np.int32)),
+                    pa.array(at.astype(np.int32)),
+                    pa.array(at < first[row]),
+                ],
+                names=["token", "set", "label", "size", "at", "short"],
+            )
+
+    return crowd.select("set", "label", "text").mapInArrow(run, "token long, set long, label long, size int, at int, short boolean")
+
+
+def crowd_pairs(crowd: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """a < b: pairs of sets (set, label, text) with different labels, among them all that are linked.
+
+    A shingle's rows of its commonest label are joined with the rest only, not with each other.
+    """
+    rows = cut(prefixes(crowd, shingle, percent))
+    labels = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short"))
+    shared = labels.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max("short").alias("any"), F.max(F.struct("n", "label")).alias("most"))
+    shared = shared.where("labels > 1 AND any").select("token", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"), F.col("most.label").alias("most"))
+    rows = cut(rows.join(shared, "token").select("token", "set", "label", "size", "at", "short", "shares", (F.col("label") != F.col("most")).alias("minor")))
+    one = rows.where("short").withColumn("share", F.pmod(F.xxhash64("set"), "shares").cast("int")).select("token", "share", *(F.col(c).alias(f"{c}_1") for c in ("set", "label", "size", "at", "minor")))
+    two = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("token", "share", *(F.col(c).alias(f"{c}_2") for c in ("set", "label", "size", "at", "minor")))
+    met = one.where("minor_1").join(two, ["token", "share"]).unionByName(one.where("NOT minor_1").join(two.where("minor_2"), ["token", "share"]))
+    # no shingle before this one is common, so that the rest of each set must hold enough of them
+    able = met.where("label_1 != label_2 AND struct(size_1, set_1) < struct(size_2, set_2)").where(f"{100 + percent}L * least(size_1 - at_1, size_2 - at_2) >= {percent}L * (size_1 + size_2)")
+    return cut(able.select(F.least("set_1", "set_2").alias("a"), F.greatest("set_1", "set_2").alias("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) of every node of edges (a < b) but the labels themselves.
 
@@ -235,9 +308,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     full = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     sets = cut(full.groupBy("set_id").agg(F.min("doc_id").alias("set"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")))
     placed = cut(nodes(sets, trees_for(percent, recall)))
-    pairs = candidates(placed, sets, percent, best=True)
-    # whoever has a candidate has a best one, so these texts do for both rounds
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs = candidates(placed.drop("crowded"), sets, percent, best=True)
+    # whoever has a candidate in a node that is compared in full has a best one, so these texts do for both rounds
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(placed.where("crowded").select(F.col("set").alias("doc_id"))).distinct()
     texts = cut(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("set"), "text"))
     # each set's best candidate, and its best one with a smaller id: enough to join most of a dense group
     both = pairs.select(F.explode(F.array("a", "b")).alias("set"), "agree", "a", "b")
@@ -246,10 +319,15 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     nearest = cut(best.unionByName(lower).distinct())
     links = confirmed(nearest, texts, shingle, percent)
     label = components(links).withColumnRenamed("node", "set")
-    placed = placed.join(label, "set", "left").select("node", "block", "set", F.coalesce("label", "set").alias("label"))
-    mixed = placed.groupBy("node", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("node", "block")
-    rest = candidates(placed.join(mixed, ["node", "block"]), sets, percent, best=False).join(nearest, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(rest, texts, shingle, percent))
+    placed = placed.join(label, "set", "left").select("node", "block", "set", F.coalesce("label", "set").alias("label"), "crowded")
+    small, crowds = placed.where("NOT crowded").drop("crowded"), placed.where("crowded")
+    mixed = small.groupBy("node", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("node", "block")
+    rest = candidates(small.join(mixed, ["node", "block"]), sets, percent, best=False).select("a", "b")
+    mixed = crowds.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("node")
+    crowd = cut(crowds.join(mixed, "node").select("set", "label").distinct())
+    if not crowd.isEmpty():
+        rest = rest.unionByName(crowd_pairs(texts.join(crowd, "set"), shingle, percent)).distinct()
+    links = links.unionByName(confirmed(rest.join(nearest, ["a", "b"], "left_anti"), texts, shingle, percent))
     label = components(links)
     group = sets.select("set_id", "set").join(label.select(F.col("node").alias("set"), "label"), "set", "left").select("set_id", F.coalesce("label", "set").alias("label"))
     return rows.select("doc_id", "n_shingles", "set_id").join(group, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
