@@ -50,8 +50,10 @@ class Model:
     constant: float
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 0) -> Model:
-    """Without rows of both labels the score is the share of label 1 (0.5 without rows)."""
+def fit(rows: list[tuple[str, int]], seed: int = 0, shift: float = 0.0) -> Model:
+    """shift: added to the constant, so that scores are those at the labels' shares before sampling.
+
+    Without rows of both labels the score is the share of label 1 (0.5 without rows)."""
     share = float(np.mean([label for _, label in rows])) if rows else 0.5
     if not 0 < share < 1 or not rows:
         return Model(np.zeros(0, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
@@ -79,7 +81,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 0) -> Model:
             bias -= 0.1 * rate * p
             # a vector's step is its share of the average; the scale evens out the lengths of texts
             vectors[found] -= np.outer(rate * np.minimum(weight * 1000, 20), back)
-    return Model((vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(bias[1] - bias[0]) + shift)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -104,5 +106,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = balanced_sample(docs, labels, "quality", fold(3) != 1, {1: SAMPLE, 0: SAMPLE})
-    return score(docs, fit(rows)).select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows, shift = balanced_sample(docs, labels, "quality", fold(3) != 1, {1: SAMPLE, 0: SAMPLE})
+    return score(docs, fit(rows, shift=shift)).select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

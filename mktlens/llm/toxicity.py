@@ -44,18 +44,22 @@ def words(text: str) -> list[str]:
     return _letters(text.lower())
 
 
-def balanced_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bounds: dict[int, int]) -> list[tuple[str, int]]:
-    """Whole texts and labels of at most bounds[label] rows of each label, those whose ids hash lowest.
+def balanced_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bounds: dict[int, int]) -> tuple[list[tuple[str, int]], float]:
+    """Whole texts and labels of at most bounds[label] rows of each label, those whose ids hash lowest; and their shift.
+
+    The shift is what the log odds of label 1 lack in the sample: 0 unless a bound cuts the labels unequally.
 
     The ids are few by their bound, so they are broadcast to the documents.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(learn & F.col("label").isNotNull())
+    totals = {r["label"]: r["count"] for r in rows.where(F.col("label").isin(list(bounds))).groupBy("label").count().collect()}
+    fewer = {value: np.log(max(totals.get(value, 0) / most, 1.0)) for value, most in bounds.items()}
     parts = [rows.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for value, most in bounds.items()]
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
-    return [(r["text"], r["label"]) for r in found.orderBy("doc_id").select("text", "label").collect()]
+    return [(r["text"], r["label"]) for r in found.orderBy("doc_id").select("text", "label").collect()], float(fewer[1] - fewer[0])
 
 
 @dataclass
@@ -124,15 +128,19 @@ def features(distances: list[int], n_words: int) -> list[float]:
     return [1.0, float(min(max(distances, default=0), 8)), *counts, counts[1] / np.log(2.0 + n_words)]
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Without rows of both labels the score is the share of toxic rows (0 without rows)."""
+def fit(rows: list[tuple[str, int]], shift: float = 0.0) -> Model:
+    """shift: added to the constant, so that scores are those at the labels' shares before sampling.
+
+    Without rows of both labels the score is the share of toxic rows (0 without rows)."""
     base = float(np.mean([label for _, label in rows])) if rows else 0.0
     if base in (0.0, 1.0):
         return Model(b"", b"", np.zeros(0), base)
     toxic, ordinary = train_dictionaries(rows)
     lookup = Distances(toxic, ordinary)
     x = np.array([features(*lookup.of(text)) for text, _ in rows])
-    return Model(toxic, ordinary, logistic(x, np.array([label for _, label in rows], dtype=float)), base)
+    weights = logistic(x, np.array([label for _, label in rows], dtype=float))
+    weights[0] += shift
+    return Model(toxic, ordinary, weights, base)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -175,7 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = balanced_sample(docs, labels, "toxic", fold(3) != 1, {1: SAMPLE_TOXIC, 0: SAMPLE_ORDINARY})
-    return score(docs, fit(rows)).select(
+    rows, shift = balanced_sample(docs, labels, "toxic", fold(3) != 1, {1: SAMPLE_TOXIC, 0: SAMPLE_ORDINARY})
+    return score(docs, fit(rows, shift)).select(
         "doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "farthest", "n_far"
     )

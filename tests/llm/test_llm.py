@@ -220,6 +220,18 @@ def test_quality(spark, docs):
     assert quality.score(empty(docs), quality.fit([])).count() == 0
 
 
+def test_samples_keep_the_label_shares(spark, tmp_path, monkeypatch):
+    """Texts that tell nothing score near their label's share, though the bounds take as many of each label."""
+    spark.range(2000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 60), j -> concat('w', pmod(xxhash64(id, j), 40))), ' ') AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(2000).selectExpr("id AS doc_id", "int(id % 10 = 0) AS toxic", "int(id % 10 = 0) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 60)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 60)
+    monkeypatch.setattr(quality, "SAMPLE", 60)
+    for query in ("op2_toxicity", "op6_quality_classifier"):
+        scores = QUERIES[query](spark, str(tmp_path)).toPandas()["score"]
+        assert len(scores) == 2000 and 0.05 < scores.mean() < 0.2
+
+
 def test_language(spark, docs):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op9_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
