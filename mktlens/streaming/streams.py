@@ -22,11 +22,14 @@ WATERMARK = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def trade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades as they come with new files of the events table."""
+def trade_stream(spark: SparkSession, sf_dir: str, files: int | None = 8) -> DataFrame:
+    """Trades as they come with new files of the events table, a file or a folder; at most `files` a micro-batch (None: all there are)."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir)
-    return V.trades_of(raw)
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    # a glob, as only this takes a file as well as a folder
+    return V.trades_of(reader.parquet(f"{sf_dir}/events.parque[t]"))
 
 
 def deduplicated(trades: DataFrame) -> DataFrame:

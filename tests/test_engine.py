@@ -119,3 +119,19 @@ def test_against_sql(spark, name):
     got, expected = plans.queries()[name](spark, SF).toPandas(), con.sql(plans.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(expected.columns) and len(got) == len(expected)
     assert rows_of(got) == rows_of(expected)
+
+
+def test_streams_read_folders_of_many_files(spark, tmp_path):
+    from pathlib import Path
+
+    from mktlens.plans.streams import st1, st7
+
+    sf = "/root/testdata/sf0.001"
+    for path in Path(sf).glob("*.parquet"):
+        if path.name != "events.parquet":
+            (tmp_path / path.name).symlink_to(path)
+    # in the order of time, as late trades are dropped
+    spark.read.parquet(f"{sf}/events.parquet").coalesce(1).sortWithinPartitions("ts").write.option("maxRecordsPerFile", 60).parquet(f"{tmp_path}/events.parquet")
+    for stream in (st1, st7):
+        one, many = (sorted(map(str, stream(spark, d).collect())) for d in (sf, str(tmp_path)))
+        assert one == many and one
