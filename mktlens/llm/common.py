@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +24,47 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; only where none is named (tests), a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where none is named and all runs in one process."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+            raise RuntimeError("name a folder that the whole cluster shares in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="mktlens-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, so that a lost executor costs no long lineage."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint()
+class Scratch:
+    """Tables of one run in the shared folder.
+
+    A table cuts the lineage: a lost executor costs none of what led to it, and Spark plans what
+    follows by its real size. The shuffles that made it go with its statement, and the table goes
+    when it is dropped, so that disk holds only what is still to be read.
+    """
+
+    RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.tables: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        before = self.spark.conf.get(self.RELEASE, "false")
+        self.spark.conf.set(self.RELEASE, "true")
+        try:
+            df.select("*").write.parquet(f"{self.folder}/{len(self.tables)}")
+        finally:
+            self.spark.conf.set(self.RELEASE, before)
+        self.tables.append(self.spark.read.schema(df.schema).parquet(f"{self.folder}/{len(self.tables)}"))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read any more."""
+        for table in tables:
+            at = next(k for k, known in enumerate(self.tables) if known is table)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{at}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(every: int):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, gram_hashes, mix, rabin_karp, steps, text_bytes, word_hashes, word_spans
+from .common import Scratch, documents, gram_hashes, mix, rabin_karp, steps, text_bytes, word_hashes, word_spans
 
 SHINGLE, PERCENT = 5, 80
 #: Minwise tokens of which the trees choose, and of which sketches keep a byte each.
@@ -105,14 +105,16 @@ def paths(sets: DataFrame, trees: int) -> DataFrame:
     return sets.select("set", "signature").mapInArrow(run, "set long, " + ", ".join(f"node{k} long" for k in range(len(DEPTHS))))
 
 
-def nodes(sets: DataFrame, trees: int) -> DataFrame:
+def nodes(sets: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
     """node, block, set, crowded: where sets are compared; the blocks of a node of the last depth that is crowded don't compare it in full."""
-    crowd, out, last = paths(sets, trees), [], len(DEPTHS) - 1
+    crowd, out, last, held = paths(sets, trees), [], len(DEPTHS) - 1, []
     for depth in range(len(DEPTHS)):
         node = f"node{depth}"
-        sizes = cut(crowd.groupBy(node).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        sizes = scratch.cut(crowd.groupBy(node).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         # both sides of the join are plain exchanges, so that AQE can split a crowded node
-        here = cut(crowd.join(sizes, node))
+        here = scratch.cut(crowd.join(sizes, node))
+        scratch.drop(sizes)
+        held.append(here)
         small = here if depth == last else here.where(F.col("n") <= LEAF)
         blocks = F.ceil(F.col("n") / LEAF)
         out.append(small.select(F.col(node).alias("node"), F.pmod(F.xxhash64("set", node), blocks).cast("int").alias("block"), "set", (F.col("n") > LEAF).alias("crowded")))
@@ -125,10 +127,12 @@ def nodes(sets: DataFrame, trees: int) -> DataFrame:
     placed = out[0]
     for part in out[1:]:
         placed = placed.unionByName(part)
+    placed = scratch.cut(placed)
+    scratch.drop(*held)
     return placed
 
 
-def candidates(placed: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
+def candidates(placed: DataFrame, sets: DataFrame, percent: int, best: bool, scratch: Scratch) -> DataFrame:
     """a < b, agree (equal sketch bytes) of pairs within a node whose sketches don't rule a link out.
 
     best: each set's best partner in each of its nodes. Otherwise all pairs of sets with different
@@ -182,10 +186,10 @@ def candidates(placed: DataFrame, sets: DataFrame, percent: int, best: bool) ->
 
     met = placed.join(sets.select("set", "sketch"), "set").select(*placed.columns, "sketch")
     found = met.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(run, "a long, b long, agree int")
-    return cut(found.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    return scratch.cut(found.groupBy("a", "b").agg(F.max("agree").alias("agree")))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b) those whose full sets are similar enough; texts: set, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +201,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    return cut(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    return scratch.cut(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
 def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -252,47 +256,51 @@ def prefixes(crowd: DataFrame, shingle: int, percent: int) -> DataFrame:
     return crowd.select("set", "label", "text").mapInArrow(run, "token long, set long, label long, size int, at int, short boolean")
 
 
-def crowd_pairs(crowd: DataFrame, shingle: int, percent: int) -> DataFrame:
+def crowd_pairs(crowd: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     """a < b: pairs of sets (set, label, text) with different labels, among them all that are linked.
 
     A shingle's rows of its commonest label are joined with the rest only, not with each other.
     """
-    rows = cut(prefixes(crowd, shingle, percent))
-    labels = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short"))
+    every = scratch.cut(prefixes(crowd, shingle, percent))
+    labels = every.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short"))
     shared = labels.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max("short").alias("any"), F.max(F.struct("n", "label")).alias("most"))
-    shared = shared.where("labels > 1 AND any").select("token", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"), F.col("most.label").alias("most"))
-    rows = cut(rows.join(shared, "token").select("token", "set", "label", "size", "at", "short", "shares", (F.col("label") != F.col("most")).alias("minor")))
+    shared = scratch.cut(shared.where("labels > 1 AND any").select("token", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"), F.col("most.label").alias("most")))
+    rows = scratch.cut(every.join(shared, "token").select("token", "set", "label", "size", "at", "short", "shares", (F.col("label") != F.col("most")).alias("minor")))
+    scratch.drop(every, shared)
     one = rows.where("short").withColumn("share", F.pmod(F.xxhash64("set"), "shares").cast("int")).select("token", "share", *(F.col(c).alias(f"{c}_1") for c in ("set", "label", "size", "at", "minor")))
     two = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("token", "share", *(F.col(c).alias(f"{c}_2") for c in ("set", "label", "size", "at", "minor")))
     met = one.where("minor_1").join(two, ["token", "share"]).unionByName(one.where("NOT minor_1").join(two.where("minor_2"), ["token", "share"]))
     # no shingle before this one is common, so that the rest of each set must hold enough of them
     able = met.where("label_1 != label_2 AND struct(size_1, set_1) < struct(size_2, set_2)").where(f"{100 + percent}L * least(size_1 - at_1, size_2 - at_2) >= {percent}L * (size_1 + size_2)")
-    return cut(able.select(F.least("set_1", "set_2").alias("a"), F.greatest("set_1", "set_2").alias("b")).distinct())
+    found = scratch.cut(able.select(F.least("set_1", "set_2").alias("a"), F.greatest("set_1", "set_2").alias("b")).distinct())
+    scratch.drop(rows)
+    return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (smallest node reachable) of every node of edges (a < b) but the labels themselves.
 
     Each node takes its smallest neighbour as parent, parents are followed to the roots by doubling,
     the edges are drawn between the roots, and so on until none is left.
     """
-    labels = None
+    labels, own = None, []
     while not edges.isEmpty():
-        parent = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
-        while True:
+        parent = scratch.cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"), F.lit(True).alias("moved")))
+        while not parent.where("moved").isEmpty():
             up = parent.select(F.col("node").alias("label"), F.col("label").alias("above"))
-            higher = cut(parent.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved")))
-            parent = higher.select("node", "label")
-            if higher.where("moved").isEmpty():
-                break
+            higher = scratch.cut(parent.drop("moved").join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved")))
+            scratch.drop(parent)
+            parent = higher
         at = lambda c: parent.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}"))
         drawn = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y")).where("x != y")
-        edges = cut(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if labels is None:
-            labels = parent
-        else:
+        drawn = scratch.cut(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        scratch.drop(*own)
+        edges, own = drawn, [drawn]
+        parent = parent.select("node", "label")
+        if labels is not None:
             up = parent.select(F.col("node").alias("label"), F.col("label").alias("above"))
-            labels = cut(labels.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")).unionByName(parent))
+            parent = scratch.cut(labels.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")).unionByName(parent))
+        labels = parent
     return labels if labels is not None else edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
 
 
@@ -302,35 +310,45 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     Texts are linked if their shingle sets' intersection is at least `percent` of their union. Texts
     without words, null ones among them, are linked with nothing. A row repeated with its doc_id
     must repeat its text; each such row is returned. No rows: no rows. Other columns are ignored.
+    Memory of a task: a batch of texts, or one text however long.
     """
     docs = docs.select("doc_id", "text")
-    rows = cut(signed(docs, shingle))
-    full = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    sets = cut(full.groupBy("set_id").agg(F.min("doc_id").alias("set"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")))
-    placed = cut(nodes(sets, trees_for(percent, recall)))
-    pairs = candidates(placed.drop("crowded"), sets, percent, best=True)
+    scratch = Scratch(docs.sparkSession)
+    marks = scratch.cut(signed(docs, shingle))
+    rows = scratch.cut(marks.select("doc_id", "n_shingles", "set_id"))
+    full = marks.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
+    sets = scratch.cut(full.groupBy("set_id").agg(F.min("doc_id").alias("set"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")))
+    scratch.drop(marks)
+    placed = nodes(sets, trees_for(percent, recall), scratch)
+    pairs = candidates(placed.drop("crowded"), sets, percent, True, scratch)
     # whoever has a candidate in a node that is compared in full has a best one, so these texts do for both rounds
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(placed.where("crowded").select(F.col("set").alias("doc_id"))).distinct()
-    texts = cut(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("set"), "text"))
+    wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(placed.where("crowded").select(F.col("set").alias("doc_id"))).distinct())
+    texts = scratch.cut(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("set"), "text"))
     # each set's best candidate, and its best one with a smaller id: enough to join most of a dense group
     both = pairs.select(F.explode(F.array("a", "b")).alias("set"), "agree", "a", "b")
     best = both.groupBy("set").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b")
     lower = pairs.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    nearest = cut(best.unionByName(lower).distinct())
-    links = confirmed(nearest, texts, shingle, percent)
-    label = components(links).withColumnRenamed("node", "set")
-    placed = placed.join(label, "set", "left").select("node", "block", "set", F.coalesce("label", "set").alias("label"), "crowded")
-    small, crowds = placed.where("NOT crowded").drop("crowded"), placed.where("crowded")
-    mixed = small.groupBy("node", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("node", "block")
-    rest = candidates(small.join(mixed, ["node", "block"]), sets, percent, best=False).select("a", "b")
-    mixed = crowds.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("node")
-    crowd = cut(crowds.join(mixed, "node").select("set", "label").distinct())
+    nearest = scratch.cut(best.unionByName(lower).distinct())
+    scratch.drop(wanted, pairs)
+    links = confirmed(nearest, texts, shingle, percent, scratch)
+    label = components(links, scratch).withColumnRenamed("node", "set")
+    labelled = scratch.cut(placed.join(label, "set", "left").select("node", "block", "set", F.coalesce("label", "set").alias("label"), "crowded"))
+    scratch.drop(placed)
+    small, crowds = labelled.where("NOT crowded").drop("crowded"), labelled.where("crowded")
+    ends = F.min("label").alias("low"), F.max("label").alias("high")
+    mixed = scratch.cut(small.groupBy("node", "block").agg(*ends).where("low != high").select("node", "block"))
+    rest = candidates(small.join(mixed, ["node", "block"]), sets, percent, False, scratch).select("a", "b")
+    mixed = scratch.cut(crowds.groupBy("node").agg(*ends).where("low != high").select("node"))
+    crowd = scratch.cut(crowds.join(mixed, "node").select("set", "label").distinct())
+    scratch.drop(labelled)
     if not crowd.isEmpty():
-        rest = rest.unionByName(crowd_pairs(texts.join(crowd, "set"), shingle, percent)).distinct()
-    links = links.unionByName(confirmed(rest.join(nearest, ["a", "b"], "left_anti"), texts, shingle, percent))
-    label = components(links)
-    group = sets.select("set_id", "set").join(label.select(F.col("node").alias("set"), "label"), "set", "left").select("set_id", F.coalesce("label", "set").alias("label"))
-    return rows.select("doc_id", "n_shingles", "set_id").join(group, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+        rest = rest.unionByName(crowd_pairs(texts.join(crowd, "set"), shingle, percent, scratch)).distinct()
+    more = confirmed(rest.join(nearest, ["a", "b"], "left_anti"), texts, shingle, percent, scratch)
+    scratch.drop(texts)
+    label = components(links.unionByName(more), scratch)
+    group = scratch.cut(sets.select("set_id", "set").join(label.select(F.col("node").alias("set"), "label"), "set", "left").select("set_id", F.coalesce("label", "set").alias("label")))
+    scratch.drop(sets)
+    return rows.join(group, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

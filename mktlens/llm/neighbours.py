@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 SHARD_ROWS, BLOCK_ROWS = 16384, 2048
 #: Links of a node (twice as many in the lowest layer), candidates for them, and breadth of the search.
@@ -133,8 +133,9 @@ def index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) -> tuple[
     (places in the shard by order of `at`), layer after layer; sizes: how many each layer has.
     """
     rows = vectors.where(usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).groupBy("vector", "vec_id").agg(F.lit(1).alias("one"))
+    scratch = Scratch(vectors.sparkSession)
     few = rows.withColumn("place", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("place") <= keep)
-    nodes = cut(few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    nodes = scratch.cut(few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     shards = max(1, -(-nodes.count() // shard_rows))
     nodes = nodes.select(F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int").alias("shard"), F.size("vector").alias("dims"), "ids", "vector")
 
@@ -147,7 +148,7 @@ def index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) -> tuple[
         return rows
 
     graphs = nodes.groupBy("shard", "dims").applyInPandas(run, "shard int, dims int, ids array<long>, vector array<double>, at int, flat array<int>, sizes array<int>")
-    return cut(graphs), shards
+    return scratch.cut(graphs), shards
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, breadth: int = BREADTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -159,7 +160,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, breadth: int =
     id and vector counts once. Fewer candidates than k: all of them. Other columns are ignored.
     """
     graphs, shards = index(vectors, k + 1, shard_rows)
-    asked = cut(queries.where(usable(F.col("embedding"))).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).dropDuplicates(["query_id"]))
+    asked = Scratch(vectors.sparkSession).cut(queries.where(usable(F.col("embedding"))).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).dropDuplicates(["query_id"]))
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.select(

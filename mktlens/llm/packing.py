@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Encoder, byte_symbols, kept, vocabulary_text
-from .common import cut, documents, steps
+from .common import Scratch, documents, steps
 
 CAPACITY, END_ID = 4096, 1
 
@@ -129,10 +129,11 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     ignored. Sequences hold at most `capacity` ids.
     """
     spark = docs.sparkSession
-    parts = cut(pieces(docs, vocabulary, capacity, end_id))
+    scratch = Scratch(spark)
+    parts = scratch.cut(pieces(docs, vocabulary, capacity, end_id))
     share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARES)).cast("int")
     by_share = parts.groupBy("length", share.alias("share")).agg(F.count(F.lit(1)).alias("n"))
-    by_share = cut(by_share)  # at most capacity * SHARES rows
+    by_share = scratch.cut(by_share)  # at most capacity * SHARES rows
     histogram = {r["length"]: r["n"] for r in by_share.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = by_share.select("length", "share", (F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("before"))
     in_share = Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, gram_hashes, mix, steps, text_bytes, word_hashes, word_spans
+from .common import Scratch, documents, gram_hashes, mix, steps, text_bytes, word_hashes, word_spans
 
 WINDOW, RUN = 20, 6
 
@@ -97,7 +97,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
     seen = docs.mapInArrow(run, "key long, doc_id long, n int, known long")
     total = F.sum("n").over(Window.partitionBy("key"))
     often = seen.withColumn("total", total).where(F.col("known").isNotNull() | (F.col("total") > 1))
-    return cut(often.groupBy("doc_id").agg(F.collect_set(F.coalesce("known", "key")).alias("anchors")))
+    return Scratch(docs.sparkSession).cut(often.groupBy("doc_id").agg(F.collect_set(F.coalesce("known", "key")).alias("anchors")))
 
 
 def later_windows(docs: DataFrame, window: int) -> DataFrame:

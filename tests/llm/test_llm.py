@@ -46,7 +46,7 @@ def words(text):
     return [] if out == [""] else out
 
 
-def test_exact_dedup(docs):
+def test_exact_dedup(spark, docs):
     got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs).collect()}
     groups = {}
     for i, t in TEXTS:
@@ -59,6 +59,9 @@ def test_exact_dedup(docs):
     assert exact_dedup.exact_dedup(empty(docs)).count() == 0
     again = exact_dedup.exact_dedup(docs.where("doc_id = 6").unionByName(docs.where("doc_id = 6"))).collect()
     assert [(r["group_size"], r["kept"]) for r in again] == [(2, True)] * 2
+    odd = spark.createDataFrame([(1, LONG), (1, LONG + " z"), (2, LONG + "  z"), (3, LONG), (None, "Hi"), (None, "Hi")], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(odd).collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in got) == [(0, 0, 2, True)] * 2 + [(1, 1, 2, True)] * 2 + [(2, 1, 2, False), (3, 1, 2, False)]
 
 
 def brute_removed(texts, window):
@@ -134,6 +137,43 @@ def test_near_dedup_in_a_template_crowd(spark):
     assert got == {k: k - 1500 if 1500 <= k < 1700 else k for k in range(3000)}
 
 
+def test_near_dedup_in_a_family(spark):
+    """3000 texts with 8 edits each of one text, and 300 that differ from one of them by 9 more: few links, all of them kept."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"b{j}" for j in range(400)], []
+    for k in range(3300):
+        words = list(texts[int(rng.integers(3000))] if k >= 3000 else base)
+        for j in rng.choice(400, 9 if k >= 3000 else 8, replace=False):
+            words[j] = f"e{k}x{j}"
+        texts.append(words)
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == linked_groups(texts, 3, 85)
+
+
+def linked_groups(texts, n, percent):
+    """Smallest row reachable by links, from the counts of shingles common to each pair of rows."""
+    from collections import defaultdict
+
+    rows_of, sizes = defaultdict(list), []
+    for k, words in enumerate(texts):
+        shingles = {tuple(words[j : j + n]) for j in range(len(words) - n + 1)}
+        sizes.append(len(shingles))
+        for s in shingles:
+            rows_of[s].append(k)
+    common, sizes = np.zeros((len(texts), len(texts)), dtype=np.int16), np.array(sizes)
+    for rows in rows_of.values():
+        if len(rows) > 1:
+            common[np.ix_(rows, rows)] += 1
+    label = np.arange(len(texts))
+    linked = 100 * common.astype(np.int32) >= percent * (sizes[:, None] + sizes[None] - common)
+    while True:
+        least = np.where(linked, label[None], len(texts)).min(1)
+        if (least == label).all():
+            return dict(enumerate(label.tolist()))
+        label = least
+
+
 def test_secrets(docs):
     rules = [("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
     got = {r["doc_id"]: [(s["start"], s["kind"], s["stop"]) for s in r["spans"]] for r in secrets.find_secrets(docs).collect()}
@@ -279,10 +319,20 @@ def test_pipeline(spark, docs):
 
 
 def test_stages_take_odd_rows(spark):
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in TEXTS]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for source in (df, df.limit(0), df.unionByName(df)):
+    """Nulls, empties, long texts, repeated rows, an empty table, and extra columns with names that stages use themselves."""
+    clashing = ["set", "label", "n", "kind", "spans", "length", "piece", "keep_id", "component_id", "lang_pred", "node", "token"]
+    rows = [(i, t, "en", "s", len(t or ""), *(f"{i}" for _ in clashing)) for i, t in TEXTS]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clashing))
+    kept = {}
+    for name, source in {"once": df, "none": df.limit(0), "twice": df.unionByName(df)}.items():
         docs = source
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
-        docs.select(F.count(F.lit(1))).first()
+        for stage, function in corpus_pipeline.STAGES:
+            docs = function(spark, docs, SF)
+            if stage != "best_fit_packing":
+                assert docs.columns == df.columns
+                kept[name, stage] = sorted(r["doc_id"] for r in docs.where(" AND ".join(f"{c} = string(doc_id)" for c in clashing)).collect())
+        assert {r["doc_id"] for r in docs.collect()} == set(kept[name, "secret_scans"])
+    assert kept["once", "language_id"] == [1, 2, 6, 7, 8, 9, 10, 11, 12, 13, 14]
+    assert kept["once", "exact_dedup"] == kept["twice", "exact_dedup"] == [1, 6, 8, 9, 10, 11, 12, 13, 14]
+    assert kept["once", "secret_scans"] == kept["twice", "near_dedup"] == kept["twice", "secret_scans"] == [1, 6, 8, 10, 11, 12, 13, 14]
+    assert kept["none", "secret_scans"] == []
