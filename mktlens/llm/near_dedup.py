@@ -9,9 +9,10 @@ Comparisons in nodes use sketches and yield candidate pairs; links are confirmed
 components are asked for, not pairs, each set's best candidates are confirmed first. For this, a
 node that is crowded at the last depth is dealt into blocks by a hash, and two of its sets, the
 pivots, join every block. Then what is not connected yet is compared in full: small nodes by
-sketches again, and the sets of crowded nodes by an exact prefix join on their rarest shingles, so
-that a template which a crowd shares brings none of its sets together. A dense group of near copies
-thus yields pairs in proportion to its size.
+sketches again, and the sets of crowded nodes exactly. For that, each set is told by its residue, the
+shingles by which it differs from one set of its crowd, and a prefix join on the residues' rarest
+tokens finds the pairs, so that a template which a crowd shares brings none of its sets together.
+A dense group of near copies thus yields pairs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ TOKENS, HASHES = 128, 512
 DEPTHS, LEAF, RECALL = (2, 4, 6), 64, 0.9999
 #: Standard errors that a sketch's estimate may lie below the threshold.
 SLACK = 4.0
-#: Buckets in which shingles of crowded sets are counted (they only order the shingles), and rows of a shingle in one share of its join.
-COUNTED, SHARE = 1 << 18, 1024
+#: Buckets in which tokens of crowded sets' residues are counted (they only order the tokens), rows of a token in one share
+#: of its join, and tokens that two residues must have together, if they must have so many, before their texts are compared.
+COUNTED, SHARE, TOGETHER = 1 << 18, 1024, 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -204,77 +206,97 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, sc
     return scratch.cut(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
-def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Number of sets (column text) with a shingle of each bucket: at most COUNTED numbers reach the driver."""
+def residues(crowd: DataFrame, shingle: int) -> DataFrame:
+    """set, label, family, size, tokens: by which shingles each set (set, label, family, text, pivot) differs from its family's pivot.
+
+    Two sets differ in the shingles that only one of their residues has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTED, dtype=np.int64)
         for batch in steps(batches):
-            for tokens in shingle_sets(batch.column("text"), shingle):
-                np.add.at(counts, bucket_of(tokens), 1)
-        hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(counts[hit])], names=["bucket", "n"])
-
-    found = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+            family = batch.column("family").to_numpy()
+            known, at = np.unique(family, return_index=True)
+            pivots = dict(zip(known.tolist(), shingle_sets(batch.column("pivot").take(pa.array(at)), shingle), strict=True))
+            salts = dict(zip(known.tolist(), mix(known.astype(np.uint64)), strict=True))
+            sizes, tokens = [], []
+            for own, f in zip(shingle_sets(batch.column("text"), shingle), family.tolist(), strict=True):
+                more, less = np.setdiff1d(own, pivots[f], assume_unique=True), np.setdiff1d(pivots[f], own, assume_unique=True)
+                sizes.append(len(own))
+                tokens.append(mix(np.concatenate([more, ~less]) ^ salts[f]))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)], dtype=np.int32)), pa.array(np.concatenate(tokens).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set", "label", "family")), pa.array(sizes, pa.int64()), lists], names=["set", "label", "family", "size", "tokens"])
+
+    return crowd.select("set", "label", "family", "text", "pivot").mapInArrow(run, "set long, label long, family long, size long, tokens array<long>")
+
+
+def token_counts(rows: DataFrame) -> np.ndarray:
+    """Number of residues (column tokens) with a token of each bucket: at most COUNTED numbers reach the driver."""
+    found = rows.select(F.explode("tokens").alias("token")).select(F.shiftrightunsigned("token", 46).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros(COUNTED, dtype=np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 
-def bucket_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(46)).astype(np.int64)
-
-
-def prefixes(crowd: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """token, set, label, size, at, short: the first shingles of each set (set, label, text), rarest first.
+def prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """token, set, label, slack, r, at, short, few, least: the first tokens of each residue, rarest first.
 
-    Linked sets share a shingle of these: the first one they share is `short` in the smaller set.
+    rows: set, label, slack, top (the largest slack of the family), tokens. A pair's residues must have
+    -(slack + slack) / (2 * (100 + percent)) tokens in common. So the first ones of both have `few`
+    (of the set with the more slack, whose first ones are `short`) or `least` (of the other) in common.
     """
-    counts = shingle_counts(crowd, shingle)
+    counts = token_counts(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            sets = shingle_sets(batch.column("text"), shingle)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            # a link's common part is at least the threshold of either set, and of a set no larger than its partner 2t / (1 + t)
-            kept = sizes + 1 - -(-percent * sizes // 100)
-            first = sizes + 1 - -(-2 * percent * sizes // (100 + percent))
-            tokens = [s[np.lexsort((s, counts[bucket_of(s)]))[:k]] for s, k in zip(sets, kept.tolist(), strict=True)]
-            row = np.repeat(np.arange(len(sets)), kept)
+        for batch in batches:
+            slack, top = batch.column("slack").to_numpy(), batch.column("top").to_numpy()
+            tokens = [t.values.to_numpy().view(np.uint64) for t in batch.column("tokens")]
+            r = np.array([len(t) for t in tokens], dtype=np.int64)
+            common_short, common = np.maximum(1, -(slack // (100 + percent))), np.maximum(1, -((top + slack) // (2 * (100 + percent))))
+            few, least = np.minimum(TOGETHER, common_short), np.minimum(TOGETHER, common)
+            first, kept = np.clip(r - common_short + few, 0, r), np.clip(r - common + least, 0, r)
+            row = np.repeat(np.arange(len(r)), kept)
             at = np.arange(len(row)) - np.repeat(np.cumsum(kept) - kept, kept)
+            values = [t[np.lexsort((t, counts[(t >> np.uint64(46)).astype(np.int64)]))[:n]] for t, n in zip(tokens, kept.tolist(), strict=True)]
+            numbers = {"slack": slack[row], "r": r[row], "at": at, "short": at < first[row], "few": few[row], "least": least[row]}
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(tokens).view(np.int64)),
-                    *(batch.column(c).take(pa.array(row)) for c in ("set", "label")),
-                    pa.array(sizes[row].astype(np.int32)),
-                    pa.array(at.astype(np.int32)),
-                    pa.array(at < first[row]),
-                ],
-                names=["token", "set", "label", "size", "at", "short"],
+                [pa.array(np.concatenate(values).view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("set", "label")), *map(pa.array, numbers.values())], names=["token", "set", "label", *numbers]
             )
 
-    return crowd.select("set", "label", "text").mapInArrow(run, "token long, set long, label long, size int, at int, short boolean")
+    return rows.select("set", "label", "slack", "top", "tokens").mapInArrow(run, "token long, set long, label long, slack long, r long, at long, short boolean, few long, least long")
 
 
-def crowd_pairs(crowd: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
-    """a < b: pairs of sets (set, label, text) with different labels, among them all that are linked.
+def crowd_pairs(crowd: DataFrame, shingle: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links, and candidates for the other links, as a < b, of sets (set, label, family, text, pivot) of one family with different labels.
 
-    A shingle's rows of its commonest label are joined with the rest only, not with each other.
+    Where residues are short enough, sets are linked whatever they are; links to the hub, the set with
+    the most slack, connect all of these. The rest must have tokens of their residues in common, and
+    tokens of a template are not in residues. A token's rows of its commonest label are joined with
+    the rest only, not with each other.
     """
-    every = scratch.cut(prefixes(crowd, shingle, percent))
+    differ = scratch.cut(residues(crowd, shingle).withColumn("slack", F.lit(100 - percent) * F.col("size") - F.lit(100 + percent) * F.size("tokens")))
+    hubs = scratch.cut(differ.groupBy("family").agg(F.max(F.struct("slack", "set", "label")).alias("hub")))
+    rows = differ.join(hubs, "family").withColumn("near", F.col("slack") + F.col("hub.slack") >= 0)
+    sure = scratch.cut(rows.where("near AND label != hub.label").select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")))
+    rows = scratch.cut(rows.select("set", F.when(F.col("near"), F.col("hub.label")).otherwise(F.col("label")).alias("label"), "slack", F.col("hub.slack").alias("top"), "tokens"))
+    every = scratch.cut(prefixes(rows, percent))
+    scratch.drop(differ, hubs, rows)
     labels = every.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short"))
     shared = labels.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max("short").alias("any"), F.max(F.struct("n", "label")).alias("most"))
     shared = scratch.cut(shared.where("labels > 1 AND any").select("token", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"), F.col("most.label").alias("most")))
-    rows = scratch.cut(every.join(shared, "token").select("token", "set", "label", "size", "at", "short", "shares", (F.col("label") != F.col("most")).alias("minor")))
+    rows = scratch.cut(every.join(shared, "token").select(*every.columns, "shares", (F.col("label") != F.col("most")).alias("minor")))
     scratch.drop(every, shared)
-    one = rows.where("short").withColumn("share", F.pmod(F.xxhash64("set"), "shares").cast("int")).select("token", "share", *(F.col(c).alias(f"{c}_1") for c in ("set", "label", "size", "at", "minor")))
-    two = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("token", "share", *(F.col(c).alias(f"{c}_2") for c in ("set", "label", "size", "at", "minor")))
+    side = lambda df, k: df.select("token", "share", *(F.col(c).alias(f"{c}_{k}") for c in ("set", "label", "slack", "r", "at", "few", "least", "minor")))
+    one = side(rows.where("short").withColumn("share", F.pmod(F.xxhash64("set"), "shares").cast("int")), 1)
+    two = side(rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))), 2)
     met = one.where("minor_1").join(two, ["token", "share"]).unionByName(one.where("NOT minor_1").join(two.where("minor_2"), ["token", "share"]))
-    # no shingle before this one is common, so that the rest of each set must hold enough of them
-    able = met.where("label_1 != label_2 AND struct(size_1, set_1) < struct(size_2, set_2)").where(f"{100 + percent}L * least(size_1 - at_1, size_2 - at_2) >= {percent}L * (size_1 + size_2)")
-    found = scratch.cut(able.select(F.least("set_1", "set_2").alias("a"), F.greatest("set_1", "set_2").alias("b")).distinct())
+    met = met.where("label_1 != label_2 AND struct(slack_1, set_1) > struct(slack_2, set_2)")
+    # both residues are in the same order, so that behind the last token in common either has only so many left
+    behind = f"{2 * (100 + percent)}L * (n + least(r_1 - at_1, r_2 - at_2) - 1) + slack_1 + slack_2 >= 0"
+    fixed = [F.first(f"{c}_{k}").alias(f"{c}_{k}") for c in ("slack", "r", "few", "least") for k in (1, 2)]
+    able = met.groupBy("set_1", "set_2").agg(F.count(F.lit(1)).alias("n"), F.max("at_1").alias("at_1"), F.max("at_2").alias("at_2"), *fixed).where(f"n >= least(few_1, least_2) AND {behind}")
+    maybe = scratch.cut(able.select(F.least("set_1", "set_2").alias("a"), F.greatest("set_1", "set_2").alias("b")))
     scratch.drop(rows)
-    return found
+    return sure, maybe
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -338,11 +360,16 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     ends = F.min("label").alias("low"), F.max("label").alias("high")
     mixed = scratch.cut(small.groupBy("node", "block").agg(*ends).where("low != high").select("node", "block"))
     rest = candidates(small.join(mixed, ["node", "block"]), sets, percent, False, scratch).select("a", "b")
-    mixed = scratch.cut(crowds.groupBy("node").agg(*ends).where("low != high").select("node"))
-    crowd = scratch.cut(crowds.join(mixed, "node").select("set", "label").distinct())
+    mixed = scratch.cut(crowds.groupBy("node").agg(*ends, F.min("set").alias("a")).where("low != high").select("node", "a"))
+    crowds = scratch.cut(crowds.join(mixed, "node").select("a", "set", "label").distinct())
     scratch.drop(labelled)
-    if not crowd.isEmpty():
-        rest = rest.unionByName(crowd_pairs(texts.join(crowd, "set"), shingle, percent, scratch)).distinct()
+    if not crowds.isEmpty():
+        # crowded nodes with a set in common are one family, and its smallest set its pivot
+        family = components(crowds.where("a != set").select("a", F.col("set").alias("b")).distinct(), scratch).select(F.col("node").alias("set"), F.col("label").alias("family"))
+        crowd = crowds.select("set", "label").distinct().join(family, "set", "left").select("set", "label", F.coalesce("family", "set").alias("family"))
+        pivots = texts.select(F.col("set").alias("family"), F.col("text").alias("pivot"))
+        sure, maybe = crowd_pairs(texts.join(crowd, "set").join(pivots, "family"), shingle, percent, scratch)
+        links, rest = links.unionByName(sure), rest.unionByName(maybe).distinct()
     more = confirmed(rest.join(nearest, ["a", "b"], "left_anti"), texts, shingle, percent, scratch)
     scratch.drop(texts)
     label = components(links.unionByName(more), scratch)
