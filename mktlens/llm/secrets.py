@@ -91,6 +91,13 @@ def hex_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return at[first | np.isin(at, ends)]
 
 
+def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many code points of the UTF-8 bytes `data` start before each place of `at` (less than their number), in one pass."""
+    places, back = np.unique(np.append(at, 0), return_inverse=True)
+    between = np.add.reduceat((data & 0xC0) != 0x80, places, dtype=np.int64)
+    return (np.cumsum(between) - between)[back[:-1]]
+
+
 def spans_of(data: np.ndarray, ends: np.ndarray, words: ahocorasick.Automaton) -> dict[int, list[tuple[int, int, str]]]:
     """By row: (start, end, kind) in code points, by start, then kind as listed. Rows without any are left out."""
     whole = data.tobytes()
@@ -98,7 +105,7 @@ def spans_of(data: np.ndarray, ends: np.ndarray, words: ahocorasick.Automaton) -
     hits += [(int(at), "hex") for at in hex_starts(data, ends)]
     hits.sort()
     rows = np.searchsorted(ends, [at for at, _ in hits], side="right") - 1
-    found: dict[int, list[tuple[int, int, str]]] = {}
+    matches: list[tuple[int, int, int, str]] = []  # row, first byte, bytes, kind
     past: dict[str, int] = {}  # matches of one kind don't overlap
     text, now = b"", -1
     for row, (at, kind) in zip(rows.tolist(), hits, strict=True):
@@ -110,8 +117,15 @@ def spans_of(data: np.ndarray, ends: np.ndarray, words: ahocorasick.Automaton) -
             continue
         past[kind] = m.end()
         if passes(m):
-            start = len(text[: m.start()].decode())
-            found.setdefault(row, []).append((start, start + len(m[0]), kind))
+            matches.append((row, base + m.start(), len(m[0]), kind))
+    found: dict[int, list[tuple[int, int, str]]] = {}
+    if not matches:
+        return found
+    at = np.array([m[1] for m in matches])
+    points = code_points(data, np.concatenate([at, ends[[m[0] for m in matches]]]))
+    starts = points[: len(at)] - points[len(at) :]
+    for (row, _, length, kind), start in zip(matches, starts.tolist(), strict=True):
+        found.setdefault(row, []).append((start, start + length, kind))
     for spans in found.values():
         spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return found
