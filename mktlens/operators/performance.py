@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import product
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_cdf
 from ..params import EventFilter, Grid
 from .events import contrarian_flag, filter_events
-from .statistics import auc, benjamini_hochberg, bootstrap_mean, information_ratio, point_biserial
+from .features import as_of_book
+from .statistics import auc, benjamini_hochberg, information_ratio, point_biserial, win_rate_interval
 
 
 def won() -> Column:
@@ -23,20 +22,36 @@ def _sum_if(c: Column, x: Column) -> Column:
 
 
 def metric_sums() -> list[Column]:
-    """Sums over resolved events that all metrics are made of; they combine map-side."""
+    """Sums over resolved events that all metrics are made of; they combine map-side, and from cell to cell.
+
+    Prices have few digits, so their sums are exact decimals, whatever order they are taken in.
+    """
+    gain = F.when(won(), 1 - F.col("price")).when(~won(), -F.col("price"))
     return [
         F.count(won()).alias("n"),
         F.count_if(won()).alias("wins"),
         _sum_if(won().isNotNull(), F.col("notional")).alias("total_notional"),
         _sum_if(won(), F.col("notional") * (1 - F.col("price"))).alias("win_pnl"),
         _sum_if(~won(), -F.col("notional") * F.col("price")).alias("loss_pnl"),
-        _sum_if(won().isNotNull(), F.col("price")).alias("price_sum"),
+        _exact(F.when(won().isNotNull(), F.col("price"))).alias("price_sum"),
         _sum_if(won().isNotNull(), F.col("price") * F.col("notional")).alias("price_notional"),
-        F.avg(F.when(won(), 1 - F.col("price")).when(~won(), -F.col("price"))).alias("mean_return"),
-        F.stddev_samp(F.when(won(), 1 - F.col("price")).when(~won(), -F.col("price"))).alias("std_return"),
+        _exact(gain).alias("return_sum"),
+        _sum_if(won().isNotNull(), gain * gain).alias("return_squares"),
+        F.min(gain).alias("return_min"),
+        F.max(gain).alias("return_max"),
     ]
 
 
+def _exact(x: Column) -> Column:
+    return F.coalesce(F.sum(x.cast("decimal(18,8)")), F.lit(0).cast("decimal(28,8)"))
+
+
+def combined_sums() -> list[Column]:
+    """metric_sums of groups of groups."""
+    plain = ("n", "wins", "total_notional", "win_pnl", "loss_pnl", "price_sum", "price_notional", "return_sum", "return_squares")
+    return [*(F.sum(c).alias(c) for c in plain), F.min("return_min").alias("return_min"), F.max("return_max").alias("return_max")]
+
+
 def _per(x: Column, n: Column) -> Column:
     return F.coalesce(x / F.nullif(n, F.lit(0)), F.lit(0.0))
 
@@ -47,6 +62,9 @@ def metrics(sums: DataFrame, weighted: bool = False) -> DataFrame:
     weighted: the average price is weighted by notional, and Kelly's fraction may be clamped at 1.
     """
     c = F.col
+    sums = sums.withColumns({"price_sum": c("price_sum").cast("double"), "return_sum": c("return_sum").cast("double")})
+    spread = (c("return_squares") - c("return_sum") * c("return_sum") / F.nullif(c("n"), F.lit(0))) / F.nullif(c("n") - 1, F.lit(0))
+    sums = sums.withColumns({"mean_return": c("return_sum") / F.nullif(c("n"), F.lit(0)), "std_return": F.when(c("return_min") == c("return_max"), spread * 0.0).otherwise(F.sqrt(F.greatest(spread, F.lit(0.0))))})
     price = _per(c("price_notional"), c("total_notional")) if weighted else _per(c("price_sum"), c("n"))
     out = sums.withColumn("win_rate", _per(c("wins"), c("n"))).withColumn("pnl", c("win_pnl") + c("loss_pnl")).withColumn("avg_price", price)
     odds = F.when(c("avg_price") > 0, (1 - c("avg_price")) / F.nullif(c("avg_price"), F.lit(0.0))).otherwise(0.0)
@@ -121,9 +139,29 @@ def breakdown(events: DataFrame, factor: Column, baseline: float = 0.5, least: i
     return sums.where(F.col("n") >= least).withColumn("lift", (F.col("win_rate") - baseline) / baseline)
 
 
-def breakdown_intervals(events: DataFrame, factor: Column, resamples: int = 200) -> DataFrame:
-    rows = events.where(won().isNotNull()).select(factor.alias("factor"), "trade_id", won().cast("double").alias("won"))
-    return bootstrap_mean(rows, "won", "trade_id", ("factor",), resamples)
+def breakdown_intervals(events: DataFrame, factor: Column, confidence: float = 0.95, least: int = 3) -> DataFrame:
+    """factor, n, wins, win_rate and the bootstrap interval of the win rate, of groups of `least` resolved events or more."""
+    sums = events.where(won().isNotNull()).groupBy(factor.alias("factor")).agg(F.count(F.lit(1)).alias("n"), F.count_if(won()).alias("wins")).where(F.col("n") >= least)
+    return win_rate_interval(sums, "n", "wins", confidence).withColumn("win_rate", F.col("wins") / F.col("n"))
+
+
+def with_book(events: DataFrame, books: DataFrame) -> DataFrame:
+    """events with spread_bps and book_asymmetric of the last book before each (null: none)."""
+    known = books.where("mid is not null").withColumnRenamed("is_asymmetric", "book_asymmetric")
+    return as_of_book(events, known, ("spread_bps", "book_asymmetric")).drop("snapshot_id")
+
+
+def with_decile(events: DataFrame, x: str) -> DataFrame:
+    """Resolved events whose x is known, with `decile`, from 1: the place of the first event of equal x in tenths, rounded up, of all.
+
+    Events are counted by x first, so that the window runs over its distinct values only.
+    """
+    rows = events.where(won().isNotNull() & F.col(x).isNotNull())
+    counts = rows.groupBy(F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("m"))
+    all_ = Window.partitionBy()
+    before, total = F.sum("m").over(all_.orderBy("_x")) - F.col("m"), F.sum("m").over(all_)
+    places = counts.select("_x", (F.least(F.lit(9), F.floor(before / F.ceil(total / 10))) + 1).alias("decile"))
+    return rows.join(places, rows[x] == places["_x"]).drop("_x")
 
 
 def age_band(us: Column) -> Column:
@@ -140,42 +178,55 @@ def rolling_correlation(events: DataFrame, mode: str, days: int = 7, least: int
     return point_biserial(near, F.col("signal"), won(), ("day",)).where(F.col("n") >= least)
 
 
-def grid_table(spark: SparkSession, grid: Grid) -> DataFrame:
-    """One row for each configuration, with an id made of its values."""
-    rows = [
-        (f"{m}|{n:g}|{w}|{lo:g}-{hi:g}|{mm}|{o}", m, n, w, lo, hi, mm, o)
-        for m, n, w, (lo, hi), mm, o in product(grid.modes, grid.min_notionals, grid.windows, grid.price_ranges, grid.min_minutes, grid.outcomes)
-    ]
-    return spark.createDataFrame(rows, "config_id string, mode string, g_notional double, g_window int, g_low double, g_high double, g_minutes int, g_outcome string")
+def grid_axes(grid: Grid) -> dict[str, list[tuple[str, Column]]]:
+    """The values of each axis, and when an event satisfies them."""
+    c = F.col
+    return {
+        "g_mode": [(m, contrarian_flag(m)) for m in grid.modes],
+        "g_notional": [(f"{n:g}", c("notional") >= n) for n in grid.min_notionals],
+        "g_window": [(f"{w}", c("minutes_before_close") <= w) for w in grid.windows],
+        "g_price": [(f"{lo:g}-{hi:g}", c("price").between(lo, hi)) for lo, hi in grid.price_ranges],
+        "g_time": [(f"{lo:g}-{hi:g}", c("minutes_before_close").between(lo, hi)) for lo, hi in grid.time_ranges],
+        "g_outcome": [(o, F.lit(True) if o == "all" else c("outcome") == o) for o in grid.outcomes],
+    }
 
 
-def grid_events(events: DataFrame, grid: Grid) -> DataFrame:
-    """Each event with each configuration that it satisfies.
+def grid_sums(events: DataFrame, grid: Grid, *by: Column) -> DataFrame:
+    """config_id and metric_sums of each configuration that resolved events satisfy (and of each `by` within it).
 
-    A configuration is one value of each axis, so the values that an event satisfies are listed and
-    exploded, axis by axis, without a join; events outside the largest window go first.
+    Events of one cell satisfy the same values of every axis. They are summed by cell first, in one
+    pass with map-side combine; only the cells, whose number the grid bounds, go to all their
+    configurations.
     """
-    c = F.col
-    rows = events.where((c("minutes_before_close") <= max(grid.windows)) & (c("notional") >= min(grid.min_notionals)))
-    fits = {
-        "mode": [(F.lit(m), contrarian_flag(m)) for m in grid.modes],
-        "g_notional": [(F.lit(f"{n:g}"), c("notional") >= n) for n in grid.min_notionals],
-        "g_window": [(F.lit(f"{w}"), c("minutes_before_close") <= w) for w in grid.windows],
-        "g_price": [(F.lit(f"{lo:g}-{hi:g}"), c("price").between(lo, hi)) for lo, hi in grid.price_ranges],
-        "g_minutes": [(F.lit(f"{m}"), c("minutes_before_close") >= m) for m in grid.min_minutes],
-        "g_outcome": [(F.lit(o), F.lit(True) if o == "all" else c("outcome") == o) for o in grid.outcomes],
-    }
-    for axis, values in fits.items():
-        rows = rows.withColumn(axis, F.explode(F.array_compact(F.array(*(F.when(ok, v) for v, ok in values)))))
-    return rows.withColumn("config_id", F.concat_ws("|", *fits))
+    axes = grid_axes(grid)
+    bits = lambda values: sum((F.when(ok, F.lit(1 << k)).otherwise(0) for k, (_, ok) in enumerate(values)), F.lit(0))
+    rows = events.where(won().isNotNull() & (F.col("minutes_before_close") <= max(grid.windows)) & (F.col("notional") >= min(grid.min_notionals)))
+    rows = rows.withColumns({axis: bits(values) for axis, values in axes.items()}).where(" AND ".join(f"{axis} > 0" for axis in axes))
+    names = [f"by{k}" for k in range(len(by))]
+    cells = rows.groupBy(*axes, *(x.alias(n) for x, n in zip(by, names, strict=True))).agg(*metric_sums())
+    for axis, values in axes.items():
+        met = (F.when(F.col(axis).bitwiseAND(F.lit(1 << k)) != 0, F.lit(value)) for k, (value, _) in enumerate(values))
+        cells = cells.withColumn(axis, F.explode(F.array_compact(F.array(*met))))
+    return cells.groupBy(F.concat_ws("|", *axes).alias("config_id"), *names).agg(*combined_sums())
+
+
+OBJECTIVES = ("pnl", "roi", "profit_factor", "edge_points", "sharpe")
 
 
 def grid_search(events: DataFrame, grid: Grid) -> DataFrame:
-    """Metrics, one-sided p against the baseline win rate, FDR and ranks of all configurations with enough events."""
-    sums = grid_events(events, grid).groupBy("config_id").agg(*metric_sums()).where(F.col("n") >= grid.min_events)
+    """Metrics, one-sided p against the baseline win rate, FDR, ranks and Pareto front of all configurations with enough events."""
     base = grid.baseline_win_rate
-    tested = metrics(sums).withColumn("p_value", 1 - normal_cdf((F.col("win_rate") - base) / F.sqrt(base * (1 - base) / F.col("n"))))
-    return ranks(benjamini_hochberg(tested, "p_value", "config_id"), ("roi", "sharpe", "edge_points", "win_rate", "pnl"))
+    tested = metrics(grid_sums(events, grid).where(F.col("n") >= grid.min_events))
+    tested = tested.withColumn("p_value", 1 - normal_cdf((F.col("win_rate") - base) / F.sqrt(base * (1 - base) / F.col("n"))))
+    adjusted = benjamini_hochberg(tested, "p_value", "config_id").withColumn("significant", F.col("adjusted_p") < grid.alpha)
+    ranked = ranks(adjusted, OBJECTIVES)
+    front = pareto(ranked.select("config_id", *(F.round(o, 9).alias(o) for o in OBJECTIVES)), OBJECTIVES).select("config_id", F.lit(True).alias("pareto"))
+    return ranked.join(front, "config_id", "left").na.fill(False, ["pareto"])
+
+
+def grid_intervals(events: DataFrame, grid: Grid, confidence: float = 0.95) -> DataFrame:
+    """config_id, n, wins, ci_low, ci_high: bootstrap interval of the win rate of configurations with enough events."""
+    return win_rate_interval(grid_sums(events, grid).where(F.col("n") >= grid.min_events).select("config_id", "n", "wins"), "n", "wins", confidence)
 
 
 def ranks(results: DataFrame, objectives: tuple[str, ...]) -> DataFrame:
@@ -183,7 +234,7 @@ def ranks(results: DataFrame, objectives: tuple[str, ...]) -> DataFrame:
     return results.withColumns({f"rank_{o}": F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round(o, 9)), "config_id")) for o in objectives})
 
 
-def pareto(results: DataFrame, objectives: tuple[str, ...] = ("roi", "sharpe", "win_rate")) -> DataFrame:
+def pareto(results: DataFrame, objectives: tuple[str, ...] = OBJECTIVES) -> DataFrame:
     """The configurations that no other one dominates (at least equal in all objectives, better in one).
 
     Results are one row for each configuration, so one side is broadcast by Spark.
@@ -197,7 +248,8 @@ def pareto(results: DataFrame, objectives: tuple[str, ...] = ("roi", "sharpe", "
 
 
 def grid_information_ratio(events: DataFrame, grid: Grid) -> DataFrame:
-    return information_ratio(grid_events(events, grid).where(won().isNotNull()), "config_id", "ts", "outcome_won", "price")
+    daily = grid_sums(events, grid, F.to_date("ts")).withColumnRenamed("by0", "day").withColumn("price_sum", F.col("price_sum").cast("double"))
+    return information_ratio(daily, "config_id", "day", "n", "wins", "price_sum")
 
 
 def sensitivity(events: DataFrame, base: EventFilter, parameter: str, values: tuple, mode: str) -> DataFrame:

@@ -104,7 +104,7 @@ def calibration_curve(df: DataFrame, predicted: str, label: str, bins: int = 10)
     return df.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(predicted).alias("mean_predicted"), F.avg(F.col(label).cast("double")).alias("mean_actual"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, key: str, by: tuple[str, ...] = (), resamples: int = 200, confidence: float = 0.95) -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: str, key: str, by: tuple[str, ...] = (), resamples: int = 1000, confidence: float = 0.95) -> DataFrame:
     """Percentile interval of the mean: n, mean, ci_low, ci_high.
 
     A Poisson bootstrap: each row's weight in each resample comes from a hash of its key, so that
@@ -140,31 +140,59 @@ def quantile_sketch(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
     return sketch.select(*by, *(F.expr(f"kll_sketch_get_quantile_double(sketch, {q})").alias(f"q{str(q)[2:]}") for q in (0.5, 0.95, 0.99, 0.999)))
 
 
-def information_ratio(df: DataFrame, by: str, ts: str, won: str, price: str) -> DataFrame:
-    """Mean over deviation of weekly edges; a week starts with the event that is 7 days after the last start.
+def win_rate_interval(df: DataFrame, n: str, wins: str, confidence: float = 0.95, reach: float = 12.0) -> DataFrame:
+    """df with ci_low and ci_high: the percentile interval of the bootstrapped win rate.
 
-    Weeks restart at events, so this is a fold over each group's events in order. Weeks below 3
+    A resample of n events with replacement has a binomial number of wins, so the interval's ends
+    are quantiles of that distribution, which no resampling has to estimate. They are summed over
+    the numbers within `reach` deviations of the mean.
+    """
+    count, rate = F.col(n).cast("double"), F.col(wins) / F.col(n)
+    certain = F.col(wins).isin(0) | (F.col(wins) == F.col(n))
+    p = F.when(certain, F.lit(0.5)).otherwise(rate)  # without both wins and losses there is nothing to sum
+    half = F.lit(reach) * F.sqrt(count * p * (1 - p)) + reach
+    low, high = F.greatest(F.lit(0), F.floor(count * p - half)), F.least(F.col(n), F.ceil(count * p + half))
+    odds = p / (1 - p)
+    middle = F.round(count * p)
+    # weights relative to the middle's: k + 1 against k is (n - k) / (k + 1) * odds
+    up = F.transform(F.sequence(middle.cast("long"), high.cast("long")), lambda k: F.log((count - k) / (k + 1) * odds))
+    down = F.transform(F.reverse(F.sequence(low.cast("long"), middle.cast("long"))), lambda k: F.log(k / ((count - k + 1) * odds)))
+    sums = lambda steps: F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    below = F.reverse(F.slice(sums(F.slice(down, F.lit(1), F.size(down) - 1)), 2, F.size(down)))
+    weights = F.transform(F.concat(below, sums(F.slice(up, F.lit(1), F.size(up) - 1))), F.exp)
+    out = df.withColumn("_low", low).withColumn("_w", weights).withColumn("_all", F.aggregate("_w", F.lit(0.0), lambda a, x: a + x))
+
+    def quantile(q: float) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("k"))
+        step = lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["k"] + (a["sum"] + w < F.lit(q) * F.col("_all")).cast("long")).alias("k"))
+        return (F.col("_low") + F.aggregate("_w", start, step)["k"]) / count
+
+    side = (1 - confidence) / 2
+    return out.withColumns({"ci_low": F.when(certain, rate).otherwise(quantile(side)), "ci_high": F.when(certain, rate).otherwise(quantile(1 - side))}).drop("_low", "_w", "_all")
+
+
+def information_ratio(daily: DataFrame, by: str, day: str, n: str, wins: str, price_sum: str) -> DataFrame:
+    """Mean over deviation of weekly edges; a week starts with the first day with events that is 7 days after the last start.
+
+    daily: one row for each `by` and day. Weeks restart at days with events, so this is a fold over
+    each group's days in order, of which there are as many as the calendar has. Weeks below 3
     events and the last, open one don't count; below 10 events or 2 weeks the ratio is 0.
     """
-    day = F.unix_micros(ts) / 86_400_000_000.0
-    rows = F.sort_array(F.collect_list(F.struct(day.alias("t"), F.col(won).cast("double").alias("w"), F.col(price).alias("p"))))
-    grouped = df.groupBy(by).agg(rows.alias("rows"))
-    start = F.struct(
-        F.col("rows")[0]["t"].alias("start"), F.lit(0.0).alias("n"), F.lit(0.0).alias("w"), F.lit(0.0).alias("p"), F.array().cast("array<double>").alias("edges")
-    )
+    rows = F.sort_array(F.collect_list(F.struct(F.unix_date(day).alias("t"), F.col(n).cast("double").alias("n"), F.col(wins).cast("double").alias("w"), F.col(price_sum).alias("p"))))
+    grouped = daily.groupBy(by).agg(rows.alias("rows"), F.sum(n).alias("n"))
+    none = F.array().cast("array<double>")
+    start = F.struct(F.col("rows")[0]["t"].alias("start"), F.lit(0.0).alias("n"), F.lit(0.0).alias("w"), F.lit(0.0).alias("p"), none.alias("edges"))
 
     def step(acc: Column, x: Column) -> Column:
         new = x["t"] - acc["start"] >= 7
-        edge = F.when(acc["n"] >= 3, F.array(acc["w"] / acc["n"] - acc["p"] / acc["n"])).otherwise(F.array().cast("array<double>"))
+        edge = F.when(acc["n"] >= 3, F.array(acc["w"] / acc["n"] - acc["p"] / acc["n"])).otherwise(none)
         return F.struct(
             F.when(new, x["t"]).otherwise(acc["start"]).alias("start"),
-            F.when(new, F.lit(1.0)).otherwise(acc["n"] + 1).alias("n"),
-            F.when(new, x["w"]).otherwise(acc["w"] + x["w"]).alias("w"),
-            F.when(new, x["p"]).otherwise(acc["p"] + x["p"]).alias("p"),
+            *((F.when(new, x[c]).otherwise(acc[c] + x[c])).alias(c) for c in ("n", "w", "p")),
             F.when(new, F.concat(acc["edges"], edge)).otherwise(acc["edges"]).alias("edges"),
         )
 
-    edges = grouped.select(by, F.size("rows").alias("n"), F.aggregate("rows", start, step)["edges"].alias("edges"))
+    edges = grouped.select(by, "n", F.aggregate("rows", start, step)["edges"].alias("edges"))
     mean = F.aggregate("edges", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("edges"), F.lit(0))
     edges = edges.withColumn("mean", mean)
     var = F.aggregate("edges", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(F.size("edges") - 1, F.lit(0))

@@ -43,16 +43,17 @@ class EventFilter:
 
 @dataclass(frozen=True)
 class Grid:
-    """A strategy grid: one configuration for each combination."""
+    """A strategy grid: one configuration for each combination. The default axes."""
 
-    modes: tuple[str, ...] = ("price_only", "vs_trend", "vs_ofi", "vs_both")
-    min_notionals: tuple[float, ...] = (500.0, 1000.0, 2000.0)
-    windows: tuple[int, ...] = (240, 720, 1440)
-    price_ranges: tuple[tuple[float, float], ...] = ((0.05, 0.3), (0.3, 0.7), (0.7, 0.95), (0.05, 0.95), (0.0, 1.0))
-    min_minutes: tuple[int, ...] = (0, 10, 30, 60)
+    modes: tuple[str, ...] = ("vs_ofi", "vs_trend", "price_only", "vs_both")
+    min_notionals: tuple[float, ...] = (500.0, 1000.0, 5000.0)
+    windows: tuple[int, ...] = (30, 60, 120)
+    price_ranges: tuple[tuple[float, float], ...] = ((0.10, 0.25), (0.25, 0.40), (0.40, 0.60), (0.60, 0.80), (0.80, 1.00))
+    time_ranges: tuple[tuple[float, float], ...] = ((0, 15), (15, 30), (30, 60), (45, 60))
     outcomes: tuple[str, ...] = ("Yes", "No", "all")
     min_events: int = 30
     baseline_win_rate: float = 0.05
+    alpha: float = 0.1
 
 
 @dataclass(frozen=True)

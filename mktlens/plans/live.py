@@ -11,7 +11,7 @@ from ..operators import features as X
 from ..sources import views as V
 from .registry import query
 from .research import r6
-from .sqlviews import views
+from .sqlviews import BOOK, views
 
 HOUR = "(PARTITION BY token_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)"
 FIVE = "(PARTITION BY token_id ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW)"
@@ -79,17 +79,6 @@ def w8(spark, d):
     return X.cusum(per_hour, "key", "h", "x").na.fill(0, ["change_at"]).select("key", "n", "statistic", "score", "change_at", "direction")
 
 
-BOOK = """, b AS (SELECT l.*, max(CASE WHEN is_bid THEN price END) OVER s AS best_bid, min(CASE WHEN NOT is_bid THEN price END) OVER s AS best_ask,
-  row_number() OVER (PARTITION BY snapshot_id, is_bid ORDER BY CASE WHEN is_bid THEN -price ELSE price END) AS place FROM levels l WINDOW s AS (PARTITION BY snapshot_id)),
-g AS (SELECT snapshot_id, ts, token_id, condition_id, category, best_bid, best_ask, (best_bid + best_ask) / 2 AS mid,
- coalesce(sum(size) FILTER (is_bid AND abs(price - (best_bid + best_ask) / 2) <= (best_bid + best_ask) / 2 * 0.05 + 1e-9), 0) AS bid_5, coalesce(sum(size) FILTER (NOT is_bid AND abs(price - (best_bid + best_ask) / 2) <= (best_bid + best_ask) / 2 * 0.05 + 1e-9), 0) AS ask_5,
- coalesce(sum(size) FILTER (is_bid AND abs(price - (best_bid + best_ask) / 2) <= (best_bid + best_ask) / 2 * 0.1 + 1e-9), 0) AS bid_10, coalesce(sum(size) FILTER (NOT is_bid AND abs(price - (best_bid + best_ask) / 2) <= (best_bid + best_ask) / 2 * 0.1 + 1e-9), 0) AS ask_10,
- coalesce(sum(size) FILTER (is_bid AND place <= 5), 0) AS bid_top5, coalesce(sum(size) FILTER (NOT is_bid AND place <= 5), 0) AS ask_top5 FROM b GROUP BY ALL),
-m AS (SELECT *, (best_ask - best_bid) / mid * 10000 AS spread_bps, bid_5 + bid_10 AS bid_depth, ask_5 + ask_10 AS ask_depth, coalesce((bid_10 - ask_10) / nullif(bid_10 + ask_10, 0), 0) AS imbalance,
- coalesce((bid_top5 - ask_top5) / nullif(bid_top5 + ask_top5, 0), 0) AS imbalance_top5, coalesce(least(bid_5 + bid_10, ask_5 + ask_10) / nullif(greatest(bid_5 + bid_10, ask_5 + ask_10), 0), 1) AS thin_ratio FROM g),
-books AS (SELECT *, least(1, abs(imbalance) / 0.7) AS book_imbalance_score, greatest(0, 1 - thin_ratio) AS thin_opposite_score, greatest(0, 1 - spread_bps / 500) AS spread_score, least(1, (bid_depth + ask_depth) / 100) AS depth_score,
- abs(imbalance) > 0.5 AND thin_ratio < 0.3 AS is_asymmetric, bid_10 >= 100 AND ask_10 >= 100 AS depth_adequate, CASE WHEN abs(imbalance) <= 0.3 THEN 'balanced' WHEN imbalance > 0 THEN 'ask' ELSE 'bid' END AS thin_side FROM m)
-"""
 BOOK_COLUMNS = ("best_bid", "best_ask", "mid", "spread_bps", "bid_depth", "ask_depth", "imbalance", "imbalance_top5", "thin_ratio", "book_imbalance_score", "thin_opposite_score", "spread_score", "depth_score")
 
 

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import time_bucket
 from ..operators import events as E
+from ..operators import features as X
 from ..operators import performance as P
 from ..operators import statistics as S
 from ..params import EventFilter, Grid
 from ..sources import views as V
 from .registry import query
-from .sqlviews import views
+from .sqlviews import BOOK, views
 
 WITH = views("events")
+WITH_BOOKS = views("events", "levels") + BOOK
 MODES = ("price_only", "vs_trend", "vs_ofi", "vs_both")
-SMALL = Grid(min_notionals=(500.0, 2000.0), windows=(720, 1440), price_ranges=((0.05, 0.3), (0.0, 1.0)), min_minutes=(0, 60), outcomes=("Yes", "all"))
 
 
 def contrarian(spark, d: str) -> DataFrame:
@@ -72,8 +73,8 @@ def w7(spark, d):
 
 SUMS = """count(outcome_won) AS n, CAST(count_if(outcome_won) AS BIGINT) AS wins, coalesce(sum(notional) FILTER (outcome_won IS NOT NULL), 0) AS total_notional,
  coalesce(sum(notional * (1 - price)) FILTER (outcome_won), 0) AS win_pnl, coalesce(sum(-notional * price) FILTER (NOT outcome_won), 0) AS loss_pnl,
- coalesce(sum(price) FILTER (outcome_won IS NOT NULL), 0) AS price_sum, coalesce(sum(price * notional) FILTER (outcome_won IS NOT NULL), 0) AS price_notional,
- avg(CASE WHEN outcome_won THEN 1 - price WHEN NOT outcome_won THEN -price END) AS mean_return,
+ coalesce(CAST(sum(CAST(price AS DECIMAL(18,8))) FILTER (outcome_won IS NOT NULL) AS DOUBLE), 0) AS price_sum, coalesce(sum(price * notional) FILTER (outcome_won IS NOT NULL), 0) AS price_notional,
+ CAST(sum(CAST(CASE WHEN outcome_won THEN 1 - price WHEN NOT outcome_won THEN -price END AS DECIMAL(18,8))) AS DOUBLE) / nullif(count(outcome_won), 0) AS mean_return,
  stddev_samp(CASE WHEN outcome_won THEN 1 - price WHEN NOT outcome_won THEN -price END) AS std_return"""
 
 
@@ -225,9 +226,42 @@ def a9_age(spark, d):
     return P.breakdown(contrarian(spark, d), P.age_band(F.col("wallet_age_us")))
 
 
-@query("a14_bootstrap_intervals")
+LIQUIDITY = WITH_BOOKS + """, spreads AS (SELECT c.*, b.spread_bps FROM contrarian c ASOF LEFT JOIN (SELECT token_id, ts, spread_bps FROM books WHERE mid IS NOT NULL) b ON b.token_id = c.token_id AND b.ts <= c.ts),
+tenths AS (SELECT *, least(9, floor((rank() OVER (ORDER BY spread_bps) - 1) / ceil(count(*) OVER () / 10))) + 1 AS decile FROM spreads WHERE outcome_won IS NOT NULL AND spread_bps IS NOT NULL)
+"""
+
+
+@query(
+    "a9_w13_breakdown_liquidity",
+    LIQUIDITY + f"SELECT CAST(decile AS BIGINT) AS factor, count(*) AS n, {r6({'win_rate': 'avg(CAST(outcome_won AS DOUBLE))', 'lift': '(avg(CAST(outcome_won AS DOUBLE)) - 0.5) / 0.5'})} FROM tenths GROUP BY 1 HAVING count(*) >= 3",
+)
+def a9_liquidity(spark, d):
+    events = P.with_book(contrarian(spark, d), X.book_metrics(V.book_levels(spark, d)))
+    return P.breakdown(P.with_decile(events, "spread_bps"), F.col("decile"))
+
+
+def interval_sql(relation: str, key: str, confidence: float = 0.95) -> str:
+    """ci_low and ci_high of the win rate in a relation (key, n, wins): quantiles of the binomial distribution."""
+    side = (1 - confidence) / 2
+    return f"""(SELECT {key}, n, wins, min(k) FILTER (cdf >= {side}) / n AS ci_low, min(k) FILTER (cdf >= {1 - side}) / n AS ci_high
+ FROM (SELECT *, sum(CASE WHEN wins IN (0, n) THEN CASE WHEN k = wins THEN 1 ELSE 0 END
+   ELSE exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(wins / n) + (n - k) * ln(1 - wins / n)) END) OVER (PARTITION BY {key} ORDER BY k) AS cdf
+  FROM (SELECT {key}, n, wins, unnest(generate_series(0, n)) AS k FROM {relation})) GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "a14_bootstrap_intervals",
+    WITH + f"SELECT factor, n, wins, {r6({'ci_low': 'ci_low', 'ci_high': 'ci_high', 'win_rate': 'wins / n'})} FROM " + interval_sql(f"(SELECT category AS factor, count(*) AS n, CAST(count_if(outcome_won) AS BIGINT) AS wins FROM contrarian WHERE {RESOLVED} GROUP BY 1 HAVING count(*) >= 3)", "factor"),
+)
 def a14(spark, d):
-    return P.breakdown_intervals(contrarian(spark, d), F.col("category"))
+    return P.breakdown_intervals(contrarian(spark, d), F.col("category")).select("factor", "n", "wins", "ci_low", "ci_high", "win_rate")
+
+
+@query("a14_resampled_means")
+def a14_means(spark, d):
+    """Returns by category, resampled: unlike win rates, their distribution has no closed form."""
+    gain = F.when(F.col("outcome_won"), 1 - F.col("price")).otherwise(-F.col("price"))
+    return S.bootstrap_mean(contrarian(spark, d).where("outcome_won IS NOT NULL").withColumn("gain", gain), "gain", "trade_id", ("category",))
 
 
 @query(
@@ -278,42 +312,73 @@ def w14(spark, d):
     return P.rolling_correlation(contrarian(spark, d), "price_only")
 
 
-GRID = """(SELECT c.*, mode || '|' || gn || '|' || gw || '|' || gp || '|' || gm || '|' || go AS config_id FROM contrarian c,
- (SELECT unnest(['price_only', 'vs_trend', 'vs_ofi', 'vs_both']) AS mode), (SELECT unnest(['500', '2000']) AS gn), (SELECT unnest(['720', '1440']) AS gw),
- (SELECT unnest(['0.05-0.3', '0-1']) AS gp), (SELECT unnest(['0', '60']) AS gm), (SELECT unnest(['Yes', 'all']) AS go)
+GRID = """(SELECT c.*, mode || '|' || gn || '|' || gw || '|' || gp || '|' || gt || '|' || go AS config_id FROM contrarian c,
+ (SELECT unnest(['vs_ofi', 'vs_trend', 'price_only', 'vs_both']) AS mode), (SELECT unnest(['500', '1000', '5000']) AS gn), (SELECT unnest(['30', '60', '120']) AS gw),
+ (SELECT unnest(['0.1-0.25', '0.25-0.4', '0.4-0.6', '0.6-0.8', '0.8-1']) AS gp), (SELECT unnest(['0-15', '15-30', '30-60', '45-60']) AS gt), (SELECT unnest(['Yes', 'No', 'all']) AS go)
  WHERE CASE mode WHEN 'price_only' THEN is_price_contrarian WHEN 'vs_trend' THEN is_against_trend WHEN 'vs_ofi' THEN is_against_ofi ELSE is_contrarian END
-  AND notional >= CAST(gn AS DOUBLE) AND minutes_before_close <= CAST(gw AS DOUBLE) AND (gp = '0-1' OR price BETWEEN 0.05 AND 0.3) AND minutes_before_close >= CAST(gm AS DOUBLE) AND (go = 'all' OR outcome = go))"""
+  AND notional >= CAST(gn AS DOUBLE) AND minutes_before_close <= CAST(gw AS DOUBLE) AND price BETWEEN CAST(split_part(gp, '-', 1) AS DOUBLE) AND CAST(split_part(gp, '-', 2) AS DOUBLE)
+  AND minutes_before_close BETWEEN CAST(split_part(gt, '-', 1) AS DOUBLE) AND CAST(split_part(gt, '-', 2) AS DOUBLE) AND (go = 'all' OR outcome = go))"""
 NORMAL = "0.5 * (1 + sign(z) * (1 - ((((1.061405429 * t + -1.453152027) * t + 1.421413741) * t + -0.284496736) * t + 0.254829592) * t * exp(-z * z)))"
-TESTED = f"(SELECT *, 1 - {NORMAL} AS p_value FROM (SELECT *, 1 / (1 + 0.3275911 * abs(z)) AS t FROM (SELECT *, (win_rate - 0.05) / sqrt(0.05 * 0.95 / n) / sqrt(2.0) AS z FROM {metrics_sql(GRID, 'config_id', False, 'HAVING count(outcome_won) >= 30')})))"
 
 
-@query(
-    "a24_j11_w12_grid_search",
-    WITH
-    + f"""SELECT config_id, n, wins, {ROUNDED}, {r6({"p_value": "p_value", "adjusted_p": "adjusted_p"})}, adjusted_p <= 0.05 AS significant,
- row_number() OVER (ORDER BY round(roi, 9) DESC, config_id) AS rank_roi, row_number() OVER (ORDER BY round(sharpe, 9) DESC, config_id) AS rank_sharpe
-FROM (SELECT *, least(1, min(p_value * m / rk) OVER (ORDER BY p_value DESC, config_id DESC)) AS adjusted_p
- FROM (SELECT *, row_number() OVER (ORDER BY p_value, config_id) AS rk, count(*) OVER () AS m FROM {TESTED}))""",
-)
+def tested_sql(least: int) -> str:
+    return f"(SELECT *, 1 - {NORMAL} AS p_value FROM (SELECT *, 1 / (1 + 0.3275911 * abs(z)) AS t FROM (SELECT *, (win_rate - 0.05) / sqrt(0.05 * 0.95 / n) / sqrt(2.0) AS z FROM {metrics_sql(GRID, 'config_id', False, f'HAVING count(outcome_won) >= {least}')})))"
+
+
+RANKED = ", ".join(f"row_number() OVER (ORDER BY round({o}, 9) DESC, config_id) AS rank_{o}" for o in P.OBJECTIVES)
+
+
+def search_sql(least: int) -> str:
+    no_worse, better = (" AND ".join(f"round(b.{o}, 9) >= round(a.{o}, 9)" for o in P.OBJECTIVES), " OR ".join(f"round(b.{o}, 9) > round(a.{o}, 9)" for o in P.OBJECTIVES))
+    return (
+        WITH
+        + f""", g AS (SELECT *, {RANKED} FROM (SELECT *, least(1, min(p_value * m / rk) OVER (ORDER BY p_value DESC, config_id DESC)) AS adjusted_p
+ FROM (SELECT *, row_number() OVER (ORDER BY p_value, config_id) AS rk, count(*) OVER () AS m FROM {tested_sql(least)})))
+SELECT config_id, n, wins, {ROUNDED}, {r6({"p_value": "p_value", "adjusted_p": "adjusted_p"})}, adjusted_p < 0.1 AS significant, {", ".join(f"rank_{o}" for o in P.OBJECTIVES)},
+ NOT EXISTS (SELECT 1 FROM g b WHERE b.config_id <> a.config_id AND {no_worse} AND ({better})) AS pareto FROM g a"""
+    )
+
+
+SEARCHED = ("config_id", "n", "wins", *SHOWN, "p_value", "adjusted_p", "significant", *(f"rank_{o}" for o in P.OBJECTIVES), "pareto")
+
+
+@query("a24_j11_w12_grid_search", search_sql(30))
 def a24(spark, d):
-    return P.grid_search(contrarian(spark, d), SMALL).select("config_id", "n", "wins", *SHOWN, "p_value", "adjusted_p", "significant", "rank_roi", "rank_sharpe")
+    return P.grid_search(contrarian(spark, d), Grid()).select(*SEARCHED)
+
+
+@query("a24_grid_search_all", search_sql(1))
+def a24_all(spark, d):
+    """Every configuration with an event at all."""
+    return P.grid_search(contrarian(spark, d), Grid(min_events=1)).select(*SEARCHED)
 
 
 @query(
-    "j12_pareto",
-    WITH
-    + f""", g AS (SELECT config_id, round(roi, 9) AS roi, round(sharpe, 9) AS sharpe, round(win_rate, 9) AS win_rate FROM {metrics_sql(GRID, "config_id", False, "HAVING count(outcome_won) >= 30")})
-SELECT config_id, {r6({"roi": "roi", "sharpe": "sharpe", "win_rate": "win_rate"})} FROM g a
-WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.config_id <> a.config_id AND b.roi >= a.roi AND b.sharpe >= a.sharpe AND b.win_rate >= a.win_rate AND (b.roi > a.roi OR b.sharpe > a.sharpe OR b.win_rate > a.win_rate))""",
+    "a24_grid_intervals",
+    WITH + f"SELECT config_id, n, wins, {r6({'ci_low': 'ci_low', 'ci_high': 'ci_high'})} FROM " + interval_sql(f"(SELECT config_id, count(outcome_won) AS n, CAST(count_if(outcome_won) AS BIGINT) AS wins FROM {GRID} GROUP BY 1 HAVING count(outcome_won) >= 1)", "config_id"),
 )
+def a24_intervals(spark, d):
+    return P.grid_intervals(contrarian(spark, d), Grid(min_events=1))
+
+
+@query("j12_pareto", search_sql(5).replace("SELECT config_id, n, wins", "SELECT config_id, roi, sharpe FROM (SELECT config_id, n, wins", 1) + ") WHERE pareto")
 def j12(spark, d):
-    results = P.grid_search(contrarian(spark, d), SMALL).select("config_id", *(F.round(c, 9).alias(c) for c in ("roi", "sharpe", "win_rate")))
-    return P.pareto(results).select("config_id", "roi", "sharpe", "win_rate")
+    return P.grid_search(contrarian(spark, d), Grid(min_events=5)).where("pareto").select("config_id", "roi", "sharpe")
 
 
-@query("a25_information_ratio")
+@query(
+    "a25_information_ratio",
+    WITH.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", daily AS (SELECT config_id, CAST(ts AS DATE) AS day, count(*) AS n, count_if(outcome_won) AS w, sum(price) AS p FROM {GRID} WHERE {RESOLVED} GROUP BY 1, 2),
+starts AS (SELECT config_id, min(day) AS start FROM daily GROUP BY 1
+ UNION ALL SELECT s.config_id, min(d.day) FROM starts s JOIN daily d ON d.config_id = s.config_id AND d.day >= s.start + 7 GROUP BY s.config_id),
+weeks AS (SELECT *, lead(start) OVER (PARTITION BY config_id ORDER BY start) AS past FROM starts),
+edges AS (SELECT config_id, start, (sum(w) - sum(p)) / sum(n) AS edge FROM weeks JOIN daily USING (config_id) WHERE day >= start AND day < past GROUP BY 1, 2 HAVING sum(n) >= 3)
+SELECT config_id, round(CASE WHEN any_value(t.n) < 10 OR count(edge) < 2 THEN 0 ELSE coalesce(avg(edge) / nullif(stddev_samp(edge), 0), 0) END, 6) + 0.0 AS information_ratio
+FROM (SELECT config_id, sum(n) AS n FROM daily GROUP BY 1) t LEFT JOIN edges USING (config_id) GROUP BY 1""",
+)
 def a25(spark, d):
-    return P.grid_information_ratio(contrarian(spark, d), SMALL)
+    return P.grid_information_ratio(contrarian(spark, d), Grid())
 
 
 @query(
