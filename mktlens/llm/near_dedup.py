@@ -10,7 +10,7 @@ components are asked for, not pairs, each set's best candidates are confirmed fi
 node that is crowded at the last depth is dealt into blocks by a hash, and two of its sets, the
 pivots, join every block. Then what is not connected yet is compared in full: small nodes by
 sketches again, and the sets of crowded nodes exactly. For that, each set is told by its residue, the
-shingles by which it differs from one set of its crowd, and a prefix join on the residues' rarest
+shingles by which it differs from what most of its crowd has, and a prefix join on the residues' rarest
 tokens finds the pairs, so that a template which a crowd shares brings none of its sets together.
 A dense group of near copies thus yields pairs in proportion to its size.
 """
@@ -206,27 +206,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, sc
     return scratch.cut(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
-def residues(crowd: DataFrame, shingle: int) -> DataFrame:
-    """set, label, family, size, tokens: by which shingles each set (set, label, family, text, pivot) differs from its family's pivot.
-
-    Two sets differ in the shingles that only one of their residues has.
-    """
+def with_tokens(texts: DataFrame, shingle: int) -> DataFrame:
+    """set, label, family, tokens (hashes of the shingles) of each set (set, label, family, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            family = batch.column("family").to_numpy()
-            known, at = np.unique(family, return_index=True)
-            pivots = dict(zip(known.tolist(), shingle_sets(batch.column("pivot").take(pa.array(at)), shingle), strict=True))
-            salts = dict(zip(known.tolist(), mix(known.astype(np.uint64)), strict=True))
-            sizes, tokens = [], []
-            for own, f in zip(shingle_sets(batch.column("text"), shingle), family.tolist(), strict=True):
-                more, less = np.setdiff1d(own, pivots[f], assume_unique=True), np.setdiff1d(pivots[f], own, assume_unique=True)
-                sizes.append(len(own))
-                tokens.append(mix(np.concatenate([more, ~less]) ^ salts[f]))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)], dtype=np.int32)), pa.array(np.concatenate(tokens).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set", "label", "family")), pa.array(sizes, pa.int64()), lists], names=["set", "label", "family", "size", "tokens"])
+            sets = shingle_sets(batch.column("text"), shingle)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set", "label", "family")), lists], names=["set", "label", "family", "tokens"])
+
+    return texts.select("set", "label", "family", "text").mapInArrow(run, "set long, label long, family long, tokens array<long>")
 
-    return crowd.select("set", "label", "family", "text", "pivot").mapInArrow(run, "set long, label long, family long, size long, tokens array<long>")
+
+def residues(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """set, label, family, size, tokens: by which shingles each set differs from its family's template, those that most of its sets have.
+
+    Two sets differ in the shingles that only one of their residues has.
+    """
+    members = scratch.cut(sets.groupBy("family").agg(F.count(F.lit(1)).alias("m")))
+    common = sets.select("family", F.explode("tokens").alias("token")).groupBy("family", "token").agg(F.count(F.lit(1)).alias("n"))
+    # more than half of the sets have each of these, so they are fewer than twice a set's mean size
+    template = scratch.cut(common.join(members, "family").where("2 * n > m").groupBy("family").agg(F.collect_list("token").alias("template")))
+    both = sets.join(template, "family", "left").withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+    named = lambda tokens, kind: F.transform(tokens, lambda t: F.xxhash64("family", t, F.lit(kind)))
+    more, less = F.array_except("tokens", "template"), F.array_except("template", "tokens")
+    return both.select("set", "label", "family", F.size("tokens").cast("long").alias("size"), F.concat(named(more, "more"), named(less, "less")).alias("tokens"))
 
 
 def token_counts(rows: DataFrame) -> np.ndarray:
@@ -240,18 +244,22 @@ def token_counts(rows: DataFrame) -> np.ndarray:
 def prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """token, set, label, slack, r, at, short, few, least: the first tokens of each residue, rarest first.
 
-    rows: set, label, slack, top (the largest slack of the family), tokens. A pair's residues must have
-    -(slack + slack) / (2 * (100 + percent)) tokens in common. So the first ones of both have `few`
-    (of the set with the more slack, whose first ones are `short`) or `least` (of the other) in common.
+    rows: set, label, size, slack, top (the largest slack of the family), tokens. A pair's residues
+    must have -(slack + slack) / (2 * (100 + percent)) tokens in common. So the first ones of both
+    have `few` (of the set with the more slack, whose first ones are `short`) or `least` (of the
+    other) in common. What the other needs is bounded by `top`, and by the partner's residue being
+    no smaller than what is in common.
     """
     counts = token_counts(rows)
+    points = 100 + percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slack, top = batch.column("slack").to_numpy(), batch.column("top").to_numpy()
+            size, slack, top = (batch.column(c).to_numpy() for c in ("size", "slack", "top"))
             tokens = [t.values.to_numpy().view(np.uint64) for t in batch.column("tokens")]
             r = np.array([len(t) for t in tokens], dtype=np.int64)
-            common_short, common = np.maximum(1, -(slack // (100 + percent))), np.maximum(1, -((top + slack) // (2 * (100 + percent))))
+            common_short = np.maximum(1, -(slack // points))
+            common = np.maximum.reduce([np.ones_like(slack), -((top + slack) // (2 * points)), -((100 * (100 - percent) * size + percent * slack) // (percent * points))])
             few, least = np.minimum(TOGETHER, common_short), np.minimum(TOGETHER, common)
             first, kept = np.clip(r - common_short + few, 0, r), np.clip(r - common + least, 0, r)
             row = np.repeat(np.arange(len(r)), kept)
@@ -262,24 +270,25 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
                 [pa.array(np.concatenate(values).view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("set", "label")), *map(pa.array, numbers.values())], names=["token", "set", "label", *numbers]
             )
 
-    return rows.select("set", "label", "slack", "top", "tokens").mapInArrow(run, "token long, set long, label long, slack long, r long, at long, short boolean, few long, least long")
+    return rows.select("set", "label", "size", "slack", "top", "tokens").mapInArrow(run, "token long, set long, label long, slack long, r long, at long, short boolean, few long, least long")
 
 
 def crowd_pairs(crowd: DataFrame, shingle: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Links, and candidates for the other links, as a < b, of sets (set, label, family, text, pivot) of one family with different labels.
+    """Links, and candidates for the other links, as a < b, of sets (set, label, family, text) of one family with different labels.
 
     Where residues are short enough, sets are linked whatever they are; links to the hub, the set with
     the most slack, connect all of these. The rest must have tokens of their residues in common, and
     tokens of a template are not in residues. A token's rows of its commonest label are joined with
     the rest only, not with each other.
     """
-    differ = scratch.cut(residues(crowd, shingle).withColumn("slack", F.lit(100 - percent) * F.col("size") - F.lit(100 + percent) * F.size("tokens")))
+    sets = scratch.cut(with_tokens(crowd, shingle))
+    differ = scratch.cut(residues(sets, scratch).withColumn("slack", F.lit(100 - percent) * F.col("size") - F.lit(100 + percent) * F.size("tokens")))
     hubs = scratch.cut(differ.groupBy("family").agg(F.max(F.struct("slack", "set", "label")).alias("hub")))
     rows = differ.join(hubs, "family").withColumn("near", F.col("slack") + F.col("hub.slack") >= 0)
     sure = scratch.cut(rows.where("near AND label != hub.label").select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")))
-    rows = scratch.cut(rows.select("set", F.when(F.col("near"), F.col("hub.label")).otherwise(F.col("label")).alias("label"), "slack", F.col("hub.slack").alias("top"), "tokens"))
+    rows = scratch.cut(rows.select("set", F.when(F.col("near"), F.col("hub.label")).otherwise(F.col("label")).alias("label"), "size", "slack", F.col("hub.slack").alias("top"), "tokens"))
     every = scratch.cut(prefixes(rows, percent))
-    scratch.drop(differ, hubs, rows)
+    scratch.drop(sets, differ, hubs, rows)
     labels = every.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short"))
     shared = labels.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max("short").alias("any"), F.max(F.struct("n", "label")).alias("most"))
     shared = scratch.cut(shared.where("labels > 1 AND any").select("token", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"), F.col("most.label").alias("most")))
@@ -289,7 +298,9 @@ def crowd_pairs(crowd: DataFrame, shingle: int, percent: int, scratch: Scratch)
     one = side(rows.where("short").withColumn("share", F.pmod(F.xxhash64("set"), "shares").cast("int")), 1)
     two = side(rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))), 2)
     met = one.where("minor_1").join(two, ["token", "share"]).unionByName(one.where("NOT minor_1").join(two.where("minor_2"), ["token", "share"]))
-    met = met.where("label_1 != label_2 AND struct(slack_1, set_1) > struct(slack_2, set_2)")
+    # of the first TOGETHER tokens that a pair has in common, each leaves enough behind it for the rest
+    early = f"{2 * (100 + percent)}L * ({TOGETHER - 1} + least(r_1 - at_1, r_2 - at_2)) + slack_1 + slack_2 >= 0"
+    met = met.where(f"label_1 != label_2 AND struct(slack_1, set_1) > struct(slack_2, set_2) AND {early}")
     # both residues are in the same order, so that behind the last token in common either has only so many left
     behind = f"{2 * (100 + percent)}L * (n + least(r_1 - at_1, r_2 - at_2) - 1) + slack_1 + slack_2 >= 0"
     fixed = [F.first(f"{c}_{k}").alias(f"{c}_{k}") for c in ("slack", "r", "few", "least") for k in (1, 2)]
@@ -364,11 +375,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     crowds = scratch.cut(crowds.join(mixed, "node").select("a", "set", "label").distinct())
     scratch.drop(labelled)
     if not crowds.isEmpty():
-        # crowded nodes with a set in common are one family, and its smallest set its pivot
+        # crowded nodes with a set in common are one family
         family = components(crowds.where("a != set").select("a", F.col("set").alias("b")).distinct(), scratch).select(F.col("node").alias("set"), F.col("label").alias("family"))
         crowd = crowds.select("set", "label").distinct().join(family, "set", "left").select("set", "label", F.coalesce("family", "set").alias("family"))
-        pivots = texts.select(F.col("set").alias("family"), F.col("text").alias("pivot"))
-        sure, maybe = crowd_pairs(texts.join(crowd, "set").join(pivots, "family"), shingle, percent, scratch)
+        sure, maybe = crowd_pairs(texts.join(crowd, "set"), shingle, percent, scratch)
         links, rest = links.unionByName(sure), rest.unionByName(maybe).distinct()
     more = confirmed(rest.join(nearest, ["a", "b"], "left_anti"), texts, shingle, percent, scratch)
     scratch.drop(texts)
