@@ -7,7 +7,8 @@ its smallest doc_id.
 
 Each split is one aggregate with map-side combine (a group with a third of all rows arrives as
 one row for each task), written as a table, and one equi-join with that table: both sides are plain
-exchanges, so AQE splits a hot group's partition. Only texts whose group is shared travel on; all
+exchanges, so AQE splits a hot group's partition. The number of copies grows with the corpus, so no
+side is broadcast, however few there are. Only texts whose group is shared travel on; all
 other rows leave after the first split.
 """
 
@@ -42,7 +43,7 @@ def equal_groups(texts: DataFrame, first: int = FIRST_BYTES, growth: int = GROWT
     while True:
         rows = rows.withColumn("_digit", F.substring("_rest", 1, width)).withColumn("_rest", F.expr(f"substring(_rest, {width + 1})"))
         shared = scratch.cut(rows.groupBy(*keys, "_digit").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1").withColumn("_next", F.monotonically_increasing_id()))
-        split = scratch.cut(rows.join(shared, [*keys, "_digit"]).select(*own, "_n", "keep_id", "group_size", "_next", "_rest"))
+        split = scratch.cut(rows.join(shared.hint("merge"), [*keys, "_digit"]).select(*own, "_n", "keep_id", "group_size", "_next", "_rest"))
         scratch.drop(shared, *read)
         done.append(scratch.cut(split.where(F.col("_n") <= ends).select(*own, "keep_id", "group_size")))
         rows, read = split.where(F.col("_n") > ends).select(*own, "_n", F.col("_next").alias("_group"), "_rest"), [split]
@@ -67,7 +68,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     groups = equal_groups(docs.withColumn("text_sha256", F.unhex("text_sha256"))).dropDuplicates(["doc_id", "text_sha256"]).withColumn("text_sha256", F.lower(F.hex("text_sha256")))
     same = docs["doc_id"].eqNullSafe(groups["doc_id"]) & (docs["text_sha256"] == groups["text_sha256"])
     keep = F.coalesce(groups["keep_id"], docs["doc_id"])
-    return docs.join(groups, same, "left").select(
+    return docs.join(groups.hint("merge"), same, "left").select(
         docs["doc_id"],
         keep.alias("keep_id"),
         F.coalesce(groups["group_size"], F.lit(1)).cast("long").alias("group_size"),
@@ -93,7 +94,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
         one = marked.join(twice, key, "left_semi").dropDuplicates(key)
         marked = marked.join(twice, key, "left_anti").unionByName(one)
     equal = marked["doc_id"].eqNullSafe(dropped["doc_id"]) & (marked["_text_sha256"] == dropped["_text_sha256"])
-    return marked.join(dropped, equal, "left_anti").select(docs.columns)
+    return marked.join(dropped.hint("merge"), equal, "left_anti").select(docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
