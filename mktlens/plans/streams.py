@@ -8,9 +8,10 @@ from ..functions import scores as S
 from ..operators import features as X
 from ..sources import views as V
 from ..streaming import streams as ST
+from .live import FULL, HAWKES, STRENGTH
 from .registry import query
 from .research import r6
-from .sqlviews import views
+from .sqlviews import BOOK, views
 
 T = views("trades")
 
@@ -20,26 +21,53 @@ def st1(spark, d):
     return ST.drained(spark, ST.deduplicated(ST.trade_stream(spark, d)).select("trade_id", "token_id", "notional"))
 
 
-@query("st2_tumbling_bars")
+MEASURED = f"count(*) AS trades, {r6({'volume': 'sum(notional)', 'high': 'max(price)', 'low': 'min(price)'})}"
+
+
+@query(
+    "st2_tumbling_bars",
+    T + f"SELECT minutes, token_id, time_bucket(to_minutes(minutes), ts) AS start, {MEASURED} FROM trades, (SELECT unnest([1::BIGINT, 5, 60]) AS minutes) GROUP BY 1, 2, 3",
+)
 def st2(spark, d):
-    return ST.drained(spark, ST.tumbling_bars(ST.trade_stream(spark, d)))
+    bars = [ST.drained_groups(spark, ST.tumbling_bars(ST.trade_stream(spark, d), minutes), "token_id", "start").withColumn("minutes", F.lit(minutes)) for minutes in (1, 5, 60)]
+    return bars[0].unionByName(bars[1]).unionByName(bars[2])
 
 
-@query("st3_sliding_windows")
+@query(
+    "st3_sliding_windows",
+    T + f"SELECT token_id, time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(k) AS start, {MEASURED} FROM trades, (SELECT unnest(generate_series(0, 59)) AS k) GROUP BY 1, 2",
+)
 def st3(spark, d):
-    return ST.drained(spark, ST.sliding_windows(ST.trade_stream(spark, d), 60, 15))
+    return ST.drained_groups(spark, ST.sliding_windows(ST.trade_stream(spark, d), 60, 1), "token_id", "start")
 
 
-@query("st4_st6_token_state")
-def st4(spark, d):
+def token_state(spark, d):
+    """Trades and books of a token as one stream; all that is there is one micro-batch, so that they meet in order of time."""
+    books = X.book_metrics(V.book_levels(spark, d)).where("mid is not null").select("token_id", "snapshot_id", "ts", "mid")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
     try:
-        return ST.drained(spark, ST.with_token_state(ST.trade_stream(spark, d)))
+        return ST.drained(spark, ST.with_token_state(ST.trade_stream(spark, d, files=None), ST.as_stream(books)))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+@query("st4_st6_token_state")
+def st4(spark, d):
+    return token_state(spark, d)
+
+
+@query(
+    "st6_latest_book",
+    views("trades", "levels")
+    + BOOK
+    + f""", hk AS {HAWKES} SELECT t.trade_id, {r6({"mid": "mid", "intensity": "intensity"})} FROM trades t JOIN hk USING (trade_id)
+ ASOF LEFT JOIN (SELECT token_id, ts, mid FROM books WHERE mid IS NOT NULL) b ON b.token_id = t.token_id AND b.ts <= t.ts""",
+)
+def st6(spark, d):
+    return token_state(spark, d).select("trade_id", "mid", "intensity")
+
+
 @query(
     "st5_enriched",
     views("trades", "wallets", "markets")
@@ -49,13 +77,14 @@ def st5(spark, d):
     return ST.drained(spark, ST.enriched(ST.trade_stream(spark, d), V.wallets(spark, d), V.markets(spark, d)).select("trade_id", "transaction_count", "ramp"))
 
 
-@query("st7_scored_signals")
+@query(
+    "st7_scored_signals",
+    FULL + f"SELECT trade_id, token_id, strength, false AS in_no_trade_zone, {r6({'composite': 'composite'})} FROM (SELECT *, {STRENGTH} AS strength FROM scored) WHERE strength <> 'none' AND NOT s <= 120",
+)
 def st7(spark, d):
     books, wallets, markets = X.book_metrics(V.book_levels(spark, d)), V.wallets(spark, d), V.markets(spark, d)
 
-    def score(batch):
-        scored = S.with_scores(X.feature_vectors(batch, books, wallets, markets))
-        return ST.gated(scored).select("trade_id", "token_id", "composite", "strength", F.col("in_no_trade_zone"))
+    def score(trades):
+        return S.with_scores(X.feature_vectors(trades, books, wallets, markets)).select("trade_id", "ts", "token_id", "composite", "strength", "in_no_trade_zone")
 
-    # a batch's windows see that batch only, so all trades are one
-    return ST.drained(spark, ST.trade_stream(spark, d, files=None), score)
+    return ST.gated(ST.rescored(spark, ST.trade_stream(spark, d), score)).drop("ts")

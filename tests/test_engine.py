@@ -108,7 +108,7 @@ def rows_of(frame):
     return sorted((tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in row) for row in values), key=str)
 
 
-CHECKED = ["a5_correlation_summary", "w24_contrarian_events", "a24_j11_w12_grid_search", "a10_vpin", "f15_f19_scores", "f20_f21_decisions", "w16_w17_running_bankroll", "j3_as_of_book", "st1_ingest", "p1_market_filter", "s10_historical_trades"]
+CHECKED = ["a5_correlation_summary", "w24_contrarian_events", "a24_grid_search_all", "a25_information_ratio", "a9_w13_breakdown_liquidity", "st2_tumbling_bars", "a10_vpin", "f15_f19_scores", "f20_f21_decisions", "w16_w17_running_bankroll", "j3_as_of_book", "st1_ingest", "p1_market_filter", "s10_historical_trades"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -121,17 +121,62 @@ def test_against_sql(spark, name):
     assert rows_of(got) == rows_of(expected)
 
 
-def test_streams_read_folders_of_many_files(spark, tmp_path):
+def _with_events(spark, tmp_path, events):
     from pathlib import Path
 
-    from mktlens.plans.streams import st1, st7
-
     sf = "/root/testdata/sf0.001"
     for path in Path(sf).glob("*.parquet"):
         if path.name != "events.parquet":
             (tmp_path / path.name).symlink_to(path)
+    events(spark.read.parquet(f"{sf}/events.parquet")).write.option("maxRecordsPerFile", 60).parquet(f"{tmp_path}/events.parquet")
+    return sf
+
+
+def test_streams_read_folders_of_many_files(spark, tmp_path):
+    from mktlens.plans.streams import st1, st2
+
     # in the order of time, as late trades are dropped
-    spark.read.parquet(f"{sf}/events.parquet").coalesce(1).sortWithinPartitions("ts").write.option("maxRecordsPerFile", 60).parquet(f"{tmp_path}/events.parquet")
-    for stream in (st1, st7):
+    sf = _with_events(spark, tmp_path, lambda events: events.coalesce(1).sortWithinPartitions("ts"))
+    for stream in (st1, st2):
         one, many = (sorted(map(str, stream(spark, d).collect())) for d in (sf, str(tmp_path)))
         assert one == many and one
+
+
+def test_scores_do_not_depend_on_how_trades_are_dealt(spark, tmp_path):
+    from mktlens.plans.streams import st7
+    from mktlens.streaming import streams as ST
+
+    sf = _with_events(spark, tmp_path, lambda events: events.repartition(4, F.col("event_id") % 4))
+    whole = ST.trade_stream
+    one = sorted(map(str, st7(spark, sf).collect()))
+    ST.trade_stream = lambda spark, d: whole(spark, d, files=6)
+    try:
+        assert one == sorted(map(str, st7(spark, str(tmp_path)).collect())) and one
+    finally:
+        ST.trade_stream = whole
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from mktlens.streaming import streams as ST
+
+    rows = lambda *times: spark.createDataFrame([(k, t, "a", 1.0, 1.0) for k, t in enumerate(times)], "trade_id long, ts string, token_id string, notional double, price double").withColumn("ts", F.col("ts").cast("timestamp"))
+    # a batch is held against the watermark that the batch before it began with
+    for name, part in (("a", rows("2024-01-01 12:00:00")), ("b", rows("2024-01-01 12:01:00")), ("c", rows("2024-01-01 12:02:00", "2024-01-01 08:00:00"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    schema = spark.read.parquet(f"{tmp_path}/a").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/[abc]")
+    query = ST.tumbling_bars(stream).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("noop").start()
+    query.awaitTermination()
+    assert ST.late_rows(query) == 1
+
+
+def test_win_rate_interval_is_that_of_resamples(spark):
+    import numpy as np
+
+    from mktlens.operators.statistics import win_rate_interval
+
+    cases = [(1, 1), (10, 0), (10, 3), (500, 137), (40000, 39990)]
+    rng = np.random.default_rng(0)
+    for r in win_rate_interval(spark.createDataFrame(cases, "n long, wins long"), "n", "wins").collect():
+        low, high = np.percentile(rng.binomial(r["n"], r["wins"] / r["n"], 200_000) / r["n"], [2.5, 97.5])
+        assert abs(r["ci_low"] - low) <= 1 / r["n"] and abs(r["ci_high"] - high) <= 1 / r["n"]
