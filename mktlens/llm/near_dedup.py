@@ -218,13 +218,24 @@ def with_tokens(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("set", "label", "family", "text").mapInArrow(run, "set long, label long, family long, tokens array<long>")
 
 
+def counted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """family, token, n: how many sets of a batch (family, tokens) have each token."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        tokens, family = lists.flatten().to_numpy(), np.repeat(batch.column("family").to_numpy(), lists.value_lengths().to_numpy())
+        order = np.lexsort((tokens, family))
+        tokens, family = tokens[order], family[order]
+        first = np.flatnonzero(np.append(True, (tokens[1:] != tokens[:-1]) | (family[1:] != family[:-1])))[: len(tokens)]
+        yield pa.RecordBatch.from_arrays([pa.array(family[first]), pa.array(tokens[first]), pa.array(np.diff(np.append(first, len(tokens))))], names=["family", "token", "n"])
+
+
 def residues(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """set, label, family, size, tokens: by which shingles each set differs from its family's template, those that most of its sets have.
 
     Two sets differ in the shingles that only one of their residues has.
     """
     members = scratch.cut(sets.groupBy("family").agg(F.count(F.lit(1)).alias("m")))
-    common = sets.select("family", F.explode("tokens").alias("token")).groupBy("family", "token").agg(F.count(F.lit(1)).alias("n"))
+    common = sets.select("family", "tokens").mapInArrow(counted_tokens, "family long, token long, n long").groupBy("family", "token").agg(F.sum("n").alias("n"))
     # more than half of the sets have each of these, so they are fewer than twice a set's mean size
     template = scratch.cut(common.join(members, "family").where("2 * n > m").groupBy("family").agg(F.collect_list("token").alias("template")))
     both = sets.join(template, "family", "left").withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
