@@ -175,10 +175,11 @@ def triggering_trades(trades: DataFrame, minutes: int = 60, least: float = 5000.
 
 
 def ema(df: DataFrame, key: str, order: str, x: str, alpha: float = 0.2) -> DataFrame:
-    """Exponential moving average at the end of each group, from its first value on (a fold in order)."""
-    rows = df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("v")))), lambda r: r["v"]).alias("v"))
-    value = F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), F.col("v")[0], lambda a, v: a + alpha * (v - a))
-    return rows.select(key, F.size("v").alias("n"), value.alias("ema"))
+    """Exponential moving average at the end of each group, from its first value on: a sum with weights that fall from the last row back."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(x))
+    rows = df.select(key, F.col(x).alias("_x"), (F.row_number().over(w) - 1).alias("_back"), F.lead(F.lit(1)).over(w).isNull().alias("_first"))
+    weight = F.when(F.col("_first"), 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("_back"))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(weight * F.col("_x")).alias("ema"))
 
 
 def bars(trades: DataFrame, minutes: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +70,9 @@ def recalibrated_kelly(baseline: Column, win_rate: Column, n: Column, most: floa
     return F.when(n < LEAST, baseline).otherwise(F.greatest(baseline * (1 - most), F.least(baseline * (1 + most), half)))
 
 
-def performance_history(events: DataFrame, by: str) -> DataFrame:
-    """For each strategy and day: that day's and the trailing seven days' trades, win rate and P&L."""
-    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+def performance_history(events: DataFrame, by: str, since: date) -> DataFrame:
+    """For each strategy and day (days after `since`): that day's and the trailing seven days' trades, win rate and P&L."""
+    day = F.datediff(F.to_date("ts"), F.lit(since))
     pnl = F.when(F.col("outcome_won"), F.col("notional") * (1 - F.col("price"))).otherwise(-F.col("notional") * F.col("price"))
     daily = events.where("outcome_won is not null").groupBy(by, day.alias("day")).agg(F.count(F.lit(1)).alias("trades"), F.count_if("outcome_won").alias("wins"), F.sum(pnl).alias("pnl"))
     week = Window.partitionBy(by).orderBy("day").rangeBetween(-6, 0)

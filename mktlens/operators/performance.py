@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.numeric import normal_cdf
 from ..params import EventFilter, Grid
 from .events import contrarian_flag, filter_events
 from .features import as_of_book
-from .statistics import auc, benjamini_hochberg, information_ratio, point_biserial, win_rate_interval
+from .statistics import auc_of_counts, benjamini_hochberg, flag_correlation, information_ratio, point_biserial, win_rate_interval
 
 
 def won() -> Column:
@@ -21,22 +23,23 @@ def _sum_if(c: Column, x: Column) -> Column:
     return F.coalesce(F.sum(F.when(c, x)), F.lit(0.0))
 
 
-def metric_sums() -> list[Column]:
+def metric_sums(outcome: Column | None = None) -> list[Column]:
     """Sums over resolved events that all metrics are made of; they combine map-side, and from cell to cell.
 
     Prices have few digits, so their sums are exact decimals, whatever order they are taken in.
     """
-    gain = F.when(won(), 1 - F.col("price")).when(~won(), -F.col("price"))
+    y = won() if outcome is None else outcome
+    gain = F.when(y, 1 - F.col("price")).when(~y, -F.col("price"))
     return [
-        F.count(won()).alias("n"),
-        F.count_if(won()).alias("wins"),
-        _sum_if(won().isNotNull(), F.col("notional")).alias("total_notional"),
-        _sum_if(won(), F.col("notional") * (1 - F.col("price"))).alias("win_pnl"),
-        _sum_if(~won(), -F.col("notional") * F.col("price")).alias("loss_pnl"),
-        _exact(F.when(won().isNotNull(), F.col("price"))).alias("price_sum"),
-        _sum_if(won().isNotNull(), F.col("price") * F.col("notional")).alias("price_notional"),
+        F.count(y).alias("n"),
+        F.count_if(y).alias("wins"),
+        _sum_if(y.isNotNull(), F.col("notional")).alias("total_notional"),
+        _sum_if(y, F.col("notional") * (1 - F.col("price"))).alias("win_pnl"),
+        _sum_if(~y, -F.col("notional") * F.col("price")).alias("loss_pnl"),
+        _exact(F.when(y.isNotNull(), F.col("price"))).alias("price_sum"),
+        _sum_if(y.isNotNull(), F.col("price") * F.col("notional")).alias("price_notional"),
         _exact(gain).alias("return_sum"),
-        _sum_if(won().isNotNull(), gain * gain).alias("return_squares"),
+        _sum_if(y.isNotNull(), gain * gain).alias("return_squares"),
         F.min(gain).alias("return_min"),
         F.max(gain).alias("return_max"),
     ]
@@ -90,24 +93,24 @@ def pnl_metrics(events: DataFrame, *by: str) -> DataFrame:
 
 def correlation_summary(events: DataFrame, f: EventFilter) -> DataFrame:
     """One row: signal win rate, lift, correlation with its interval, AUC, and P&L of the signals."""
-    chosen = filter_events(events, f)
-    resolved = chosen.where(won().isNotNull()).withColumn("signal", contrarian_flag(f.mode))
+    y, signal = won(), contrarian_flag(f.mode)
     flags = [F.col(c).cast("int") for c in ("is_price_contrarian", "is_against_trend", "is_against_ofi", "is_tail")]
-    counts = chosen.agg(F.count(F.lit(1)).alias("total_events"), F.count(won()).alias("resolved_events"))
-    signals = resolved.agg(
-        F.count_distinct("condition_id").alias("markets"), F.count_if("signal").alias("signals"), _per(F.count_if(F.col("signal") & won()), F.count_if("signal")).alias("signal_win_rate")
-    )
-    r = point_biserial(resolved, F.col("signal"), won()).drop("n")
-    area = auc(resolved.withColumn("score", sum(flags[1:], flags[0])), "score", "outcome_won")
-    pnl = pnl_metrics(resolved.where("signal")).select("pnl", "roi", "profit_factor", "edge_points", "kelly")
-    out = counts.crossJoin(signals).crossJoin(r).crossJoin(area).crossJoin(pnl)  # of one row each
+    # events are read once: all that follows comes from the sums of each market and score
+    counts = [F.count(F.lit(1)).alias("total_events"), F.count(y).alias("resolved_events"), F.count_if(y.isNotNull() & signal).alias("signals"), F.count_if(y).alias("won_events")]
+    cells = filter_events(events, f).groupBy("condition_id", sum(flags[1:], flags[0]).alias("score")).agg(*counts, *metric_sums(F.when(signal, y)))
+    whole = cells.agg(*(F.sum(c).alias(c) for c in ("total_events", "resolved_events", "signals", "won_events")), F.count_distinct(F.when(F.col("resolved_events") > 0, F.col("condition_id"))).alias("markets"), *combined_sums())
+    whole = metrics(whole, weighted=True).drop("mean_return", "std_return")
+    whole = whole.withColumns({"signal_win_rate": F.col("win_rate"), "n": F.col("resolved_events"), "nx": F.col("signals"), "ny": F.col("won_events"), "nxy": F.col("wins")})
+    area = auc_of_counts(cells.groupBy("score").agg(F.sum("resolved_events").alias("m"), F.sum("won_events").alias("pos")), "score")
+    out = flag_correlation(whole).crossJoin(area)  # of one row each
+    shown = ("total_events", "resolved_events", "markets", "signals", "signal_win_rate", "r", "p_value", "ci_low", "ci_high", "pnl", "roi", "profit_factor", "edge_points", "kelly")
     return out.select(
         F.lit(f.mode).alias("mode"),
-        "*",
+        *shown,
         ((F.col("signal_win_rate") - 0.5) / 0.5).alias("lift"),
         F.when(F.col("signals") >= 10, F.col("auc")).alias("signal_auc"),
         (F.col("p_value") < 0.05).alias("significant"),
-    ).drop("auc")
+    )
 
 
 def compare_modes(events: DataFrame, f: EventFilter, modes: tuple[str, ...]) -> DataFrame:
@@ -266,11 +269,26 @@ def sensitivity(events: DataFrame, base: EventFilter, parameter: str, values: tu
     return both.withColumns({f"delta_{c}": F.col(c) - F.col(f"base_{c}") for c in ("win_rate", "roi", "pnl")}).withColumn("significant", F.abs("delta_roi") > 0.05)
 
 
-def daily_rollups(events: DataFrame, windows: tuple[int, ...], notionals: tuple[float, ...], minutes: tuple[int, ...], modes: tuple[str, ...]) -> DataFrame:
-    """Correlation by day of close, lookback, least notional, window and mode."""
-    rows = events.where(won().isNotNull()).select("*", F.explode(F.array(*map(F.lit, windows))).alias("window_days"))
-    rows = rows.select("*", F.explode(F.expr("sequence(to_date(ts), date_add(to_date(ts), window_days - 1))")).alias("date")).where(F.col("date") <= F.lit("2024-01-31").cast("date"))
-    keep = lambda values, ok: F.explode(F.array_compact(F.array(*(F.when(ok(v), F.lit(v)) for v in values))))
-    rows = rows.withColumn("min_notional", keep(notionals, lambda v: F.col("notional") >= v)).withColumn("max_minutes", keep(minutes, lambda v: F.col("minutes_before_close") <= v))
-    rows = rows.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).withColumn("signal", F.coalesce(*(F.when(F.col("mode") == m, contrarian_flag(m)) for m in modes)))
-    return point_biserial(rows, F.col("signal"), won(), ("date", "window_days", "min_notional", "max_minutes", "mode"))
+def daily_rollups(events: DataFrame, last: date, windows: tuple[int, ...], notionals: tuple[float, ...], minutes: tuple[int, ...], modes: tuple[str, ...]) -> DataFrame:
+    """Correlation by day of close up to `last`, lookback, least notional, window and mode.
+
+    Events are counted by day and cell first; only these counts go to the days that look back on them.
+    """
+    keep = lambda values, ok: F.array_compact(F.array(*(F.when(ok(v), F.lit(v)) for v in values)))
+    cells = events.where(won().isNotNull()).select(
+        F.to_date("ts").alias("day"),
+        keep(notionals, lambda v: F.col("notional") >= v).alias("min_notional"),
+        keep(minutes, lambda v: F.col("minutes_before_close") <= v).alias("max_minutes"),
+        F.struct(*(contrarian_flag(m).alias(m) for m in modes)).alias("flags"),
+        won().alias("won"),
+    )
+    cells = cells.groupBy("day", "min_notional", "max_minutes", "flags", "won").agg(F.count(F.lit(1)).alias("k"))
+    for axis in ("min_notional", "max_minutes"):
+        cells = cells.withColumn(axis, F.explode(axis))
+    cells = cells.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).withColumn("window_days", F.explode(F.array(*map(F.lit, windows))))
+    signal = F.coalesce(*(F.when(F.col("mode") == m, F.col(f"flags.{m}")) for m in modes))
+    count = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    keys = ("window_days", "min_notional", "max_minutes", "mode")
+    days = cells.groupBy("day", *keys).agg(F.sum("k").alias("n"), count(signal).alias("nx"), count(F.col("won")).alias("ny"), count(signal & F.col("won")).alias("nxy"))
+    days = days.withColumn("date", F.explode(F.expr("sequence(day, date_add(day, window_days - 1))"))).where(F.col("date") <= F.lit(last))
+    return flag_correlation(days.groupBy("date", *keys).agg(*(F.sum(c).alias(c) for c in ("n", "nx", "ny", "nxy"))))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_p_value, clamp
@@ -17,24 +19,37 @@ DECAY_BUCKETS = ((0, 10), (10, 20), (20, 30), (30, 45), (45, 60), (60, 90), (90,
 def volume_buckets(events: DataFrame, by: str, size: float = 50_000.0) -> DataFrame:
     """by, bucket, buy, sell of buckets that close at the event that fills them, and then start from 0.
 
-    The restart makes this a fold over each group's events in order, carried as one array; a group
-    is a market's events within its window.
+    The restart makes this a fold over each group's events in order. A task streams through its
+    groups, sorted by Spark, and holds one bucket: its memory doesn't grow with a group, though one
+    group is one task's work.
     """
     buy = (F.col("outcome") == "Yes") & (F.col("price") > 0.5)
-    rows = F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "trade_id", F.col("notional").alias("v"), buy.alias("b"))))
-    start = F.struct(F.lit(0.0).alias("buy"), F.lit(0.0).alias("sell"), F.array().cast("array<struct<buy:double,sell:double>>").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        b, s = acc["buy"] + F.when(x["b"], x["v"]).otherwise(0.0), acc["sell"] + F.when(x["b"], 0.0).otherwise(x["v"])
-        full = b + s >= size
-        closed = F.concat(acc["done"], F.array(F.struct(b.alias("buy"), s.alias("sell"))))
-        return F.struct(F.when(full, 0.0).otherwise(b).alias("buy"), F.when(full, 0.0).otherwise(s).alias("sell"), F.when(full, closed).otherwise(acc["done"]).alias("done"))
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["buy"] + acc["sell"] > 0, F.concat(acc["done"], F.array(F.struct(acc["buy"].alias("buy"), acc["sell"].alias("sell"))))).otherwise(acc["done"])
-
-    folded = events.groupBy(by).agg(rows.alias("rows")).select(by, F.aggregate("rows", start, step, finish).alias("buckets"))
-    return folded.select(by, F.posexplode("buckets").alias("bucket", "x")).select(by, "bucket", "x.buy", "x.sell")
+    rows = events.select(F.col(by).cast("string").alias("_by"), F.unix_micros("ts").alias("_t"), "trade_id", F.col("notional").alias("_v"), F.coalesce(buy, F.lit(False)).alias("_b"))
+    ordered = rows.repartition("_by").sortWithinPartitions("_by", "_t", "trade_id").select("_by", "_v", "_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, bucket, sums = None, 0, [0.0, 0.0]  # sells, buys
+        done: list[tuple] = []
+        for batch in batches:
+            for k, v, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    if sums[0] + sums[1] > 0:
+                        done.append((key, bucket, sums[1], sums[0]))
+                    key, bucket, sums = k, 0, [0.0, 0.0]
+                sums[b] += v
+                if sums[0] + sums[1] >= size:
+                    done.append((key, bucket, sums[1], sums[0]))
+                    bucket, sums = bucket + 1, [0.0, 0.0]
+            yield out(done)
+            done = []
+        if sums[0] + sums[1] > 0:
+            yield out([(key, bucket, sums[1], sums[0])])
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[by, "bucket", "buy", "sell"])
+
+    return ordered.mapInArrow(run, f"`{by}` string, bucket int, buy double, sell double")
 
 
 def vpin(events: DataFrame, by: str, size: float = 50_000.0) -> DataFrame:

@@ -48,6 +48,19 @@ def point_biserial(df: DataFrame, x: Column, y: Column, by: tuple[str, ...] = ()
     return _correlated(summed, clamp(F.col("c") * F.sqrt((F.col("n") - 1) / F.col("n")), -1.0, 1.0), usable).drop("n1", "s", "c")
 
 
+def flag_counts(x: Column, y: Column) -> list[Column]:
+    """Counts of two flags that their correlation is made of; they add up."""
+    return [F.count(F.lit(1)).alias("n"), F.count_if(x).alias("nx"), F.count_if(y).alias("ny"), F.count_if(x & y).alias("nxy")]
+
+
+def flag_correlation(counts: DataFrame) -> DataFrame:
+    """point_biserial from flag_counts, in place of nx, ny and nxy."""
+    n, x, y, both = (F.col(c).cast("double") for c in ("n", "nx", "ny", "nxy"))
+    c = (both * n - x * y) / F.nullif(F.sqrt(x * (n - x)) * F.sqrt(y * (n - y)), F.lit(0.0))
+    usable = (n >= 4) & (x > 0) & (x < n) & (y > 0) & (y < n)
+    return _correlated(counts, clamp(c * F.sqrt((n - 1) / F.nullif(n, F.lit(0.0))), -1.0, 1.0), usable).drop("nx", "ny", "nxy")
+
+
 def average_rank(order: str, by: tuple[str, ...] = ()) -> Column:
     """Ranks from 1, ties sharing their mean."""
     w = Window.partitionBy(*by)
@@ -66,7 +79,11 @@ def auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> Data
 
     Scores are counted first, so that the window runs over distinct scores only.
     """
-    counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(label).cast("long")).alias("pos"))
+    return auc_of_counts(df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(label).cast("long")).alias("pos")), score, by)
+
+
+def auc_of_counts(counts: DataFrame, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """auc from the number of rows (m) and of positive ones (pos) with each score."""
     below = F.sum("m").over(Window.partitionBy(*by).orderBy(score)) - F.col("m")
     ranked = counts.withColumn("rank", below + (F.col("m") + 1) / 2)
     summed = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum("m").cast("double").alias("n"))

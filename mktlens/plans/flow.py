@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..operators import monitoring as M
@@ -228,7 +230,7 @@ SELECT strategy_id, day, trades, wins, {r6({"pnl": "pnl", "pnl_7d": "sum(pnl) OV
 FROM y WINDOW w AS (PARTITION BY strategy_id ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)""",
 )
 def a41(spark, d):
-    return M.performance_history(contrarian(spark, d).join(strategies(spark), "category").where("notional >= min_notional"), "strategy_id")
+    return M.performance_history(contrarian(spark, d).join(strategies(spark), "category").where("notional >= min_notional"), "strategy_id", date(2024, 1, 1))
 
 
 @query(

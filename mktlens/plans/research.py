@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -410,7 +412,7 @@ def a26(spark, d):
     ),
 )
 def a40(spark, d):
-    return P.daily_rollups(contrarian(spark, d), (7, 30), (100.0, 1000.0), (120, 1440), ("vs_ofi", "price_only"))
+    return P.daily_rollups(contrarian(spark, d), date(2024, 1, 31), (7, 30), (100.0, 1000.0), (120, 1440), ("vs_ofi", "price_only"))
 
 
 @query(
