@@ -11,6 +11,7 @@ Spark deals the texts out; a worker keeps the results of the words that it has s
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from .common import documents, steps
 
 #: Words whose results a Python worker keeps, over all of its tasks; when full, the half seen last goes.
 CACHED_WORDS = 600_000
+#: Longer words are not kept.
+CACHED_LENGTH = 64
 #: Rows that are decoded at once.
 DECODED_ROWS = 200
 
@@ -116,19 +119,22 @@ class Encoder(dict):
     def __init__(self, vocabulary: str, word=None) -> None:
         self.bpe = Bpe(vocabulary)
         self.encode_word = word or self.bpe.word
+        self.special_start = os.path.commonprefix(list(self.bpe.special))  # may be empty: then each text is searched
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
             for late in list(self)[CACHED_WORDS // 2 :]:  # frequent words are seen early
                 del self[late]
-        self[word] = ids = array("i", self.encode_word(word)).tobytes()
+        ids = array("i", self.encode_word(word)).tobytes()
+        if len(word) <= CACHED_LENGTH:
+            self[word] = ids
         return ids
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, words_of(text)))
 
     def __call__(self, text: str) -> bytes:
-        if "<|" not in text:
+        if not self.bpe.special or self.special_start not in text:
             return self.plain(text)
         out, at = [], 0
         for m in self.bpe.cut_special.finditer(text):
@@ -162,7 +168,8 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     vocabulary: JSON text of the vocabulary file; it goes to the tasks with the function (1.7 MB).
     Null and empty texts give no ids; strings of special tokens in a text give their ids. Rows are
-    independent of each other: repeated rows stay, other columns are ignored.
+    independent of each other: repeated rows stay, other columns are ignored. No rows: no rows. A task
+    holds a batch of texts, or one text however long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +185,7 @@ def decode(ids: DataFrame, vocabulary: str) -> DataFrame:
     """ids (doc_id, ids array<int>) and a column `decoded`: what the ids' strings join to; none: empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = Bpe(vocabulary)
+        one = kept(Encoder, vocabulary).bpe
         for batch in batches:
             for first in range(0, batch.num_rows, DECODED_ROWS):
                 part = batch.slice(first, DECODED_ROWS)
@@ -194,6 +201,7 @@ def vocabulary_text(path: str) -> str:
 
 
 def op5_bpe_encoding(spark, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text, of every row of documents."""
     import public_tokenizers
 
     vocabulary = vocabulary_text(vocabulary_path or public_tokenizers.path("word_bpe_49k.json"))

@@ -98,6 +98,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row of documents."""
     return exact_dedup(documents(spark, sf_dir))
 
 

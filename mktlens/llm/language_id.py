@@ -148,7 +148,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts and those without a letter are `und` with score 0, not ambiguous; so is every row
     if the model knows no language. Ties go to the language that sorts first, flagged as ambiguous.
-    Rows are independent: repeated rows stay, other columns are ignored.
+    Rows are independent: repeated rows stay, other columns are ignored. No rows: no rows. A task
+    holds a batch of texts, or one text however long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,5 +177,6 @@ def learned(docs: DataFrame) -> Model:
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and ambiguous of every row of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return identify(docs, learned(docs)).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -400,4 +400,5 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of documents: three-word shingles, 85 percent."""
     return near_groups(documents(spark, sf_dir), shingle=3, percent=85).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SHARD_ROWS, BLOCK_ROWS = 16384, 2048
+SHARD_ROWS, BLOCK_ROWS = 16384, 16384
 #: Links of a node (twice as many in the lowest layer), candidates for them, and breadth of the search.
 LINKS, CANDIDATES, BREADTH = 16, 64, 128
 
@@ -192,5 +192,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, breadth: int =
 
 
 def op10_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the ten nearest of each hundredth vector of embeddings."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))

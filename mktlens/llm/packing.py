@@ -156,6 +156,7 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
 
 
 def op4_best_fit_packing(spark, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    """Pieces of all documents and their places, with the ids of the vocabulary file."""
     import public_tokenizers
 
     return best_fit_packing(documents(spark, sf_dir), vocabulary_text(vocabulary_path or public_tokenizers.path("word_bpe_49k.json")))

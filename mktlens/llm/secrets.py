@@ -144,7 +144,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans of every row's whole text: kind, start, stop (code points, stop exclusive).
 
     Null and empty texts have none. Rows are independent: repeated rows stay, other columns are
-    ignored. Spans of one kind don't overlap; those of different kinds may.
+    ignored. No rows: no rows. Time grows with the text, however long. Spans of one kind don't overlap; those of different kinds may.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +189,7 @@ def _listed(spans: Column) -> Column:
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """doc_id, counts by base kind, digest of the base spans and all spans, of every row of documents."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return find_secrets(documents(spark, sf_dir)).select(
         "doc_id",

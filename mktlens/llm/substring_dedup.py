@@ -182,6 +182,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of documents; null texts have no words."""
     docs = documents(spark, sf_dir)
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t-\r]+", " "))
     whole = docs.select("doc_id", words.alias("words")).select(

@@ -177,7 +177,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), farthest (bytes) and n_far (windows beyond the second threshold) of each row.
 
     Null and empty texts have no window and get the score of a text without a far one. Rows are
-    independent: repeated rows stay, other columns are ignored.
+    independent: repeated rows stay, other columns are ignored. No rows: no rows. A task holds a
+    batch of texts, or one text however long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= 0.7), farthest and n_far of every row of documents."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows, shift = balanced_sample(docs, labels, "toxic", fold(3) != 1, {1: SAMPLE_TOXIC, 0: SAMPLE_ORDINARY})

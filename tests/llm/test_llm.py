@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,32 @@ def test_secrets(docs):
     assert secrets.find_secrets(empty(docs)).count() == 0
 
 
+RULES = [("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+
+
+def test_secrets_of_documents(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op3_secret_scans"](spark, SF).collect():
+        text = texts.pop(r["doc_id"])
+        found = sorted((m.start(), k, m.end(), kind) for k, (kind, p, ok) in enumerate(RULES) for m in re.finditer(p, text) if ok(m))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(f[1] == k for f in found) for k in range(3))
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{kind}:{start}:{end}" for start, _, end, kind in found).encode()).hexdigest()
+    assert not texts
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    words, took = secrets.automaton(), []
+    for n in (20_000, 80_000):
+        data = np.frombuffer("é token=abcdef ".encode() * n, np.uint8)
+        start = time.process_time()
+        spans = secrets.spans_of(data, np.array([0, len(data)]), words)[0]
+        took.append(time.process_time() - start)
+        assert len(spans) == n and spans[-1] == (15 * (n - 1) + 2, 15 * (n - 1) + 14, "assign")
+    assert took[1] < 10 * took[0] + 0.2  # 4 times the text; 16 times would be quadratic
+
+
 def test_sealed_tokens(spark):
     body = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
     good, bad = "ghp_" + body + secrets.checksum62(body.encode()).decode(), "ghp_" + body + "000000"
@@ -206,6 +233,61 @@ def test_bpe(docs):
     assert list(np.frombuffer(bpe.Encoder(vocabulary)(odd), np.int32)) == library.encode(odd, add_special_tokens=False).ids
 
 
+def test_bpe_of_documents(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op5_bpe_encoding"](spark, SF).collect():
+        ids = library.encode(texts.pop(r["doc_id"]), add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    assert not texts
+
+
+def test_repeated_rows(spark, docs):
+    """Row-wise operators return each row's own result as often as the row is there."""
+    twice, vocabulary = docs.unionByName(docs), bpe.vocabulary_text(WORDS)
+    labelled = [(f"good day {k}", k % 2) for k in range(20)]
+    tox, good, lang = toxicity.fit(labelled), quality.fit(labelled), language_id.fit(docs.where("text is not null").select("text", "lang"))
+    for run in (secrets.find_secrets, lambda d: bpe.encode(d, vocabulary), lambda d: toxicity.score(d, tox), lambda d: quality.score(d, good), lambda d: language_id.identify(d, lang), secrets.redact_secrets):
+        once, both = (sorted(map(str, run(d).collect())) for d in (docs, twice))
+        assert both == sorted(once * 2) and len(once) == len(TEXTS)
+    pieces = packing.best_fit_packing(twice, vocabulary).groupBy("doc_id").agg(F.sum("length").alias("n")).toPandas().set_index("doc_id")["n"]
+    single = packing.best_fit_packing(docs, vocabulary).groupBy("doc_id").agg(F.sum("length").alias("n")).toPandas().set_index("doc_id")["n"]
+    assert (pieces == 2 * single).all()
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(twice, 3).collect()}
+    assert removed == {i: n for i, (n, _) in brute_removed(TEXTS, 3).items() if n}
+
+
+def test_scores_by_hand(spark, docs):
+    """Distances, averages and codeword losses of small models, worked out without the vectorised steps."""
+    rows = [(f"idiot scum {' '.join(f'w{(7 * k + j) % 90}' for j in range(40))}" if k % 3 == 0 else " ".join(f"w{(5 * k + j) % 90}" for j in range(40)), int(k % 3 == 0)) for k in range(60)]
+    model = toxicity.fit(rows)
+    pair = [toxicity._compressor(x) for x in (model.ordinary, model.toxic)]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(list(enumerate(t for t, _ in rows)), "doc_id long, text string"), model).collect()}
+    for k, (text, _) in enumerate(rows):
+        far = [len(pair[0].compress(f" {w} ".encode() + toxicity.CARRIER)) - len(pair[1].compress(f" {w} ".encode() + toxicity.CARRIER)) if w.isalpha() else 0 for w in text.split()]
+        assert got[k]["farthest"] >= max(far) and 0 <= got[k]["score"] <= 1
+    assert min(got[k]["score"] for k in range(0, 60, 3)) > max(got[k]["score"] for k in range(60) if k % 3)
+
+    model = quality.fit([(f"good plain words {k}", 1) for k in range(30)] + [(f"bad zzz junk {k}", 0) for k in range(30)])
+    for r in quality.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        found = quality.features(data, np.array([0, len(data)]))[0]
+        z = model.constant + (model.logits[found].astype(float).mean() if len(found) else 0)
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+    prose = {"en": "the quick brown fox jumps over the lazy dog again", "de": "der schnelle braune Fuchs springt über den faulen Hund", "fr": "le renard brun saute par dessus le chien paresseux"}
+    model = language_id.fit(spark.createDataFrame([(t, lang) for lang, t in prose.items()], "text string, lang string"))
+    for lang, text in prose.items():
+        grams = language_id.trigrams(*(lambda d: (d, np.array([0, len(d)])))(np.frombuffer(text.encode(), np.uint8)))
+        margin = [sum(w[g] for g in grams) / (len(text.encode()) - 2) for w in model.weights.astype(float)]
+        losses = [sum(t * np.log1p(np.exp(-language_id.STEEP * m * c)) for t, m, c in zip(trust, margin, code, strict=True)) for trust, code in zip(model.trust, model.code, strict=True)]
+        got = language_id.predict(pa.RecordBatch.from_arrays([pa.array([text])], names=["text"]), model)
+        assert got[0] == [model.langs[int(np.argmin(losses))]] == [lang]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
