@@ -185,19 +185,19 @@ def ema(df: DataFrame, key: str, order: str, x: str, alpha: float = 0.2) -> Data
 def bars(trades: DataFrame, minutes: int) -> DataFrame:
     """OHLC, volumes, VWAP, size statistics (with the median deviation in a second pass), pace and wallets of each token and window.
 
-    mean_gap_s is null for a single trade. Trades name one wallet, the taker.
+    mean_gap_us is null for a single trade. Trades name one wallet, the taker.
     """
     bucket = F.floor(F.unix_micros("ts") / F.lit(minutes * _MINUTE)).cast("long")
     buy = F.col("side") == "BUY"
     order = F.struct("ts", "trade_id")
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("notional"))), F.lit(0.0))
     trades = trades.withColumn("bucket", bucket)
-    span = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
+    span = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
     out = trades.groupBy("token_id", "bucket").agg(
         F.count(F.lit(1)).alias("trades"), F.count_if(buy).alias("buys"), total(buy).alias("buy_volume"), total(~buy).alias("sell_volume"),
         (F.sum(F.col("price") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0.0))).alias("vwap"), F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", order).alias("close"), F.percentile("notional", F.lit(0.5)).alias("median_size"), F.percentile("notional", F.lit(0.95)).alias("q95_size"),
-        F.percentile("notional", F.lit(0.99)).alias("q99_size"), (F.count(F.lit(1)) / F.lit(float(minutes))).alias("trades_per_minute"), (span / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("mean_gap_s"),
+        F.percentile("notional", F.lit(0.99)).alias("q99_size"), (F.count(F.lit(1)) / F.lit(float(minutes))).alias("trades_per_minute"), (span / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("mean_gap_us"),
         F.count_distinct("wallet").alias("wallets"),
     )
     key = ["token_id", "bucket"]

@@ -295,7 +295,7 @@ BARS = """SELECT token_id, CAST(epoch_us(ts) // {us} AS BIGINT) AS bucket, count
 BAR = {
     "buy_volume": "coalesce(sum(notional) FILTER (side = 'BUY'), 0)", "sell_volume": "coalesce(sum(notional) FILTER (side <> 'BUY'), 0)", "vwap": "sum(price * size) / sum(size)", "open": "arg_min(price, (ts, trade_id))", "high": "max(price)",
     "low": "min(price)", "close": "arg_max(price, (ts, trade_id))", "median_size": "median(notional)", "q95_size": "quantile_cont(notional, 0.95)",
-    "q99_size": "quantile_cont(notional, 0.99)", "mad_size": "mad(notional)", "trades_per_minute": "count(*) / 60.0", "mean_gap_s": "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 / nullif(count(*) - 1, 0)",
+    "q99_size": "quantile_cont(notional, 0.99)", "mad_size": "mad(notional)", "trades_per_minute": "count(*) / 60.0", "mean_gap_us": "(epoch_us(max(ts)) - epoch_us(min(ts))) / nullif(count(*) - 1, 0)",
     "imbalance": "(coalesce(sum(notional) FILTER (side = 'BUY'), 0) - coalesce(sum(notional) FILTER (side <> 'BUY'), 0)) / nullif(sum(notional), 0)",
 }
 
