@@ -42,7 +42,8 @@ class Scratch:
     when it is dropped, so that disk holds only what is still to be read.
     """
 
-    RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    #: Settings of a statement that writes a table: shuffles go with it, and rows, which may hold long texts, go to Python in small batches.
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
@@ -50,12 +51,14 @@ class Scratch:
 
     def cut(self, df: DataFrame) -> DataFrame:
         """df, written and read again."""
-        before = self.spark.conf.get(self.RELEASE, "false")
-        self.spark.conf.set(self.RELEASE, "true")
+        before = {name: self.spark.conf.get(name) for name in self.SETTINGS}
         try:
+            for name, value in self.SETTINGS.items():
+                self.spark.conf.set(name, value)
             df.select("*").write.parquet(f"{self.folder}/{len(self.tables)}")
         finally:
-            self.spark.conf.set(self.RELEASE, before)
+            for name, value in before.items():
+                self.spark.conf.set(name, value)
         self.tables.append(self.spark.read.schema(df.schema).parquet(f"{self.folder}/{len(self.tables)}"))
         return self.tables[-1]
 

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents, gram_hashes, mix, rabin_karp, steps, text_bytes, word_hashes, word_spans
 
 SHINGLE, PERCENT = 5, 80
+#: Bytes of text that one vectorised step handles here: its arrays take some 60 times as much.
+STEP = 1 << 19
 #: Minwise tokens of which the trees choose, and of which sketches keep a byte each.
 TOKENS, HASHES = 128, 512
 #: Chosen tokens down to each depth of a tree, sets of a small node, and the recall that sets the number of trees.
@@ -68,7 +70,7 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, set_id (digest of the set; null if empty), signature, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP):
             sets = shingle_sets(batch.column("text"), shingle)
             marks = [minhashes(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -195,7 +197,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, sc
     """Of pairs (a, b) those whose full sets are similar enough; texts: set, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text_a", 1 << 19):
+        for batch in steps(batches, "text_a", STEP):
             keep = []
             for one, two in zip(shingle_sets(batch.column("text_a"), shingle), shingle_sets(batch.column("text_b"), shingle), strict=True):
                 both = len(np.intersect1d(one, two, assume_unique=True))
@@ -210,7 +212,7 @@ def with_tokens(texts: DataFrame, shingle: int) -> DataFrame:
     """set, label, family, tokens (hashes of the shingles) of each set (set, label, family, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP):
             sets = shingle_sets(batch.column("text"), shingle)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set", "label", "family")), lists], names=["set", "label", "family", "tokens"])
