@@ -162,12 +162,13 @@ def linked_groups(texts, n, percent):
         sizes.append(len(shingles))
         for s in shingles:
             rows_of[s].append(k)
-    common, sizes = np.zeros((len(texts), len(texts)), dtype=np.int16), np.array(sizes)
-    for rows in rows_of.values():
-        if len(rows) > 1:
-            common[np.ix_(rows, rows)] += 1
+    shared = [rows for rows in rows_of.values() if len(rows) > 1]
+    has = np.zeros((len(texts), len(shared)), dtype=np.float32)
+    for k, rows in enumerate(shared):
+        has[rows, k] = 1
+    common, sizes = (has @ has.T).astype(np.int32), np.array(sizes)
     label = np.arange(len(texts))
-    linked = 100 * common.astype(np.int32) >= percent * (sizes[:, None] + sizes[None] - common)
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None] - common)
     while True:
         least = np.where(linked, label[None], len(texts)).min(1)
         if (least == label).all():
