@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, language_id, near_dedup, neighbours, packing, quality, secrets, substring_dedup, toxicity
+from . import bpe, exact_dedup, html_text, language_id, near_dedup, neighbours, packing, periodic_runs, quality, secrets, spelling, substring_dedup, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_nearest_neighbours": neighbours.op10_nearest_neighbours,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_html_extraction": html_text.op12_html_extraction,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
