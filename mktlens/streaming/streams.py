@@ -6,31 +6,24 @@ counted (late_rows).
 
 from __future__ import annotations
 
-import math
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.numeric import seconds_to_close, time_ramp
+from ..sources import folders
 from ..sources import views as V
 
 WATERMARK = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def trade_stream(spark: SparkSession, sf_dir: str, files: int | None = 8) -> DataFrame:
-    """Trades as they come with new files of the events table, a file or a folder; at most `files` a micro-batch (None: all there are)."""
+def trade_stream(spark: SparkSession, sf_dir: str, files: int = 8) -> DataFrame:
+    """Trades as they come with new files of the events table, a file or a folder; at most `files` a micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema)
-    if files:
-        reader = reader.option("maxFilesPerTrigger", files)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     # a glob, as only this takes a file as well as a folder
     return V.trades_of(reader.parquet(f"{sf_dir}/events.parque[t]"))
 
@@ -63,78 +56,11 @@ def gated(scores: DataFrame) -> DataFrame:
     return scores.where((F.col("strength") != "none") & ~F.col("in_no_trade_zone"))
 
 
-class TokenState(StatefulProcessor):
-    """Hawkes intensity, CUSUM, a quantile sketch and the last book of each token, as keyed state, with a time to live if given.
-
-    Rows: token_id, kind (trade or book), trade_id, us, value (notional of a trade, mid of a book).
-    Emits each trade with the state after it. The sketch counts notionals in BUCKETS steps of
-    GROWTH, so that its quantiles are off by half a step at most; sketches add up.
-    """
-
-    BASE, JUMP, DECAY = 0.1, 0.5, 0.1
-    BUCKETS, GROWTH, LEAST = 256, 1.1, 1e-3
-
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "us long, excess double, n long, total double, squares double, cusum double, mid double, sketch string", self.ttl_ms)
-
-    def quantile(self, sketch: np.ndarray, q: float) -> float:
-        k = int(np.searchsorted(np.cumsum(sketch), q * sketch.sum()))
-        return self.LEAST * self.GROWTH ** (k + 0.5)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        us, excess, n, total, squares, cusum, mid, counts = held or (0, 0.0, 0, 0.0, 0.0, 0.0, None, "")
-        sketch = np.array(counts.split(","), dtype=np.int64) if counts else np.zeros(self.BUCKETS, dtype=np.int64)
-        out = []
-        # books sort before trades of the same instant
-        for row in pd.concat(rows).sort_values(["us", "kind", "trade_id"]).itertuples():
-            if row.kind == "book":
-                mid = float(row.value)
-                continue
-            excess = (excess * math.exp(-self.DECAY * max(0, row.us - us) / 1e6) if us else 0.0) + self.JUMP
-            us, n, total, squares = max(us, int(row.us)), n + 1, total + row.value, squares + row.value * row.value
-            spread = (squares - total * total / n) / (n - 1) if n > 1 else 0.0
-            cusum = max(0.0, cusum + ((row.value - total / n) / spread**0.5 if spread > 1e-9 else 0.0))
-            sketch[min(self.BUCKETS - 1, max(0, int(math.log(max(row.value, self.LEAST) / self.LEAST) / math.log(self.GROWTH))))] += 1
-            out.append((key[0], int(row.trade_id), self.BASE + excess, cusum, self.quantile(sketch, 0.95), mid))
-        self.state.update((us, excess, n, float(total), float(squares), float(cusum), mid, ",".join(map(str, sketch.tolist()))))
-        yield pd.DataFrame(out, columns=["token_id", "trade_id", "intensity", "cusum", "q95", "mid"])
-
-    def close(self) -> None:
-        pass
-
-
-def with_token_state(trades: DataFrame, books: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """Each trade with its token's intensity, CUSUM statistic, q95 of notionals and last book's mid; needs the RocksDB state store.
-
-    A time to live (24 hours for a lasting stream) runs on processing time, with which a stream goes
-    on for ever; one that ends when its input is drained has none.
-    """
-    rows = trades.select("token_id", F.lit("trade").alias("kind"), "trade_id", F.unix_micros("ts").alias("us"), F.col("notional").alias("value"))
-    if books is not None:
-        rows = rows.unionByName(books.select("token_id", F.lit("book").alias("kind"), F.col("snapshot_id").alias("trade_id"), F.unix_micros("ts").alias("us"), F.col("mid").alias("value")))
-    schema = "token_id string, trade_id long, intensity double, cusum double, q95 double, mid double"
-    return rows.groupBy("token_id").transformWithStateInPandas(TokenState(ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one only where none is named and all runs in one process."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("name a folder that the whole cluster shares in spark.checkpoint.dir")
-        shared = tempfile.mkdtemp(prefix="mktlens-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
-
-
-def as_stream(df: DataFrame) -> DataFrame:
-    """A batch as a stream: written to the shared folder, and read with all its files as one micro-batch."""
-    at = folder(df.sparkSession)
-    df.write.parquet(at)
-    return df.sparkSession.readStream.schema(df.schema).parquet(at)
+def as_stream(df: DataFrame, files: int = 8) -> DataFrame:
+    """A batch as a stream: written to the shared folder, and read as its files come, at most `files` a micro-batch."""
+    at = folders.new(df.sparkSession, "stream")
+    df.write.mode("append").parquet(at)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(at)
 
 
 def late_rows(query) -> int:
@@ -142,7 +68,8 @@ def late_rows(query) -> int:
     return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
 
 
-def _run(spark: SparkSession, stream: DataFrame, by_batch: Callable[[DataFrame, int], None] | None, mode: str, at: str) -> None:
+def run_once(stream: DataFrame, by_batch: Callable[[DataFrame, int], None] | None, mode: str, at: str) -> None:
+    """Run a stream over all that is there and end; its checkpoint, and its rows unless by_batch takes them, are in folder `at`."""
     writer = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).outputMode(mode)
     writer = writer.foreachBatch(by_batch) if by_batch else writer.format("parquet").option("path", f"{at}/out")
     writer.start().awaitTermination()
@@ -150,15 +77,15 @@ def _run(spark: SparkSession, stream: DataFrame, by_batch: Callable[[DataFrame,
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Run a stream over all that is there, into Parquet, and read it."""
-    at = folder(spark)
-    _run(spark, stream, None, "append", at)
+    at = folders.new(spark, "stream")
+    run_once(stream, None, "append", at)
     return spark.read.parquet(f"{at}/out")
 
 
 def drained_groups(spark: SparkSession, stream: DataFrame, *keys: str) -> DataFrame:
     """The last state of each group of an aggregating stream: groups that are still open at the end are there, too."""
-    at = folder(spark)
-    _run(spark, stream, lambda df, epoch: df.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}"), "update", at)
+    at = folders.new(spark, "stream")
+    run_once(stream, lambda df, epoch: df.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}"), "update", at)
     return _latest(spark.read.parquet(f"{at}/out"), *keys)
 
 
@@ -168,23 +95,44 @@ def _latest(rows: DataFrame, *keys: str) -> DataFrame:
     return last.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))
 
 
-def rescored(spark: SparkSession, trades: DataFrame, score: Callable[[DataFrame], DataFrame], key: str = "trade_id", minutes: int = 60) -> DataFrame:
+def rescored(spark: SparkSession, trades: DataFrame, score: Callable[[DataFrame], DataFrame], key: str = "trade_id", minutes: int = 60, late: timedelta | None = None) -> DataFrame:
     """Drain a stream of trades through `score`, whose windows reach `minutes` back; the last score of each trade.
 
-    Trades are stored as they come. A micro-batch is scored together with the stored trades of the
-    time that its windows reach back to, and so are the trades up to `minutes` behind it, whose
-    windows it changes: how trades are dealt to micro-batches makes no difference. score keeps
+    Trades are stored by hour as they come. A micro-batch is scored together with the stored trades
+    of the hours that its windows reach back to, and so are the trades up to `minutes` behind it,
+    whose windows it changes: how trades are dealt to micro-batches makes no difference. Hours that
+    no trade can reach any more, as none is later than `late`, are deleted (None: trades may be as
+    late as they like). A micro-batch that is run again replaces what it has stored. score keeps
     `key` and ts.
     """
-    at, reach = folder(spark), timedelta(minutes=minutes)
+    at, reach, newest = folders.new(spark, "stream"), timedelta(minutes=minutes), [0]
+    hour = F.floor(F.unix_micros("ts") / F.lit(3_600_000_000)).cast("long")
+    of = lambda t: F.floor(F.unix_micros(F.lit(t).cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{at}/trades/epoch={epoch}")
-        first, last = spark.read.parquet(f"{at}/trades/epoch={epoch}").agg(F.min("ts"), F.max("ts")).first()
+        stored = df.withColumns({"hour": hour, "epoch": F.lit(epoch)}).write.partitionBy("hour", "epoch")
+        stored.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{at}/trades")
+        if not folders.names(spark, f"{at}/trades"):
+            return
+        kept = spark.read.parquet(f"{at}/trades")
+        first, last = kept.where(F.col("epoch") == epoch).agg(F.min("ts"), F.max("ts")).first()
         if first is None:
             return
-        near = spark.read.parquet(f"{at}/trades").drop("epoch").where(F.col("ts").between(F.lit(first - reach), F.lit(last + reach)))
+        near = kept.where(F.col("hour").between(of(first - reach), of(last + reach)) & F.col("ts").between(F.lit(first - reach), F.lit(last + reach))).drop("hour", "epoch")
         score(near).where(F.col("ts") >= F.lit(first)).write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
-
-    _run(spark, trades, batch, "append", at)
+        newest[0] = max(newest[0], int(last.timestamp()))
+        if late is not None:
+            oldest = (newest[0] - int((late + reach).total_seconds())) // 3600
+            for name in folders.names(spark, f"{at}/trades"):
+                if name.startswith("hour=") and int(name[5:]) < oldest:
+                    folders.delete(spark, f"{at}/trades/{name}")
+
+    run_once(trades, batch, "append", at)
     return _latest(spark.read.parquet(f"{at}/out"), key)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the shared folder: for what each micro-batch joins with."""
+    at = folders.new(df.sparkSession, "static")
+    df.write.mode("append").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -88,7 +88,9 @@ def test_metrics_of_nothing(spark):
 
 def test_pareto(spark):
     rows = spark.createDataFrame([("a", 1.0, 1.0, 1.0), ("b", 2.0, 1.0, 1.0), ("c", 0.0, 3.0, 0.0)], "config_id string, roi double, sharpe double, win_rate double")
-    assert {r["config_id"] for r in P.pareto(rows).collect()} == {"b", "c"}
+    assert {r["config_id"] for r in P.pareto(rows, ("roi", "sharpe", "win_rate")).collect()} == {"b", "c"}
+    five = rows.selectExpr("config_id", "roi AS pnl", "roi", "sharpe AS profit_factor", "win_rate AS edge_points", "sharpe")
+    assert {r["config_id"] for r in P.pareto(five).collect()} == {"b", "c"}
 
 
 def test_recalibrated_kelly(spark):
@@ -142,18 +144,56 @@ def test_streams_read_folders_of_many_files(spark, tmp_path):
         assert one == many and one
 
 
-def test_scores_do_not_depend_on_how_trades_are_dealt(spark, tmp_path):
+@pytest.mark.parametrize("late", [None, 3])
+def test_scores_do_not_depend_on_how_trades_are_dealt(spark, tmp_path, late, monkeypatch):
+    from datetime import timedelta
+
     from mktlens.plans.streams import st7
     from mktlens.streaming import streams as ST
 
-    sf = _with_events(spark, tmp_path, lambda events: events.repartition(4, F.col("event_id") % 4))
-    whole = ST.trade_stream
+    deal = (lambda events: events.repartition(4, F.col("event_id") % 4)) if late is None else (lambda events: events.coalesce(1).sortWithinPartitions("ts"))
+    sf = _with_events(spark, tmp_path, deal)
+    whole, rescored, deleted = ST.trade_stream, ST.rescored, []
     one = sorted(map(str, st7(spark, sf).collect()))
-    ST.trade_stream = lambda spark, d: whole(spark, d, files=6)
-    try:
-        assert one == sorted(map(str, st7(spark, str(tmp_path)).collect())) and one
-    finally:
-        ST.trade_stream = whole
+    monkeypatch.setattr(ST, "trade_stream", lambda spark, d: whole(spark, d, files=6))
+    if late is not None:
+        delete = ST.folders.delete
+        monkeypatch.setattr(ST, "rescored", lambda *a: rescored(*a, late=timedelta(hours=late)))
+        monkeypatch.setattr(ST.folders, "delete", lambda spark, folder: (deleted.append(folder), delete(spark, folder)))
+    assert one == sorted(map(str, st7(spark, str(tmp_path)).collect())) and one
+    assert bool(deleted) == (late is not None)
+
+
+def test_ordered_streams_read_shuffled_files_alike(spark, tmp_path):
+    from mktlens.plans.streams import st6, st8
+
+    sf = _with_events(spark, tmp_path, lambda events: events.repartition(40, F.hash("event_id")))
+    for stream in (st6, st8):
+        one, many = (sorted(map(str, stream(spark, d).collect())) for d in (sf, str(tmp_path)))
+        assert one == many and one
+
+
+def test_silence_is_the_freshness_gate(spark):
+    """What a stream has told by an instant is what the batch rule says of that instant, though no row comes for silent tokens."""
+    from datetime import datetime
+
+    from mktlens.operators.features import book_metrics
+    from mktlens.operators.filters import freshness_gate
+    from mktlens.plans.streams import LIMITS_MS, replayed_tokens
+    from mktlens.sources import views as V
+    from mktlens.streaming import ordered as OR
+
+    until = datetime(2024, 1, 15, 12)
+    told = replayed_tokens(spark, SF, OR.Silence(LIMITS_MS), until).collect()
+    now = F.lit(until).cast("timestamp")
+    books = book_metrics(V.book_levels(spark, SF)).where("mid is not null").where(F.col("ts") < now).groupBy("token_id").agg(F.max(F.unix_micros("ts")).alias("book"))
+    trades = V.trades(spark, SF).where(F.col("ts") < now).groupBy("token_id").agg(F.max(F.unix_micros("ts")).alias("trade"))
+    age = lambda c: (F.unix_micros(now) - F.col(c)) / 1000
+    last = books.join(trades, "token_id", "full").withColumns({"book_age_ms": age("book"), "trade_age_ms": age("trade"), "end_date": now})
+    expected = {(r["token_id"], kind) for r in freshness_gate(last).collect() for kind in r["stale"].split(",") if kind}
+    latest = {r["token_id"]: {"orderbook": r["book"], "trades": r["trade"]} for r in last.collect()}
+    got = {(r["token_id"], r["kind"]) for r in told if latest[r["token_id"]][r["kind"]] == r["last_us"]}
+    assert got == expected and len(got) > 50
 
 
 def test_late_rows_are_counted(spark, tmp_path):
