@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import EventFilter, EventParams
+from .scan import in_segments, own
 
 MAD_SCALE = 1.4826
 _MINUTE = 60_000_000
@@ -37,11 +38,12 @@ def price_and_flow(trades: DataFrame, minutes: int = 30) -> DataFrame:
     """Price against the token's mean before, the market's signed flow before, and drift after each trade.
 
     Frames are open on both sides before a trade, and closed at their end after it. Trades of one
-    instant don't see each other.
+    instant don't see each other. Markets are dealt by segments of time, so a large one is many tasks' work.
     """
     us = F.unix_micros("ts")
-    token = Window.partitionBy("condition_id", "token_id").orderBy(us)
-    market = Window.partitionBy("condition_id").orderBy(us)
+    rows = in_segments(trades, us, minutes * 60, 2 * minutes * 60)
+    token = Window.partitionBy("condition_id", "_segment", "token_id").orderBy(us)
+    market = Window.partitionBy("condition_id", "_segment").orderBy(us)
     back = (-minutes * _MINUTE + 1, -1)
     signed = F.when(F.col("side") == "BUY", F.col("notional")).otherwise(-F.col("notional"))
 
@@ -49,12 +51,14 @@ def price_and_flow(trades: DataFrame, minutes: int = 30) -> DataFrame:
         best = F.max(F.struct(us.alias("us"), "trade_id", "price")).over(token.rangeBetween(1, m * _MINUTE))
         return (best["price"] - F.col("price")) / F.col("price")
 
-    return trades.select(
-        "*",
-        (F.col("price") - F.coalesce(F.avg("price").over(token.rangeBetween(*back)), F.col("price"))).alias("price_trend_30m"),
-        F.coalesce(F.sum(signed).over(market.rangeBetween(*back)), F.lit(0.0)).alias("ofi_30m"),
-        later(minutes).alias("drift_30m"),
-        later(2 * minutes).alias("drift_60m"),
+    return own(
+        rows.select(
+            "*",
+            (F.col("price") - F.coalesce(F.avg("price").over(token.rangeBetween(*back)), F.col("price"))).alias("price_trend_30m"),
+            F.coalesce(F.sum(signed).over(market.rangeBetween(*back)), F.lit(0.0)).alias("ofi_30m"),
+            later(minutes).alias("drift_30m"),
+            later(2 * minutes).alias("drift_60m"),
+        )
     )
 
 

@@ -2,65 +2,165 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.numeric import clamp, seconds_to_close, time_ramp
 from .events import MAD_SCALE
+from .scan import earlier, in_segments, local_window, own, time_segment, with_carried
 
 _MINUTE = 60_000_000
 
 
-def _frame(minutes: float, key: str = "token_id") -> Window:
-    return Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-int(minutes * _MINUTE), 0)
+def _frame(minutes: float, *keys: str) -> Window:
+    return Window.partitionBy(*keys).orderBy(F.unix_micros("ts")).rangeBetween(-int(minutes * _MINUTE), 0)
+
+
+def _between(values: list[float], q: float) -> float:
+    """The quantile q of ascending values, interpolated."""
+    at = q * (len(values) - 1)
+    low = int(at)
+    high = min(low + 1, len(values) - 1)
+    return values[low] + (at - low) * (values[high] - values[low])
+
+
+def _distance(values: list[float], middle: float, k: int) -> float:
+    """The k-th smallest (from 0) distance of ascending values from `middle`: how many of the k + 1 nearest lie below is found by bisection."""
+    cut = bisect.bisect_left(values, middle)
+    low, high = max(0, k + 1 - (len(values) - cut)), min(cut, k + 1)
+    while low < high:  # take i below and k + 1 - i at or above
+        i = (low + high) // 2
+        above = values[cut + k - i] - middle
+        if middle - values[cut - i - 1] < above:
+            low = i + 1
+        else:
+            high = i
+    below = middle - values[cut - low] if low else -math.inf
+    return max(below, values[cut + k - low] - middle if k + 1 > low else -math.inf)
 
 
-def median_of(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    at = lambda k: F.element_at(s, k.cast("int"))
-    return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2)
+def _order_statistics(least: float, most: int, frame_us: int):
+    """For mapInArrow: statistics of each trade's frame, from rows in order of token, segment and time.
+
+    A task holds the values of one frame, in order; each row costs a bisection or two.
+    """
+    names = ["token_id", "trade_id", "n_60m", "median_60m", "mad_60m", "q95_60m", "q99_60m", "below_60m", "trigger_ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, queue, values, pairs, waiting, out = None, deque(), [], [], [], []
+
+        def settle() -> None:
+            """Rows of one instant see each other, so they are told once all of them are in the frame."""
+            if any(own for *_, own in waiting):
+                n, middle = len(values), _between(values, 0.5)
+                q95, q99, k = _between(values, 0.95), _between(values, 0.99), (len(values) - 1) // 2
+                mad = (_distance(values, middle, k) + _distance(values, middle, n // 2)) / 2
+                top = [i for v, i in reversed(pairs[-most:]) if v >= least and v >= q95]
+                for token, trade, x, own in waiting:
+                    if own:
+                        out.append((token, trade, n, middle, mad, q95, q99, bisect.bisect_left(values, x), top))
+            waiting.clear()
+
+        now = None
+        for batch in batches:
+            for token, segment, us, trade, x, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (token, segment) != group or us != now:
+                    settle()
+                    if (token, segment) != group:
+                        group, values, pairs = (token, segment), [], []
+                        queue.clear()
+                    now = us
+                    while queue and queue[0][0] < us - frame_us:
+                        _, i, v = queue.popleft()
+                        del values[bisect.bisect_left(values, v)]
+                        del pairs[bisect.bisect_left(pairs, (v, i))]
+                queue.append((us, trade, x))
+                bisect.insort(values, x)
+                bisect.insort(pairs, (x, trade))
+                waiting.append((token, trade, x, own))
+            yield _batch(out)
+            out.clear()
+        settle()
+        yield _batch(out)
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.list_(pa.int64())]
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    return run
+
+
+def frame_statistics(trades: DataFrame, minutes: int = 60, least: float = 5000.0, most: int = 3) -> DataFrame:
+    """token_id, trade_id and order statistics of the token's trades in the last hour, the trade itself included.
+
+    Number, median, median deviation, upper quantiles, trades with a smaller notional, and the ids of
+    the `most` highest ones that are `least` or more and in the upper twentieth. A token's trades are
+    dealt by segments of time; null notionals take no part.
+    """
+    us = F.unix_micros("ts")
+    rows = in_segments(trades.where("notional is not null").select("token_id", "trade_id", "ts", "notional"), us, minutes * 60)
+    rows = rows.select("token_id", "_segment", us.alias("_us"), "trade_id", "notional", "_own").repartition("token_id", "_segment").sortWithinPartitions("token_id", "_segment", "_us", "trade_id")
+    schema = "token_id string, trade_id long, n_60m long, median_60m double, mad_60m double, q95_60m double, q99_60m double, below_60m long, trigger_ids array<long>"
+    return rows.mapInArrow(_order_statistics(least, most, int(minutes * _MINUTE)), schema)
 
 
 def rolling_size(trades: DataFrame, minutes: int = 60) -> DataFrame:
     """Each trade against its token's last hour, itself included: n, median, MAD, quantiles, robust z, percentile.
 
-    Below 5 trades the neutral record; z is 0 below 10, and null where MAD is 0. The frame's list is
-    bounded by the hour.
+    Below 5 trades the neutral record; z is 0 below 10, and null where MAD is 0.
     """
-    w = _frame(minutes)
-    rows = trades.withColumns({"n_60m": F.count(F.lit(1)).over(w), "median_60m": F.percentile("notional", F.lit(0.5)).over(w), "_list": F.collect_list("notional").over(w)})
-    rows = rows.withColumn("mad_60m", median_of(F.transform("_list", lambda x: F.abs(x - F.col("median_60m")))))
-    rows = rows.withColumn("q95_60m", F.percentile("notional", F.lit(0.95)).over(w)).withColumn("q99_60m", F.percentile("notional", F.lit(0.99)).over(w))
-    below = F.size(F.filter("_list", lambda x: x < F.col("notional")))
+    rows = trades.join(frame_statistics(trades, minutes).drop("trigger_ids"), ["token_id", "trade_id"], "left").withColumn("n_60m", F.coalesce("n_60m", F.lit(0)))
     z = (F.col("notional") - F.col("median_60m")) / (MAD_SCALE * F.nullif(F.col("mad_60m"), F.lit(0.0)))
-    few = F.col("n_60m") < 5
     return rows.withColumns(
         {
             "robust_z": F.when(F.col("n_60m") < 10, F.lit(0.0)).otherwise(z),
-            "percentile": F.when(few, F.lit(50.0)).otherwise(below / F.col("n_60m") * 100),
+            "percentile": F.when(F.col("n_60m") < 5, F.lit(50.0)).otherwise(F.col("below_60m") / F.col("n_60m") * 100),
         }
-    ).drop("_list")
+    ).drop("below_60m")
 
 
 def trade_pace(trades: DataFrame) -> DataFrame:
-    """Trades of the token in the last 1 and 5 minutes, and mean and least gap in seconds within the last 5."""
-    gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.partitionBy("token_id").orderBy("ts", "trade_id"))) / 1e6
-    five = _frame(5)
-    rows = trades.withColumn("_gap", gap).withColumn("_first", F.min(F.unix_micros("ts")).over(five))
-    inside = F.when(F.unix_micros("ts") - F.col("_gap") * 1e6 >= F.unix_micros("ts") - 5 * _MINUTE, F.col("_gap"))
-    return rows.withColumns(
-        {"trades_1m": F.count(F.lit(1)).over(_frame(1)), "trades_5m": F.count(F.lit(1)).over(five), "avg_gap": F.avg(inside).over(five), "min_gap": F.min(inside).over(five)}
-    ).drop("_gap", "_first")
+    """Trades of the token in the last 1 and 5 minutes, and mean and least gap in seconds within the last 5.
+
+    A gap longer than 5 minutes counts nowhere, so all that matters to a trade is in its segment.
+    """
+    us = F.unix_micros("ts")
+    key = ["token_id", "_segment"]
+    rows = in_segments(trades, us, 600)
+    rows = rows.withColumn("_gap", (us - F.lag(us).over(Window.partitionBy(*key).orderBy("ts", "trade_id"))) / 1e6)
+    inside, five = F.when(F.col("_gap") <= 300, F.col("_gap")), _frame(5, *key)
+    rows = rows.withColumns({"trades_1m": F.count(F.lit(1)).over(_frame(1, *key)), "trades_5m": F.count(F.lit(1)).over(five), "avg_gap": F.avg(inside).over(five), "min_gap": F.min(inside).over(five)})
+    return own(rows).drop("_gap")
 
 
 def hawkes_intensity(trades: DataFrame, base: float = 0.1, jump: float = 0.5, decay: float = 0.1, reach_s: int = 400) -> DataFrame:
-    """Intensity of the token at each trade, from the trades of the last `reach_s` seconds; older terms are below e**-40."""
-    times = F.collect_list(F.unix_micros("ts")).over(Window.partitionBy("token_id").orderBy(F.unix_micros("ts")).rangeBetween(-reach_s * 1_000_000, 0))
-    us = F.unix_micros("ts")
-    value = F.aggregate(F.array_sort(times), F.lit(0.0), lambda a, t: a + F.exp(-decay * (us - t) / 1e6))
+    """Intensity of the token at each trade, from the trades of the last `reach_s` seconds at least; older terms are below e**-40.
+
+    A sum of exp(-decay * (t - s)) over trades s before t is exp(-decay * t) times a running sum of
+    exp(decay * s), with times from the start of a short block, where neither gets large. Each
+    block's sum at its end goes on to the blocks that it still reaches, by their distance.
+    """
+    us, keys = F.unix_micros("ts"), ["token_id"]
+    width = max(1, reach_s // 4)
+    rows = trades.withColumn("_segment", time_segment(us, width))
+    grown = F.exp(decay * (us / 1e6 - F.col("_segment") * width))
+    running = F.sum(grown).over(Window.partitionBy(*keys, "_segment").orderBy(us).rangeBetween(Window.unboundedPreceding, 0))
+    ahead = -(-reach_s // width)
+    ends = rows.groupBy(*keys, "_segment").agg((F.sum(grown) * F.exp(F.lit(-decay * width))).alias("_end"))
+    later = ends.select(*keys, "_segment", "_end", F.explode(F.sequence(F.lit(0), F.lit(ahead - 1))).alias("_gap"))
+    carried = later.groupBy(*keys, (F.col("_segment") + 1 + F.col("_gap")).alias("_segment")).agg(F.sum(F.col("_end") * F.exp(-decay * width * F.col("_gap"))).alias("_before"))
+    value = (F.col("_here") + F.coalesce("_before", F.lit(0.0))) / grown
+    out = rows.withColumn("_here", running).join(carried, [*keys, "_segment"], "left").withColumn("intensity", base + jump * value)
     ratio = F.col("intensity") / base
-    return trades.withColumn("intensity", base + jump * value).withColumns({"intensity_ratio": ratio, "burst": ratio > 2, "burst_score": clamp((ratio - 1) / 4)})
+    return out.withColumns({"intensity_ratio": ratio, "burst": ratio > 2, "burst_score": clamp((ratio - 1) / 4)}).select(*trades.columns, "intensity", "intensity_ratio", "burst", "burst_score")
 
 
 def cusum(series: DataFrame, key: str, order: str, x: str, threshold: float = 5.0) -> DataFrame:
@@ -107,31 +207,43 @@ def book_metrics(levels: DataFrame) -> DataFrame:
 
 
 def as_of_book(trades: DataFrame, books: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Each trade with the last book of its token at or before it (null: none), by one sort over both.
+    """Each trade with the last book of its token at or before it (null: none), without a range join.
 
-    Both sides are stacked and the last book is carried forward in a window, so there is no range
-    join. Books and trades of one instant: the book counts.
+    Both sides are stacked and the last book is carried forward, within segments of time first and
+    then from segment to segment, so that a token's rows are many tasks' work. Books and trades of
+    one instant: the book counts.
     """
     book = F.struct("snapshot_id", *columns)
     left = trades.select("token_id", "ts", F.lit(1).alias("_kind"), F.struct(*trades.columns).alias("_trade"), F.lit(None).cast(books.select(book.alias("b")).schema["b"].dataType).alias("_book"))
     right = books.select("token_id", "ts", F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_trade"].dataType).alias("_trade"), book.alias("_book"))
-    w = Window.partitionBy("token_id").orderBy("ts", "_kind", F.col("_book.snapshot_id")).rowsBetween(Window.unboundedPreceding, 0)
-    stacked = left.unionByName(right).withColumn("_last", F.last("_book", ignorenulls=True).over(w))
-    return stacked.where("_kind = 1").select("_trade.*", *(F.col(f"_last.{c}").alias(f"book_{c}" if c == "ts" else c) for c in ("snapshot_id", *columns)))
+    keys = ["token_id"]
+    stacked = left.unionByName(right).withColumn("_segment", time_segment(F.unix_micros("ts")))
+    here = F.last("_book", ignorenulls=True).over(local_window(keys, ["ts", "_kind", F.col("_book.snapshot_id")]))
+    latest = F.max_by("_book", F.when(F.col("_kind") == 0, F.struct("ts", F.col("_book.snapshot_id")))).alias("_latest")
+    out = with_carried(stacked.withColumn("_here", here), keys, [latest], {"_before": F.last("_latest", ignorenulls=True).over(earlier(keys))})
+    out = out.where("_kind = 1").withColumn("_last", F.coalesce("_here", "_before"))
+    return out.select("_trade.*", *(F.col(f"_last.{c}").alias(f"book_{c}" if c == "ts" else c) for c in ("snapshot_id", *columns)))
 
 
-def post_trade_impact(trades: DataFrame, books: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Signed relative move of the mid from the last book before a trade to the last one within `seconds` after it."""
-    tagged = trades.select("trade_id", "token_id", "ts", "side", F.lit(True).alias("_is_trade"), F.lit(None).cast("double").alias("mid"))
-    both = tagged.unionByName(books.select(F.lit(None).cast("long").alias("trade_id"), "token_id", "ts", F.lit(None).cast("string").alias("side"), F.lit(False).alias("_is_trade"), "mid"))
+def post_trade_impact(trades: DataFrame, books: DataFrame, horizons: tuple[int, ...] = (30, 60)) -> DataFrame:
+    """How the mid moves after a trade: signed drift, score and whether it is confirmed, for each horizon in seconds.
+
+    mid_before is that of the last book at or before the trade, mid_<s>s that of the last one within
+    s seconds after it (null: none came). impact is the drift at the longest horizon that has one.
+    """
+    before = as_of_book(trades.select("trade_id", "token_id", "ts", "side"), books.where("mid is not null"), ("mid",)).withColumnRenamed("mid", "mid_before")
+    tagged = before.select("trade_id", "token_id", "ts", "side", "mid_before", F.lit(None).cast("double").alias("mid"))
+    quotes = books.where("mid is not null").select(F.lit(None).cast("long").alias("trade_id"), "token_id", "ts", F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("mid_before"), "mid")
     us = F.unix_micros("ts")
+    both = in_segments(tagged.unionByName(quotes), us, 0, max(horizons))
     known = F.max(F.when(F.col("mid").isNotNull(), F.struct(us.alias("u"), "mid")))
-    w = Window.partitionBy("token_id").orderBy(us)
-    before = known.over(w.rangeBetween(Window.unboundedPreceding, 0))["mid"]
-    after = known.over(w.rangeBetween(1, seconds * 1_000_000))["mid"]
+    w = Window.partitionBy("token_id", "_segment").orderBy(us)
+    rows = own(both.withColumns({f"mid_{s}s": known.over(w.rangeBetween(1, s * 1_000_000))["mid"] for s in horizons})).where("trade_id is not null")
     sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
-    rows = both.withColumn("impact", sign * (after - before) / F.nullif(before, F.lit(0.0))).where("_is_trade")
-    return rows.select("trade_id", "impact", clamp(F.abs("impact") / 0.05).alias("impact_score"), F.coalesce(F.col("impact") > 0.01, F.lit(False)).alias("confirmed"))
+    drift = {s: sign * (F.col(f"mid_{s}s") - F.col("mid_before")) / F.nullif(F.col("mid_before"), F.lit(0.0)) for s in horizons}
+    rows = rows.withColumns({f"drift_{s}s": x for s, x in drift.items()}).withColumn("impact", F.coalesce(*(F.col(f"drift_{s}s") for s in sorted(horizons, reverse=True))))
+    mids = ("mid_before", *(f"mid_{s}s" for s in horizons))
+    return rows.select("trade_id", *mids, *(f"drift_{s}s" for s in horizons), clamp(F.abs("impact") / 0.05).alias("impact_score"), F.coalesce(F.col("impact") > 0.01, F.lit(False)).alias("confirmed"))
 
 
 def with_wallet(trades: DataFrame, wallets: DataFrame) -> DataFrame:
@@ -162,16 +274,14 @@ def feature_vectors(trades: DataFrame, books: DataFrame, wallets: DataFrame, mar
 
 def highest_trade(trades: DataFrame, minutes: int = 60, least: float = 500.0) -> DataFrame:
     """Each trade with the id and notional of the token's highest one in the last hour, from `least` on."""
-    top = F.max(F.when(F.col("notional") >= least, F.struct("notional", F.col("trade_id")))).over(_frame(minutes))
-    return trades.withColumn("top_trade_id", top["trade_id"]).withColumn("top_notional", top["notional"])
+    rows = in_segments(trades, F.unix_micros("ts"), minutes * 60)
+    top = F.max(F.when(F.col("notional") >= least, F.struct("notional", F.col("trade_id")))).over(_frame(minutes, "token_id", "_segment"))
+    return own(rows.withColumn("top_trade_id", top["trade_id"]).withColumn("top_notional", top["notional"]))
 
 
 def triggering_trades(trades: DataFrame, minutes: int = 60, least: float = 5000.0, most: int = 3) -> DataFrame:
     """The ids of the token's highest trades in the last hour that are large and in the frame's upper twentieth."""
-    w = _frame(minutes)
-    rows = trades.withColumn("_q", F.percentile("notional", F.lit(0.95)).over(w)).withColumn("_all", F.collect_list(F.struct("notional", "trade_id")).over(w))
-    high = F.filter("_all", lambda t: (t["notional"] >= least) & (t["notional"] >= F.col("_q")))
-    return rows.withColumn("trigger_ids", F.transform(F.slice(F.sort_array(high, asc=False), 1, most), lambda t: t["trade_id"])).drop("_q", "_all")
+    return trades.join(frame_statistics(trades, minutes, least, most).select("token_id", "trade_id", "trigger_ids"), ["token_id", "trade_id"], "left")
 
 
 def ema(df: DataFrame, key: str, order: str, x: str, alpha: float = 0.2) -> DataFrame:

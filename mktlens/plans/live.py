@@ -96,19 +96,23 @@ def j3(spark, d):
     return X.as_of_book(V.trades(spark, d), books, ("mid", "imbalance")).select("trade_id", F.coalesce("snapshot_id", F.lit(-1)).alias("snapshot_id"), "mid", "imbalance")
 
 
+MIDS = "(SELECT token_id, ts, mid FROM books WHERE mid IS NOT NULL)"
+
+
 @query(
     "w19_post_trade_impact",
     views("trades", "levels")
     + BOOK
-    + f""", x AS (SELECT t.trade_id, t.side, b.mid AS before, a.mid AS after, a.ts > t.ts AS moved FROM trades t
- ASOF LEFT JOIN (SELECT token_id, ts, mid FROM books WHERE mid IS NOT NULL) b ON b.token_id = t.token_id AND b.ts <= t.ts
- ASOF LEFT JOIN (SELECT token_id, ts, mid FROM books WHERE mid IS NOT NULL) a ON a.token_id = t.token_id AND a.ts <= t.ts + INTERVAL 3600 SECONDS),
-y AS (SELECT trade_id, CASE WHEN moved THEN CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * (after - before) / nullif(before, 0) END AS impact FROM x)
-SELECT trade_id, {r6({"impact": "impact", "impact_score": "CASE WHEN impact IS NULL THEN NULL ELSE greatest(0, least(1, abs(impact) / 0.05)) END"})}, coalesce(impact > 0.01, false) AS confirmed FROM y""",
+    + f""", x AS (SELECT t.trade_id, CASE WHEN t.side = 'BUY' THEN 1 ELSE -1 END AS sign, b.mid AS mid_before, CASE WHEN a.ts > t.ts THEN a.mid END AS mid_30s, CASE WHEN c.ts > t.ts THEN c.mid END AS mid_60s FROM trades t
+ ASOF LEFT JOIN {MIDS} b ON b.token_id = t.token_id AND b.ts <= t.ts
+ ASOF LEFT JOIN {MIDS} a ON a.token_id = t.token_id AND a.ts <= t.ts + INTERVAL 30 SECONDS
+ ASOF LEFT JOIN {MIDS} c ON c.token_id = t.token_id AND c.ts <= t.ts + INTERVAL 60 SECONDS),
+y AS (SELECT *, sign * (mid_30s - mid_before) / nullif(mid_before, 0) AS drift_30s, sign * (mid_60s - mid_before) / nullif(mid_before, 0) AS drift_60s FROM x)
+SELECT trade_id, {r6({c: c for c in ("mid_before", "mid_30s", "mid_60s", "drift_30s", "drift_60s")})}, {r6({"impact_score": "CASE WHEN coalesce(drift_60s, drift_30s) IS NULL THEN NULL ELSE greatest(0, least(1, abs(coalesce(drift_60s, drift_30s)) / 0.05)) END"})},
+ coalesce(coalesce(drift_60s, drift_30s) > 0.01, false) AS confirmed FROM y""",
 )
 def w19(spark, d):
-    rows = X.post_trade_impact(V.trades(spark, d), X.book_metrics(V.book_levels(spark, d)))
-    return rows.withColumn("impact_score", F.when(F.col("impact").isNotNull(), F.col("impact_score")))
+    return X.post_trade_impact(V.trades(spark, d), X.book_metrics(V.book_levels(spark, d)))
 
 
 WALLET = """, wf AS (SELECT t.*, transaction_count, (epoch_us(t.ts) - epoch_us(first_seen_at)) / 86400000000.0 AS wallet_age_days FROM trades t LEFT JOIN wallets w USING (wallet)),
