@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import EventFilter, EventParams
+from ..sources.folders import cut
+from .order import placed, quantile, value_counts
 from .scan import in_segments, own
 
 MAD_SCALE = 1.4826
@@ -20,18 +22,18 @@ _MINUTE = 60_000_000
 
 
 def size_ranks(trades: DataFrame, keys: tuple[str, ...] = ("condition_id",), x: str = "notional") -> DataFrame:
-    """size_percentile (share of strictly smaller ones, in percent) and size_zscore (robust; 0 where MAD is 0)."""
-    middle = trades.groupBy(*keys).agg(F.percentile(x, F.lit(0.5)).alias("_median"))
-    out = trades.join(middle, list(keys))
-    spread = out.groupBy(*keys).agg(F.percentile(F.abs(F.col(x) - F.col("_median")), F.lit(0.5)).alias("_mad"))
-    here = Window.partitionBy(*keys)
+    """size_percentile (share of strictly smaller ones, in percent) and size_zscore (robust; 0 where MAD is 0).
+
+    All of it is worked out over distinct sizes; each trade then meets its size's row.
+    """
+    sizes = cut(placed(value_counts(trades, keys, x), keys, x))
+    middle = quantile(sizes, keys, x, 0.5, "_median")
+    sizes = sizes.join(middle, list(keys))
+    away = sizes.groupBy(*keys, F.abs(F.col(x) - F.col("_median")).alias("_away")).agg(F.sum("m").alias("m"))
+    spread = quantile(placed(away, keys, "_away"), keys, "_away", 0.5, "_mad")
     score = F.when(F.col("_mad") == 0, F.lit(0.0)).otherwise((F.col(x) - F.col("_median")) / (MAD_SCALE * F.nullif(F.col("_mad"), F.lit(0.0))))
-    return (
-        out.join(spread, list(keys))
-        .withColumn("size_percentile", (F.rank().over(here.orderBy(x)) - 1) * 100.0 / F.count(F.lit(1)).over(here))
-        .withColumn("size_zscore", score)
-        .drop("_median", "_mad")
-    )
+    told = sizes.join(spread, list(keys)).select(*keys, x, (F.col("below") * 100.0 / F.col("total")).alias("size_percentile"), score.alias("size_zscore"))
+    return trades.join(told, [*keys, x], "left")
 
 
 def price_and_flow(trades: DataFrame, minutes: int = 30) -> DataFrame:

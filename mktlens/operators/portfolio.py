@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.decisions import position_pnl
+from .scan import earlier, local_window, with_carried
+
+#: Ids in a segment of a scan over closed positions.
+SEGMENT_IDS = 65_536
 
 
 def positions_of(trades: DataFrame, markets: DataFrame) -> DataFrame:
@@ -38,13 +42,26 @@ def daily_pnl(closed: DataFrame) -> DataFrame:
 
 
 def running(closed: DataFrame, key: str, start: float = 10_000.0) -> DataFrame:
-    """Bankroll, peak, drawdown (also the worst so far) and losses in a row after each close of a key's positions."""
-    w = Window.partitionBy(key).orderBy("exit_ts", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = closed.where("pnl is not null").withColumn("bankroll", start + F.sum("pnl").over(w))
-    rows = rows.withColumn("peak", F.greatest(F.lit(start), F.max("bankroll").over(w))).withColumn("drawdown", (F.col("peak") - F.col("bankroll")) / F.col("peak"))
-    rows = rows.withColumn("max_drawdown", F.max("drawdown").over(w)).withColumn("_wins", F.sum((F.col("pnl") >= 0).cast("int")).over(w))
-    run = Window.partitionBy(key, "_wins").orderBy("exit_ts", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("losses_in_row", F.sum((F.col("pnl") < 0).cast("int")).over(run)).drop("_wins")
+    """Bankroll, peak, drawdown (also the worst so far) and losses in a row after each close of a key's positions.
+
+    Positions are in order of exit, then of id, and are scanned in segments of both; three rounds, as
+    a peak needs the bankroll and the worst drawdown the peaks of what came before.
+    """
+    keys = [key]
+    here, up = local_window(keys, ["exit_ts", "trade_id"]), earlier(keys)
+    lost, nothing = (F.col("pnl") < 0).cast("long"), F.lit(0)
+    rows = closed.where("pnl is not null").withColumn("_segment", F.struct("exit_ts", F.floor(F.col("trade_id") / F.lit(SEGMENT_IDS)).alias("part")))
+    rows = rows.withColumns({"_sum": F.sum("pnl").over(here), "_losses": F.sum(lost).over(here)})
+    rows = with_carried(rows, keys, [F.sum("pnl").alias("_total"), F.sum(lost).alias("_lost")], {"_pnl": F.sum("_total").over(up), "_gone": F.sum("_lost").over(up)})
+    rows = rows.withColumns({"bankroll": start + F.coalesce("_pnl", nothing) + F.col("_sum"), "_losses": F.col("_losses") + F.coalesce("_gone", nothing)})
+    # losses are never fewer later on, so the most at any win so far are those at the last win
+    rows = rows.withColumn("_at_win", F.when(F.col("pnl") >= 0, F.col("_losses")))
+    rows = rows.withColumns({"_high": F.max("bankroll").over(here), "_won": F.max("_at_win").over(here)})
+    rows = with_carried(rows, keys, [F.max("bankroll").alias("_most"), F.max("_at_win").alias("_last")], {"_before": F.max("_most").over(up), "_earlier": F.max("_last").over(up)})
+    rows = rows.withColumns({"peak": F.greatest(F.lit(start), "_high", "_before"), "losses_in_row": F.col("_losses") - F.coalesce(F.greatest("_won", "_earlier"), nothing)})
+    rows = rows.withColumn("drawdown", (F.col("peak") - F.col("bankroll")) / F.col("peak")).withColumn("_worst", F.max("drawdown").over(here))
+    rows = with_carried(rows, keys, [F.max("drawdown").alias("_most")], {"_deepest": F.max("_most").over(up)})
+    return rows.withColumn("max_drawdown", F.greatest("_worst", "_deepest")).select(*closed.columns, "bankroll", "peak", "drawdown", "max_drawdown", "losses_in_row")
 
 
 def exposure_series(positions: DataFrame, key: str, start: float = 10_000.0) -> DataFrame:

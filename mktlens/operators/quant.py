@@ -3,55 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_p_value, clamp
+from ..sources.folders import cut
+from .buckets import volume_buckets
+from .order import placed, value_counts
 from .performance import event_metrics, won
 
 #: Bounds in minutes of the decay buckets.
 DECAY_BUCKETS = ((0, 10), (10, 20), (20, 30), (30, 45), (45, 60), (60, 90), (90, 120))
 
 
-def volume_buckets(events: DataFrame, by: str, size: float = 50_000.0) -> DataFrame:
-    """by, bucket, buy, sell of buckets that close at the event that fills them, and then start from 0.
-
-    The restart makes this a fold over each group's events in order. A task streams through its
-    groups, sorted by Spark, and holds one bucket: its memory doesn't grow with a group, though one
-    group is one task's work.
-    """
-    buy = (F.col("outcome") == "Yes") & (F.col("price") > 0.5)
-    rows = events.select(F.col(by).cast("string").alias("_by"), F.unix_micros("ts").alias("_t"), "trade_id", F.col("notional").alias("_v"), F.coalesce(buy, F.lit(False)).alias("_b"))
-    ordered = rows.repartition("_by").sortWithinPartitions("_by", "_t", "trade_id").select("_by", "_v", "_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bucket, sums = None, 0, [0.0, 0.0]  # sells, buys
-        done: list[tuple] = []
-        for batch in batches:
-            for k, v, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    if sums[0] + sums[1] > 0:
-                        done.append((key, bucket, sums[1], sums[0]))
-                    key, bucket, sums = k, 0, [0.0, 0.0]
-                sums[b] += v
-                if sums[0] + sums[1] >= size:
-                    done.append((key, bucket, sums[1], sums[0]))
-                    bucket, sums = bucket + 1, [0.0, 0.0]
-            yield out(done)
-            done = []
-        if sums[0] + sums[1] > 0:
-            yield out([(key, bucket, sums[1], sums[0])])
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[by, "bucket", "buy", "sell"])
-
-    return ordered.mapInArrow(run, f"`{by}` string, bucket int, buy double, sell double")
-
-
 def vpin(events: DataFrame, by: str, size: float = 50_000.0) -> DataFrame:
     """Mean imbalance of the volume buckets, their number and volume, and a level."""
     total = F.col("buy") + F.col("sell")
@@ -76,7 +41,7 @@ def hawkes_moments(events: DataFrame, by: str, half_life_ms: float = 300_000.0,
         "n",
         F.when(enough, F.coalesce(F.col("n") / F.nullif(F.col("span"), zero) * 3_600_000, zero)).otherwise(zero).alias("rate_per_hour"),
         F.when(enough, F.coalesce(score, zero)).otherwise(zero).alias("clustering"),
-        F.when(enough, F.coalesce(score * beta, zero) * 1e6).otherwise(zero).alias("alpha_e6"),
+        F.when(enough, F.coalesce(score * beta, zero)).otherwise(zero).alias("alpha"),
         F.when(enough, F.coalesce(score, zero)).otherwise(zero).alias("branching"),
     )
 
@@ -143,13 +108,19 @@ def kyle_lambda(events: DataFrame, by: str) -> DataFrame:
 
 
 def impact_by_size(events: DataFrame, by: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    """Mean signed drift of the ten events before and after each size quantile."""
-    rows = events.where(F.col("drift_30m").isNotNull()).withColumn("y", F.when(F.col("outcome") == "Yes", F.col("drift_30m")).otherwise(-F.col("drift_30m")))
-    here = Window.partitionBy(by)
-    rows = rows.withColumn("k", F.row_number().over(here.orderBy("notional", "trade_id")) - 1).withColumn("m", F.count(F.lit(1)).over(here))
-    near = lambda q: F.when((F.col("k") >= F.floor(q * F.col("m")) - 10) & (F.col("k") < F.floor(q * F.col("m")) + 10), F.lit(q))
-    rows = rows.where("m >= 20").withColumn("quantile", F.explode(F.array_compact(F.array(*map(near, quantiles)))))
-    return rows.groupBy(by, "quantile").agg(F.avg("y").alias("avg_impact"), F.count(F.lit(1)).alias("n"))
+    """Mean signed drift of the ten events before and after each size quantile, of groups with 20 events or more.
+
+    Places are counted over distinct sizes; only the events at a size near a quantile are ordered.
+    """
+    rows = events.where(F.col("drift_30m").isNotNull()).select(by, "trade_id", "notional", F.when(F.col("outcome") == "Yes", F.col("drift_30m")).otherwise(-F.col("drift_30m")).alias("y"))
+    rows = cut(rows)
+    sizes = placed(value_counts(rows, (by,), "notional"), (by,), "notional").where("total >= 20")
+    middle = lambda q: F.floor(q * F.col("total"))
+    touched = lambda q: F.when((F.col("below") < middle(q) + 10) & (F.col("below") + F.col("m") > middle(q) - 10), F.lit(q))
+    near = sizes.withColumn("quantile", F.explode(F.array_compact(F.array(*map(touched, quantiles))))).select(by, "notional", "quantile", "below", "total")
+    at = F.col("below") + F.row_number().over(Window.partitionBy(by, "quantile", "notional").orderBy("trade_id")) - 1
+    found = rows.join(near, [by, "notional"]).withColumn("_k", at).where((F.col("_k") >= F.floor(F.col("quantile") * F.col("total")) - 10) & (F.col("_k") < F.floor(F.col("quantile") * F.col("total")) + 10))
+    return found.groupBy(by, "quantile").agg(F.avg("y").alias("avg_impact"), F.count(F.lit(1)).alias("n"))
 
 
 def signal_groups(events: DataFrame, least: int = 10, most: int = 5) -> DataFrame:
@@ -162,8 +133,8 @@ def signal_groups(events: DataFrame, least: int = 10, most: int = 5) -> DataFram
 
 
 def report(events: DataFrame, by: str, incremental: bool = False) -> DataFrame:
-    """name, key, value of all measures (only flow and clustering if incremental), from one cached table of events."""
-    events = events.cache()
+    """name, key, value of all measures (only flow and clustering if incremental); the events are worked out once."""
+    events = cut(events)
     parts = [
         vpin(events, by).select(F.lit("vpin").alias("name"), F.col(by).alias("key"), F.col("vpin").alias("value")),
         hawkes_moments(events, by).select(F.lit("branching").alias("name"), F.col(by).alias("key"), F.col("branching").alias("value")),

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from statistics import NormalDist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, t_cdf
+from ..sources.folders import cut
+from .order import placed
 
 Z95 = 1.96
 
@@ -61,17 +69,21 @@ def flag_correlation(counts: DataFrame) -> DataFrame:
     return _correlated(counts, clamp(c * F.sqrt((n - 1) / F.nullif(n, F.lit(0.0))), -1.0, 1.0), usable).drop("nx", "ny", "nxy")
 
 
-def average_rank(order: str, by: tuple[str, ...] = ()) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, order)) - 1) / 2
-
-
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
-    """Rank correlation in each group: n, r, p_value, ci_low, ci_high."""
-    ranked = df.select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
-    summed = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _corr(F.col("rx"), F.col("ry")).alias("c"))
-    return _correlated(summed, clamp("c", -1.0, 1.0), (F.col("n") >= 4) & F.col("c").isNotNull() & ~F.isnan("c")).drop("c")
+    """Rank correlation in each group: n, r, p_value, ci_low, ci_high. Ties share their mean rank; rows with a null are left out.
+
+    Ranks are of distinct values; pairs of values are counted before they meet their ranks. The mean
+    rank is known, so sums are of deviations from it.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    pairs, mean = cut(pairs), (F.col("total") + 1) / 2
+    for c in ("_x", "_y"):
+        ranks = placed(pairs.groupBy(*by, c).agg(F.sum("_n").alias("m")), by, c)
+        pairs = pairs.join(ranks.select(*by, c, (F.col("below") + (F.col("m") + 1) / 2 - mean).alias(f"_d{c}")), [*by, c])
+    n, dx, dy = F.col("_n"), F.col("_d_x"), F.col("_d_y")
+    summed = pairs.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy"))
+    summed = summed.withColumn("c", F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))).drop("xy", "xx", "yy")
+    return _correlated(summed, clamp("c", -1.0, 1.0), (F.col("n") >= 4) & F.col("c").isNotNull()).drop("c")
 
 
 def auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -121,24 +133,59 @@ def calibration_curve(df: DataFrame, predicted: str, label: str, bins: int = 10)
     return df.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(predicted).alias("mean_predicted"), F.avg(F.col(label).cast("double")).alias("mean_actual"))
 
 
+# Constants of the multiplicative congruential hash of bootstrap weights, modulo a prime.
+PRIME, FACTORS = 2_147_483_647, (1_103_515_245, 12_345, 48_271, 69_621)
+#: Shares of the Poisson distribution with mean 1, summed: a weight is the number of them that a draw reaches.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(7))
+
+
+def poisson_weights(keys: np.ndarray, resamples: int) -> np.ndarray:
+    """Weight of each key (integers) in resamples 1, 2, ...: a hash of both as a Poisson draw."""
+    a, b, c, d = FACTORS
+    h = ((keys.astype(np.int64) % PRIME) * a % PRIME)[:, None] + np.arange(1, resamples + 1, dtype=np.int64)[None] * b
+    h = h % PRIME * c % PRIME
+    h = (h ^ (h >> 15)) % PRIME * d % PRIME
+    return np.searchsorted(np.array(POISSON), h / PRIME, side="right")
+
+
 def bootstrap_mean(df: DataFrame, value: str, key: str, by: tuple[str, ...] = (), resamples: int = 1000, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean: n, mean, ci_low, ci_high.
+    """Percentile interval of the mean: n, mean, ci_low, ci_high; nulls are left out.
 
-    A Poisson bootstrap: each row's weight in each resample comes from a hash of its key, so that
-    the result doesn't depend on partitions, and sums combine map-side.
+    A Poisson bootstrap: each row's weight in each resample comes from a hash of its key, an integer,
+    so that the result doesn't depend on partitions. A task sums all resamples of its rows as arrays;
+    one pair of arrays for each task and group is shuffled.
     """
-    draw = F.pmod(F.xxhash64(F.col(key), F.col("_b")), F.lit(1_000_003)) / 1_000_003.0
-    weight, total, chance = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(7):
-        total += chance
-        chance /= k + 1
-        weight = weight + (draw >= total).cast("int")
-    many = df.select(*by, key, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b")).withColumn("_w", weight)
-    means = many.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
+    rows = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.to_json(F.struct(*by)).alias("_by") if by else F.lit("").alias("_by"), F.col(key).cast("long").alias("_key"), F.col(value).cast("double").alias("_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            flat = lambda k: pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * resamples), pa.array(np.concatenate([s[k] for s in sums.values()]) if sums else np.empty(0)))
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), flat(0), flat(1)], names=["_by", "_w", "_wx"])
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                names = part.column("_by").dictionary_encode()
+                code, x = names.indices.to_numpy(), part.column("_x").to_numpy()
+                weights = poisson_weights(part.column("_key").to_numpy(), resamples).astype(np.float64)
+                for k, name in enumerate(names.dictionary.to_pylist()):
+                    mine = weights[code == k]
+                    sums.setdefault(name, np.zeros((2, resamples)))
+                    sums[name][0] += mine.sum(0)
+                    sums[name][1] += x[code == k] @ mine
+            if len(sums) > 256:
+                yield told()
+                sums = {}
+        yield told()
+
+    parts = rows.mapInArrow(run, "_by string, _w array<double>, _wx array<double>")
+    many = parts.select("_by", F.posexplode(F.arrays_zip("_w", "_wx")).alias("_b", "_s")).groupBy("_by", "_b").agg((F.sum("_s._wx") / F.nullif(F.sum("_s._w"), F.lit(0.0))).alias("m"))
     side = (1 - confidence) / 2
-    interval = means.groupBy(*by).agg(F.percentile("m", F.lit(side)).alias("ci_low"), F.percentile("m", F.lit(1 - side)).alias("ci_high"))
-    plain = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    return plain.join(interval, list(by)) if by else plain.crossJoin(F.broadcast(interval))
+    interval = many.groupBy("_by").agg(F.percentile("m", F.lit(side)).alias("ci_low"), F.percentile("m", F.lit(1 - side)).alias("ci_high"))
+    plain = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    return plain.withColumn("_by", F.to_json(F.struct(*by)) if by else F.lit("")).join(interval, "_by").drop("_by")
 
 
 def rolling_stats(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
@@ -151,41 +198,70 @@ def rolling_stats(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
     return stats.join(spread, list(by))
 
 
+QUANTILES = (0.5, 0.95, 0.99, 0.999)
+
+
 def quantile_sketch(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
-    """Mergeable sketch of each group, for quantiles over data that doesn't fit an exact one."""
-    sketch = df.groupBy(*by).agg(F.expr(f"kll_sketch_agg_double({x})").alias("sketch"))
-    return sketch.select(*by, *(F.expr(f"kll_sketch_get_quantile_double(sketch, {q})").alias(f"q{str(q)[2:]}") for q in (0.5, 0.95, 0.99, 0.999)))
+    """by, n, sketch: a mergeable sketch of each group, for quantiles and ranks over data that doesn't fit an exact one."""
+    return df.groupBy(*by).agg(F.count(x).alias("n"), F.expr(f"kll_sketch_agg_double({x})").alias("sketch"))
 
 
-def win_rate_interval(df: DataFrame, n: str, wins: str, confidence: float = 0.95, reach: float = 12.0) -> DataFrame:
+def sketch_quantiles(sketches: DataFrame) -> DataFrame:
+    """The sketches with their estimated quantiles q5, q95, q99, q999."""
+    return sketches.select("*", *(F.expr(f"kll_sketch_get_quantile_double(sketch, {q})").alias(f"q{str(q)[2:]}") for q in QUANTILES))
+
+
+#: Steps in which ranks are read off a sketch, a power of two so that they are exact doubles.
+RANKS = 256
+
+
+def percentile_rank(df: DataFrame, sketches: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
+    """df's rows with percentile_rank: in percent, down to a RANKS-th, the share of their group that the sketch puts at or below x (null: no sketch)."""
+    steps = ", ".join(repr(k / RANKS) for k in range(1, RANKS + 1))
+    read = sketches.select(*by, F.expr(f"kll_sketch_get_quantile_double(sketch, array({steps}))").alias("_steps"))
+    rank = F.size(F.filter("_steps", lambda v: v <= F.col(x))) / RANKS * 100
+    return df.join(read, list(by), "left").withColumn("percentile_rank", F.when(F.col("_steps").isNotNull() & F.col(x).isNotNull(), rank)).drop("_steps")
+
+
+#: Standard deviations of a number of wins up to which its distribution is summed, which takes REACH of them to either side.
+SUMMED, REACH = 60.0, 12.0
+
+
+def win_rate_interval(df: DataFrame, n: str, wins: str, confidence: float = 0.95) -> DataFrame:
     """df with ci_low and ci_high: the percentile interval of the bootstrapped win rate.
 
     A resample of n events with replacement has a binomial number of wins, so the interval's ends
-    are quantiles of that distribution, which no resampling has to estimate. They are summed over
-    the numbers within `reach` deviations of the mean.
+    are quantiles of that distribution, which no resampling has to estimate. Work doesn't grow with
+    n: a distribution of up to SUMMED deviations is summed term by term, a wider one is so smooth that
+    the Cornish-Fisher expansion of its quantile, up to the fourth cumulant, is off by a win at most.
     """
-    count, rate = F.col(n).cast("double"), F.col(wins) / F.col(n)
+    count = F.col(n).cast("double")
     certain = F.col(wins).isin(0) | (F.col(wins) == F.col(n))
-    p = F.when(certain, F.lit(0.5)).otherwise(rate)  # without both wins and losses there is nothing to sum
-    half = F.lit(reach) * F.sqrt(count * p * (1 - p)) + reach
-    low, high = F.greatest(F.lit(0), F.floor(count * p - half)), F.least(F.col(n), F.ceil(count * p + half))
-    odds = p / (1 - p)
-    middle = F.round(count * p)
-    # weights relative to the middle's: k + 1 against k is (n - k) / (k + 1) * odds
-    up = F.transform(F.sequence(middle.cast("long"), high.cast("long")), lambda k: F.log((count - k) / (k + 1) * odds))
-    down = F.transform(F.reverse(F.sequence(low.cast("long"), middle.cast("long"))), lambda k: F.log(k / ((count - k + 1) * odds)))
-    sums = lambda steps: F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    below = F.reverse(F.slice(sums(F.slice(down, F.lit(1), F.size(down) - 1)), 2, F.size(down)))
-    weights = F.transform(F.concat(below, sums(F.slice(up, F.lit(1), F.size(up) - 1))), F.exp)
-    out = df.withColumn("_low", low).withColumn("_w", weights).withColumn("_all", F.aggregate("_w", F.lit(0.0), lambda a, x: a + x))
+    p = F.when(certain, F.lit(0.5)).otherwise(F.col(wins) / F.col(n))  # without both wins and losses there is nothing to sum
+    mean, dev = count * p, F.sqrt(count * p * (1 - p))
+    narrow = (dev <= SUMMED) & ~certain
+    low = F.when(narrow, F.greatest(F.lit(0.0), F.floor(mean - REACH * (dev + 1)))).otherwise(0.0).cast("long")
+    high = F.when(narrow, F.least(count, F.ceil(mean + REACH * (dev + 1)))).otherwise(0.0).cast("long")
+    out = df.withColumns({"_p": p, "_low": low, "_terms": F.sequence(low, high)})
+
+    def weights(sums: Column, step) -> Column:
+        """Folds the terms' weights, relative to the first one's, which the last of them is no more than 1e70 above."""
+        start = F.struct(F.lit(1.0).alias("w"), sums.alias("x"))
+        after = lambda a, k: a["w"] * (F.col(n) - k) / (k + 1) * (F.col("_p") / (1 - F.col("_p")))
+        return F.aggregate("_terms", start, lambda a, k: F.struct(after(a, k).alias("w"), step(a["x"], a["w"]).alias("x")), lambda a: a["x"])
+
+    out = out.withColumn("_all", weights(F.lit(0.0), lambda x, w: x + w))
 
     def quantile(q: float) -> Column:
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("k"))
-        step = lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["k"] + (a["sum"] + w < F.lit(q) * F.col("_all")).cast("long")).alias("k"))
-        return (F.col("_low") + F.aggregate("_w", start, step)["k"]) / count
+        met = weights(start, lambda x, w: F.struct((x["sum"] + w).alias("sum"), (x["k"] + (x["sum"] + w < F.lit(q) * F.col("_all")).cast("long")).alias("k")))
+        z = NormalDist().inv_cdf(q)
+        skew, excess = (1 - 2 * F.col("_p")) / dev, (1 - 6 * F.col("_p") * (1 - F.col("_p"))) / (dev * dev)
+        wide = mean + dev * (z + (z * z - 1) / 6 * skew + (z**3 - 3 * z) / 24 * excess - (2 * z**3 - 5 * z) / 36 * skew * skew)
+        return F.when(certain, F.col(wins) / F.col(n)).when(narrow, (F.col("_low") + met["k"]) / count).otherwise(F.ceil(wide - 0.5) / count)
 
     side = (1 - confidence) / 2
-    return out.withColumns({"ci_low": F.when(certain, rate).otherwise(quantile(side)), "ci_high": F.when(certain, rate).otherwise(quantile(1 - side))}).drop("_low", "_w", "_all")
+    return out.withColumns({"ci_low": quantile(side), "ci_high": quantile(1 - side)}).drop("_p", "_low", "_terms", "_all")
 
 
 def information_ratio(daily: DataFrame, by: str, day: str, n: str, wins: str, price_sum: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import monitoring as M
 from ..operators import performance as P
 from ..operators import quant as Q
 from ..sources import views as V
-from .registry import query
+from .registry import SQL, query
 from .research import NORMAL, RESOLVED, ROUNDED, SHOWN, WITH, contrarian, metrics_sql, r6
 from .sqlviews import views
 
@@ -43,7 +43,8 @@ c AS (SELECT *, greatest(0, least(1, (dev / mean - 1) / 2)) AS score FROM s)
 SELECT category, n, {r6({"rate_per_hour": "CASE WHEN n >= 10 THEN n / span * 3600000 ELSE 0 END", "clustering": "CASE WHEN n >= 10 THEN score ELSE 0 END", "alpha_e6": "CASE WHEN n >= 10 THEN score * ln(2) / 300000 * 1000000 ELSE 0 END", "branching": "CASE WHEN n >= 10 THEN score ELSE 0 END"})} FROM c""",
 )
 def a11(spark, d):
-    return Q.hawkes_moments(contrarian(spark, d), "category")
+    # registered doubles have six places
+    return Q.hawkes_moments(contrarian(spark, d), "category").withColumn("alpha_e6", F.col("alpha") * 1e6).drop("alpha")
 
 
 @query(
@@ -127,11 +128,25 @@ def a28(spark, d):
     return Q.signal_groups(contrarian(spark, d))
 
 
-@query("a30_report")
+def reported(*parts: tuple[str, str, str, str]) -> str:
+    """The report's rows from the SQL of the measures' own queries: (query, name, key, value)."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, CAST({key} AS VARCHAR) AS key, {value} AS value FROM ({SQL[measure]})" for measure, name, key, value in parts)
+
+
+QUICK = (("a10_vpin", "vpin", "category", "vpin"), ("a11_hawkes_moments", "branching", "category", "branching"))
+REST = (("a22_kyle_lambda", "kyle_lambda", "category", '"lambda"'), ("a21_benford", "benford", "digit", "observed"), ("a20_time_decay", "edge", "from_minute", "edge_points"), ("a28_signal_groups", "win_rate", '"group"', "win_rate"))
+
+
+@query("a30_report", reported(*QUICK, *REST))
 def a30(spark, d):
     return Q.report(contrarian(spark, d), "category")
 
 
+@query("a30_incremental_report", reported(*QUICK))
+def a30_incremental(spark, d):
+    return Q.report(contrarian(spark, d), "category", incremental=True)
+
+
 def strategies(spark):
     """Five registered strategies: one for each category, from a notional on."""
     return spark.createDataFrame([(f"s-{c}-{n:g}", c, n) for c, n in zip(V.TYPES, (100.0, 500.0, 1000.0, 2000.0, 4000.0), strict=True)], "strategy_id string, category string, min_notional double")

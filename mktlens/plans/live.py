@@ -8,6 +8,7 @@ from ..functions import decisions as D
 from ..functions import numeric as N
 from ..functions import scores as S
 from ..operators import features as X
+from ..operators import statistics as ST
 from ..sources import views as V
 from .registry import query
 from .research import r6
@@ -316,16 +317,22 @@ def a1(spark, d):
 SELECT category, count(notional) AS n, {r6({"sum": "sum(notional)", "mean": "avg(notional)", "median": "median(notional)", "min": "min(notional)", "max": "max(notional)", "variance": "var_samp(notional)", "std": "stddev_samp(notional)", "q25": "quantile_cont(notional, 0.25)", "q75": "quantile_cont(notional, 0.75)", "mad": "median(abs(notional - med))"})} FROM trades JOIN m USING (category) GROUP BY 1""",
 )
 def a31(spark, d):
-    from ..operators.statistics import rolling_stats
+    return ST.rolling_stats(V.trades(spark, d), "notional", ("category",))
 
-    return rolling_stats(V.trades(spark, d), "notional", ("category",))
 
+# sketches of groups as small as the tokens' are exact: the smallest value that so many are at or below
+SKETCHED = "SELECT token_id, notional, trade_id, list_sort(list(notional) OVER (PARTITION BY token_id)) AS l FROM trades"
 
-@query("a32_quantile_sketch")
+
+@query("a32_quantile_sketch", T + f"SELECT token_id, len(any_value(l)) AS n, {r6({f'q{str(q)[2:]}': f'any_value(l)[CAST(ceil({q} * len(any_value(l))) AS INT)]' for q in (0.5, 0.95, 0.99, 0.999)})} FROM ({SKETCHED}) GROUP BY 1")
 def a32(spark, d):
-    from ..operators.statistics import quantile_sketch
+    return ST.sketch_quantiles(ST.quantile_sketch(V.trades(spark, d), "notional", ("token_id",))).drop("sketch")
+
 
-    return quantile_sketch(V.trades(spark, d), "notional", ("token_id",))
+@query("a32_percentile_rank", T + f"SELECT trade_id, {r6({'percentile_rank': 'floor(256 * len(list_filter(l, lambda x: x <= notional)) / len(l)) / 256 * 100'})} FROM ({SKETCHED})")
+def a32_rank(spark, d):
+    trades = V.trades(spark, d)
+    return ST.percentile_rank(trades, ST.quantile_sketch(trades, "notional", ("token_id",)), "notional", ("token_id",)).select("trade_id", "percentile_rank")
 
 
 @query("a19_logistic_report")

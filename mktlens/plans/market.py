@@ -8,6 +8,7 @@ from ..operators import filters as L
 from ..operators import portfolio as P
 from ..operators import ranking as R
 from ..params import MarketFilter
+from ..sources import folders
 from ..sources import normalize as N
 from ..sources import views as V
 from .live import FULL, STRENGTH, scored
@@ -393,16 +394,41 @@ def f29(spark, d):
     )
 
 
-@query("s5_route_market_events")
-def s5(spark, d):
-    t = V.trades(spark, d)
-    kind = F.when(F.col("trade_id") % 4 == 0, "price_change").when(F.col("trade_id") % 4 == 1, "last_trade_price").when(F.col("trade_id") % 4 == 2, "market_resolved").otherwise("other")
-    raw = t.select(F.to_json(F.struct(kind.alias("event_type"), "token_id", "price", "size", "condition_id", F.col("outcome").alias("winner"))).alias("value"))
-    routed = N.route_market_events(raw)
-    out = None
-    for name in ("price_change", "last_trade_price", "market_resolved", "book"):
-        part = routed[name].agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+#: What each kind of event is checked by: a sum over what its routed rows hold.
+ROUTED = {
+    "book": ("CAST(get(bids, 0).price AS DOUBLE) + CAST(get(asks, 0).size AS DOUBLE)", "price + size"), "price_change": ("price", "price"), "last_trade_price": ("price * size", "price * size"), "best_bid_ask": ("ask - bid", "0.02"),
+    "tick_size_change": ("tick", "0.001 * (1 + trade_id % 3)"), "market_resolved": ("CASE WHEN winner = 'Yes' THEN 1 ELSE 0 END", "CASE WHEN outcome = 'Yes' THEN 1 ELSE 0 END"),
+}
+KINDS = "[" + ", ".join(f"'{k}'" for k in ROUTED) + "]"
+
+
+def wire_events(trades):
+    """Trades as a stream of JSON texts of the six kinds, one of each seven of a kind that is unknown, and some that are broken."""
+    c = F.col
+    kind = F.element_at(F.array(*map(F.lit, (*ROUTED, "other"))), (c("trade_id") % 7 + 1).cast("int"))
+    level = lambda price, size: F.array(F.struct(price.cast("string").alias("price"), size.cast("string").alias("size")))
+    fields = [kind.alias("event_type"), c("token_id"), c("price"), c("size"), (c("price") - 0.01).alias("bid"), (c("price") + 0.01).alias("ask"), (0.001 * (1 + c("trade_id") % 3)).alias("tick"), c("condition_id"), c("outcome").alias("winner"), level(c("price"), c("size")).alias("bids"), level(c("price"), c("size")).alias("asks")]
+    return trades.select(F.when(c("trade_id") % 101 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(*fields))).alias("value"))
 
 
+@query(
+    "s5_route_market_events",
+    T + f"SELECT kind, count(*) AS n, {r6({'total': 'sum(CASE kind ' + ' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {sql}' for k, (_, sql) in ROUTED.items()) + ' END)'})} FROM (SELECT *, {KINDS}[CAST(trade_id % 7 + 1 AS INT)] AS kind FROM trades WHERE trade_id % 101 <> 0) WHERE kind IS NOT NULL GROUP BY 1",
+)
+def s5(spark, d):
+    routed = N.route_market_events(wire_events(V.trades(spark, d)))
+    parts = [routed[k].select(F.lit(k).alias("kind"), F.expr(told).cast("double").alias("x")) for k, (told, _) in ROUTED.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
+
+
+@query("s13_append", T + f"SELECT category, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, {r6({'volume': 'sum(notional)'})}, CASE WHEN dayofmonth(ts) <= 15 THEN 'first' ELSE 'second' END AS batch FROM trades GROUP BY 1, 2, 5")
+def s13(spark, d):
+    """Daily reports in two batches, each of them appended twice, as after a failure."""
+    reports = V.trades(spark, d).groupBy("category", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("notional").alias("volume"))
+    table = f"{folders.new(spark, 'reports')}/table"
+    for batch, early in (("first", True), ("second", False), ("first", True), ("second", False)):
+        N.append(reports.where((F.dayofmonth("day") <= 15) == F.lit(early)), table, batch)
+    return N.appended(spark, table)

@@ -33,8 +33,13 @@ def query(name: str, sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # expressions take the zone when they are analysed, which is here
+            zone = spark.conf.get("spark.sql.session.timeZone")
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return plain(f(spark, sf_dir))
+            try:
+                return plain(f(spark, sf_dir))
+            finally:
+                spark.conf.set("spark.sql.session.timeZone", zone)
 
         QUERIES[name] = run
         if sql:

@@ -259,7 +259,20 @@ def a14(spark, d):
     return P.breakdown_intervals(contrarian(spark, d), F.col("category")).select("factor", "n", "wins", "ci_low", "ci_high", "win_rate")
 
 
-@query("a14_resampled_means")
+GAIN = "CASE WHEN outcome_won THEN 1 - price ELSE -price END"
+WEIGHT = " + ".join(f"CASE WHEN u >= {share!r} THEN 1 ELSE 0 END" for share in S.POISSON)
+
+
+@query(
+    "a14_resampled_means",
+    WITH
+    + f""", e AS (SELECT category, trade_id, {GAIN} AS gain FROM contrarian WHERE {RESOLVED}),
+h AS (SELECT category, gain, b, ((trade_id % {S.PRIME}) * {S.FACTORS[0]} % {S.PRIME} + b * {S.FACTORS[1]}) % {S.PRIME} * {S.FACTORS[2]} % {S.PRIME} AS h FROM e, (SELECT unnest(generate_series(1, 1000)) AS b)),
+u AS (SELECT category, gain, b, xor(h, h >> 15) % {S.PRIME} * {S.FACTORS[3]} % {S.PRIME} / {S.PRIME} AS u FROM h),
+m AS (SELECT category, b, sum(gain * w) / nullif(sum(w), 0) AS m FROM (SELECT category, gain, b, {WEIGHT} AS w FROM u) GROUP BY 1, 2),
+i AS (SELECT category, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m GROUP BY 1)
+SELECT category, n, {r6({"mean": "mean", "ci_low": "ci_low", "ci_high": "ci_high"})} FROM (SELECT category, count(*) AS n, avg(gain) AS mean FROM e GROUP BY 1) JOIN i USING (category)""",
+)
 def a14_means(spark, d):
     """Returns by category, resampled: unlike win rates, their distribution has no closed form."""
     gain = F.when(F.col("outcome_won"), 1 - F.col("price")).otherwise(-F.col("price"))

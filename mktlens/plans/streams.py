@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import features as X
+from ..sources import folders
 from ..sources import views as V
 from ..streaming import ordered as OR
 from ..streaming import streams as ST
@@ -114,7 +115,7 @@ def st5(spark, d):
     FULL + f"SELECT trade_id, token_id, strength, false AS in_no_trade_zone, {r6({'composite': 'composite'})} FROM (SELECT *, {STRENGTH} AS strength FROM scored) WHERE strength <> 'none' AND NOT s <= 120",
 )
 def st7(spark, d):
-    books, wallets, markets = (ST.written(df) for df in (X.book_metrics(V.book_levels(spark, d)), V.wallets(spark, d), V.markets(spark, d)))
+    books, wallets, markets = (folders.cut(df) for df in (X.book_metrics(V.book_levels(spark, d)), V.wallets(spark, d), V.markets(spark, d)))
 
     def score(trades):
         return S.with_scores(X.feature_vectors(trades, books, wallets, markets)).select("trade_id", "ts", "token_id", "composite", "strength", "in_no_trade_zone")

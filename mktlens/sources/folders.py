@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
 
@@ -37,12 +37,31 @@ def new(spark: SparkSession, kind: str) -> str:
     return folder
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to a new folder and read again: what reads it more than once computes it once, and a lost executor costs none of what led to it."""
+    folder = new(df.sparkSession, "table")
+    df.write.mode("append").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """What a folder holds."""
     files, path = _at(spark, folder)
     return [str(entry.getPath().getName()) for entry in files.listStatus(path)] if files.exists(path) else []
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _at(spark, folder)
+    return bool(files.exists(path))
+
+
+def rename(spark: SparkSession, folder: str, name: str) -> bool:
+    """Give a folder another name, which must not be taken."""
+    files, path = _at(spark, folder)
+    target = _at(spark, name)[1]
+    return not files.exists(target) and bool(files.rename(path, target))
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     files, path = _at(spark, folder)
     files.delete(path, True)

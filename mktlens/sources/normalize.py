@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import folders
+
 MONTHS = "(January|February|March|April|May|June|July|August|September|October|November|December)"
 
 
@@ -114,9 +118,28 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str])
     return o.join(n, on, "full_outer").select(*(F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys), *(pick(c).alias(c) for c in old.columns if c not in keys))
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Reports and alerts are appended as Parquet."""
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, batch: str) -> bool:
+    """Append df to the table at `path` as the batch of that name, once: a batch that is there already adds nothing, and False is returned.
+
+    A batch's files are written to a folder that nobody reads yet, and count from when that is
+    renamed, in one step; a batch that failed half-way leaves none and can be appended again. Of two
+    writers of one batch the second one's rename fails.
+    """
+    if folders.exists(df.sparkSession, f"{path}/batch={batch}"):
+        return False
+    pending = f"{path}/_pending-{uuid.uuid4().hex}"
+    df.write.parquet(pending)
+    return folders.rename(df.sparkSession, pending, f"{path}/batch={batch}")
+
+
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches, with the name of each one's batch; folders that begin with an underscore are no batches."""
+    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append what a stream holds to a table, a batch for each micro-batch: one that is replayed after a failure adds no row."""
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, epoch: append(df, path, f"{epoch:012d}") and None).start().awaitTermination()
 
 
 def load_results(raw: DataFrame) -> DataFrame:

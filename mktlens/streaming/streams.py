@@ -129,10 +129,3 @@ def rescored(spark: SparkSession, trades: DataFrame, score: Callable[[DataFrame]
 
     run_once(trades, batch, "append", at)
     return _latest(spark.read.parquet(f"{at}/out"), key)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared folder: for what each micro-batch joins with."""
-    at = folders.new(df.sparkSession, "static")
-    df.write.mode("append").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -110,7 +110,7 @@ def rows_of(frame):
     return sorted((tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in row) for row in values), key=str)
 
 
-CHECKED = ["a5_correlation_summary", "w24_contrarian_events", "a24_grid_search_all", "a25_information_ratio", "a9_w13_breakdown_liquidity", "st2_tumbling_bars", "a10_vpin", "f15_f19_scores", "f20_f21_decisions", "w16_w17_running_bankroll", "j3_as_of_book", "st1_ingest", "p1_market_filter", "s10_historical_trades"]
+CHECKED = ["a5_correlation_summary", "w24_contrarian_events", "a24_grid_search_all", "a25_information_ratio", "a9_w13_breakdown_liquidity", "st2_tumbling_bars", "a10_vpin", "f15_f19_scores", "f20_f21_decisions", "w16_w17_running_bankroll", "j3_as_of_book", "st1_ingest", "p1_market_filter", "s10_historical_trades", "s5_route_market_events", "s13_append", "a32_percentile_rank", "a32_quantile_sketch", "a30_incremental_report", "w19_post_trade_impact", "w7_j6_j7_price_and_flow", "w11_hawkes_intensity", "w1_w4_rolling_size", "w21_triggering_trades", "w6_size_ranks", "a22_impact_by_size", "a14_resampled_means", "st4_token_state"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
