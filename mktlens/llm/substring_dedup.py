@@ -9,9 +9,9 @@ only repeat if its anchor occurs more than once. Anchors change every few words;
 first, and the windows of repeated anchors, all of them, are hashed and counted after that. The
 filter loses nothing.
 
-Tasks merge equal hashes of their own texts before a shuffle, so that a passage that most
-documents share is one row of each task's step. What a task knows to be repeated by then goes on
-under a key of its own, which spreads it.
+Tasks merge equal hashes of their own texts before a shuffle, and remember what they have sent, so
+that a passage that most documents share is a row or two of each task. What a task knows to be
+repeated by then goes on under a key of its own, which spreads it.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents, gram_hashes, mix, steps, text_bytes, word_hashes, word_spans
 
 WINDOW, RUN = 20, 6
+#: Hashes that a task remembers; beyond these it starts anew, and sends some rows again.
+REMEMBERED = 1 << 22
 
 
 class Words:
@@ -73,7 +75,10 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
     """doc_id and anchors (array<long>) of the documents that hold anchors which occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = often = np.empty(0, np.uint64)  # anchors sent once, and those sent as repeated
         for batch in steps(batches):
+            if len(once) + len(often) > REMEMBERED:
+                once = often = np.empty(0, np.uint64)
             ids, words = batch.column("doc_id").to_numpy(zero_copy_only=False), Words(batch.column("text"), window)
             runs, anchors, windows = words.anchors()
             if not len(anchors):
@@ -87,11 +92,15 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
             change = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
             runs = np.sort(runs)
             twice = np.searchsorted(runs, anchors[change], side="right") - np.searchsorted(runs, anchors[change]) > 1
-            often = np.repeat(twice, np.diff(np.append(change, len(anchors))))
-            # one row for each anchor, and one under a spread key for each document of an anchor that repeats here
-            none = pa.nulls(len(change), pa.int64())
-            yield _rows(key=anchors[change].view(np.int64), doc_id=doc_id[change], n=np.where(twice, 2, 1).astype(np.int32), known=none)
-            anchors, doc_id = anchors[often], doc_id[often]
+            each = anchors[change]
+            met, done = _within(each, once), _within(each, often)
+            again = np.repeat(twice | met | done, np.diff(np.append(change, len(anchors))))
+            # one row for each anchor, until it is known to repeat, and one under a spread key for each document of an anchor that repeats
+            send = change[~done]
+            yield _rows(key=anchors[send].view(np.int64), doc_id=doc_id[send], n=np.where(twice, 2, 1).astype(np.int32)[~done], known=pa.nulls(len(send), pa.int64()))
+            once = _merged(once, each[~met & ~done & ~twice])
+            often = _merged(often, each[(met | twice) & ~done])
+            anchors, doc_id = anchors[again], doc_id[again]
             yield _rows(key=_spread(anchors, doc_id).view(np.int64), doc_id=doc_id, n=np.full(len(anchors), 2, np.int32), known=anchors.view(np.int64))
 
     seen = docs.mapInArrow(run, "key long, doc_id long, n int, known long")
@@ -104,6 +113,7 @@ def later_windows(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, starts (array<int>: indices of first words) of windows that also start earlier; docs: doc_id, text, anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, sent_id, sent_at = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)  # windows and their earliest places
         for batch in steps(batches):
             batch, ids = _by_id(batch)
             words = Words(batch.column("text"), window)
@@ -124,7 +134,23 @@ def later_windows(docs: DataFrame, window: int) -> DataFrame:
             # a document repeated with its id is no earlier one
             group = np.flatnonzero(first)[np.cumsum(first) - 1]
             late = (doc_id != doc_id[group]) | (start != start[group])
-            yield _rows(key=hashes[first].view(np.int64), doc_id=doc_id[first], at=start[first].astype(np.int32))
+            if len(sent) > REMEMBERED:
+                sent, sent_id, sent_at = sent[:0], sent_id[:0], sent_at[:0]
+            one = np.flatnonzero(first)
+            there = np.searchsorted(sent, hashes[one])
+            known = _within(hashes[one], sent)
+            there = np.where(known, there, 0)
+            before_id, before_at = (np.where(known, c[there], 0) if len(sent) else np.zeros(len(one), np.int64) for c in (sent_id, sent_at))
+            later = known & ((before_id < doc_id[one]) | ((before_id == doc_id[one]) & (before_at < start[one])))
+            same = known & (before_id == doc_id[one]) & (before_at == start[one])
+            late[one[later]] = True
+            send = one[~later & ~same]
+            yield _rows(key=hashes[send].view(np.int64), doc_id=doc_id[send], at=start[send].astype(np.int32))
+            earlier = known & ~later & ~same
+            sent_id[there[earlier]], sent_at[there[earlier]] = doc_id[one[earlier]], start[one[earlier]]
+            new = one[~known]
+            at = np.searchsorted(sent, hashes[new])
+            sent, sent_id, sent_at = np.insert(sent, at, hashes[new]), np.insert(sent_id, at, doc_id[new]), np.insert(sent_at, at, start[new])
             hashes, doc_id, start = hashes[late], doc_id[late], start[late]
             # below 0: known to start earlier elsewhere
             yield _rows(key=_spread(hashes, doc_id + start).view(np.int64), doc_id=doc_id, at=(-1 - start).astype(np.int32))
@@ -139,6 +165,11 @@ def _pair(value: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(value ^ mix(row.astype(np.uint64) + np.uint64(1)))
 
 
+def _merged(ordered: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Both as one ordered array; more is in order, too."""
+    return np.insert(ordered, np.searchsorted(ordered, more), more)
+
+
 def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), dtype=bool)

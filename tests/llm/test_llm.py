@@ -87,6 +87,24 @@ def test_substring_dedup(docs, window):
     assert substring_dedup.substring_dedup(empty(docs), window).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1, 0])
+def test_substring_dedup_over_steps_of_a_task(spark, order):
+    """What a task remembers from batch to batch changes nothing, whatever the order of documents."""
+    rng = np.random.default_rng(5)
+    passages = [" ".join(f"p{k}w{rng.integers(40)}" for _ in range(30)) for k in range(3)]
+    texts = [(i, " ".join(p for p in (f"own{i} a{i % 4} b", passages[0], passages[1 + i % 2] if i % 3 else "", f"end{i}") if p)) for i in range(40)]
+    texts.sort(key=lambda r: order * r[0] if order else hash(str(r[0] * 7919 % 41)))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "3")
+    try:
+        docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(docs, 8).collect()}
+    finally:
+        spark.conf.set(batch, before)
+    assert got == {i: x for i, x in brute_removed(sorted(texts), 8).items() if x[0]} and len(got) > 30
+
+
 def test_substring_query(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     expected = brute_removed(texts, 20)
