@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import folders
+
 #: Bytes of text that one vectorised step handles at once; a longer text is handled alone.
 STEP_BYTES = 2 << 20
 
@@ -24,29 +24,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where none is named and all runs in one process."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
-            raise RuntimeError("name a folder that the whole cluster shares in spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="mktlens-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 class Scratch:
     """Tables of one run in the shared folder.
 
     A table cuts the lineage: a lost executor costs none of what led to it, and Spark plans what
     follows by its real size. The shuffles that made it go with its statement, and the table goes
-    when it is dropped, so that disk holds only what is still to be read.
+    when it is dropped, so that disk holds only what is still to be read. What a result still reads
+    goes with folders.clear(), or with the session.
     """
 
     #: Settings of a statement that writes a table: shuffles go with it, and rows, which may hold long texts, go to Python in small batches.
     SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, folders.new(spark, "tables")
         self.tables: list[DataFrame] = []
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -66,8 +57,7 @@ class Scratch:
         """Delete tables that nothing will read any more."""
         for table in tables:
             at = next(k for k, known in enumerate(self.tables) if known is table)
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{at}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            folders.delete(self.spark, f"{self.folder}/{at}")
 
 
 def fold(every: int):
