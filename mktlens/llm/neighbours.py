@@ -3,23 +3,25 @@
 Equal vectors share one node, which keeps the smallest ids that can be asked for, so that a vector
 with very many copies is one node. Nodes are dealt to shards of a fixed size by a hash of their id;
 each shard's graph is built in one task and stored as flat neighbour arrays, one row for each node.
-A query's block visits every shard, and the shards' results are merged. Within a shard, a node is
+Every query visits every shard, and the shards' results are merged; a shard's graph is never copied. Within a shard, a node is
 linked as by insertion in random order: to near and diverse nodes among the earlier ones, whose
 links back are pruned in the same way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SHARD_ROWS, BLOCK_ROWS = 16384, 16384
+SHARD_ROWS = 16384
 #: Links of a node (twice as many in the lowest layer), candidates for them, and breadth of the search.
 LINKS, CANDIDATES, BREADTH = 16, 64, 128
 
@@ -160,33 +162,52 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, breadth: int =
     id and vector counts once. Fewer candidates than k: all of them. Other columns are ignored.
     """
     graphs, shards = index(vectors, k + 1, shard_rows)
-    asked = Scratch(vectors.sparkSession).cut(queries.where(usable(F.col("embedding"))).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).dropDuplicates(["query_id"]))
-    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.where(usable(F.col("embedding"))).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")).dropDuplicates(["query_id"])
+    nodes = graphs.select("shard", "dims", F.lit(0).alias("kind"), "at", "ids", "vector", "flat", "sizes", F.lit(None).cast("long").alias("query_id"))
+    empty = {c: F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in ("at", "ids", "flat", "sizes")}
     asked = asked.select(
-        "query_id",
-        "query",
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to_shard"),
-        F.size("query").alias("to_dims"),
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("to_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("vector").alias("dims"), F.lit(1).alias("kind"), empty["at"], empty["ids"], "vector", empty["flat"], empty["sizes"], "query_id"
     )
 
-    def run(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def matrix(column: pa.Array, dims: int) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(-1, dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts, graph, ids = None, [], None, []
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in ("shard", "dims", "kind")])
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
+            for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                shard, dims, kind = place[:, first].tolist() if last > first else (None, None, None)
+                if kind is None:
+                    continue
+                part = batch.slice(first, last - first)
+                if (shard, dims) != here:
+                    here, parts, graph = (shard, dims), [], None
+                if kind == 0:
+                    parts.append(part)
+                    continue
+                if graph is None and parts:
+                    table = pa.Table.from_batches(parts)
+                    ids, parts = table.column("ids").to_pylist(), []
+                    flat, sizes = ([np.array(v, dtype=np.int32) for v in table.column(c).to_pylist()] for c in ("flat", "sizes"))
+                    graph = Graph(matrix(table.column("vector").combine_chunks(), dims), flat, sizes)
+                if graph is not None:
+                    yield answers(graph, ids, part.column("query_id").to_pylist(), matrix(part.column("vector"), dims))
+
+    def answers(graph: Graph, ids: list[list[int]], query_ids: list[int], queries: np.ndarray) -> pa.RecordBatch:
         out: list[tuple[int, int, float]] = []
-        if len(nodes) and len(asked):
-            nodes = nodes.sort_values("at", ignore_index=True)
-            x, ids = np.stack(nodes["vector"].to_numpy()).astype(np.float64), nodes["ids"].tolist()
-            graph = Graph(x, nodes["flat"].tolist(), nodes["sizes"].tolist())
-            for query_id, q in zip(asked["query_id"].tolist(), asked["query"], strict=True):
-                q = np.asarray(q, dtype=np.float64)
-                found = [node for _, node in graph.search(q, breadth)]
-                exact = np.sqrt(((x[found] - q) ** 2).sum(1)).tolist()
-                rows = sorted((d, int(i)) for d, node in zip(exact, found, strict=True) for i in ids[node] if i != query_id)
-                out += [(query_id, i, d) for d, i in rows[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    met = graphs.groupBy("shard", "dims", "block").cogroup(asked.groupBy("to_shard", "to_dims", "to_block"))
-    found = met.applyInPandas(run, "query_id long, vec_id long, score double")
+        for query_id, q in zip(query_ids, queries, strict=True):
+            found = [node for _, node in graph.search(q, breadth)]
+            exact = np.sqrt(((graph.x[found] - q) ** 2).sum(1)).tolist()
+            rows = sorted((d, int(i)) for d, node in zip(exact, found, strict=True) for i in ids[node] if i != query_id)
+            out += [(query_id, i, d) for d, i in rows[:k]]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["query_id", "vec_id", "score"])
+
+    # a task meets a shard's nodes first and holds their graph, then its queries pass by in batches
+    dealt = nodes.unionByName(asked).repartition("shard", "dims").sortWithinPartitions("shard", "dims", "kind", "at")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
