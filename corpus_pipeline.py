@@ -7,7 +7,6 @@ length, repeated rows, an empty table and columns beyond those of `documents`, w
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mktlens.llm.bpe import vocabulary_text
-from mktlens.llm.common import shared_folder
 from mktlens.llm.exact_dedup import without_copies
 from mktlens.llm.language_id import learned, only_identified
 from mktlens.llm.near_dedup import near_groups
 from mktlens.llm.packing import best_fit_packing
 from mktlens.llm.secrets import redact_secrets
+from mktlens.sources import folders
 
 ORACLE_SQL = None
 
@@ -65,10 +64,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents; each stage's rows are written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over sf_dir's documents; each stage's rows are written to the shared folder and read again, and deleted once the next one's are there."""
+    folder = folders.new(spark, "pipeline")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            folders.delete(spark, f"{folder}/{before}")
+        before = name
     return docs
