@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+#: Settings of a statement that writes a table: shuffles go with it, and rows, which may hold long texts, go to Python in small batches.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS hold for the statements that run within."""
+    before = {name: spark.conf.get(name) for name in SETTINGS}
+    try:
+        for name, value in SETTINGS.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 class Scratch:
     """Tables of one run in the shared folder.
 
@@ -33,23 +51,14 @@ class Scratch:
     goes with folders.clear(), or with the session.
     """
 
-    #: Settings of a statement that writes a table: shuffles go with it, and rows, which may hold long texts, go to Python in small batches.
-    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder = spark, folders.new(spark, "tables")
         self.tables: list[DataFrame] = []
 
     def cut(self, df: DataFrame) -> DataFrame:
         """df, written and read again."""
-        before = {name: self.spark.conf.get(name) for name in self.SETTINGS}
-        try:
-            for name, value in self.SETTINGS.items():
-                self.spark.conf.set(name, value)
+        with small_batches(self.spark):
             df.select("*").write.parquet(f"{self.folder}/{len(self.tables)}")
-        finally:
-            for name, value in before.items():
-                self.spark.conf.set(name, value)
         self.tables.append(self.spark.read.schema(df.schema).parquet(f"{self.folder}/{len(self.tables)}"))
         return self.tables[-1]
 
@@ -118,7 +127,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, STEP_BYTES + 2)
+        size = 1 << n.bit_length()
         _POWERS[:] = [_progression(_BASE, size), _progression(pow(_BASE, -1, 1 << 64), size)]
         if n > 8 * STEP_BYTES:  # a huge text; don't keep its tables
             return _POWERS.pop(0), _POWERS.pop()
