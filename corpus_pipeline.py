@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mktlens.llm.bpe import vocabulary_text
+from mktlens.llm.common import Scratch, small_batches
 from mktlens.llm.exact_dedup import without_copies
 from mktlens.llm.language_id import learned, only_identified
 from mktlens.llm.near_dedup import near_groups
@@ -25,8 +26,13 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told: those with null texts or without a letter go. Rows are judged one by one."""
-    return only_identified(docs, learned(docs))
+    """Documents in which a language can be told: those with null texts or without a letter go. Rows are judged one by one.
+
+    They are written here, where whole rows go to Python in small batches.
+    """
+    with small_batches(spark):
+        model = learned(docs)
+    return Scratch(spark).cut(only_identified(docs, model))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
