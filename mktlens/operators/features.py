@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions.numeric import clamp, seconds_to_close, time_ramp
 from .events import MAD_SCALE
-from .scan import earlier, in_segments, local_window, own, time_segment, with_carried
+from .scan import by_rank, earlier, in_segments, local_window, own, reflected_sums, time_segment, with_carried
 
 _MINUTE = 60_000_000
 
@@ -166,13 +166,20 @@ def hawkes_intensity(trades: DataFrame, base: float = 0.1, jump: float = 0.5, de
 def cusum(series: DataFrame, key: str, order: str, x: str, threshold: float = 5.0) -> DataFrame:
     """key, n, statistic at the end, first place over the threshold (from 1), score, direction.
 
-    Each value is standardised by the mean and deviation so far; S = max(0, S + z) is then P - min(0,
-    running min of P) with P the running sum of z.
+    Each value is standardised by the mean and deviation so far; the statistic is S = max(0, S + z).
+    A key's rows are scanned in segments. Sums are of differences from its first value, so that the
+    deviation of values that have all been equal is 0.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = series.withColumn("_n", F.count(x).over(w)).withColumn("_mean", F.avg(x).over(w)).withColumn("_dev", F.stddev_samp(x).over(w))
-    z = F.when((F.col("_n") >= 2) & (F.col("_dev") > 1e-12), (F.col(x) - F.col("_mean")) / F.col("_dev")).otherwise(0.0)
-    rows = rows.withColumn("_p", F.sum(z).over(w)).withColumn("_s", F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(w)))
+    anchor = F.min_by(x, F.when(F.col(x).isNotNull(), F.col(order))).alias("_anchor")
+    rows = by_rank(series, [key], order, anchor).withColumn("_y", F.col(x) - F.col("_anchor")).withColumn("_yy", F.col("_y") * F.col("_y"))
+    w, before = local_window([key], [order]), earlier([key])
+    sums = {"n": F.count(x), "y": F.sum("_y"), "yy": F.sum("_yy")}
+    local = rows.withColumns({f"_here_{k}": c.over(w) for k, c in sums.items()})
+    rows = with_carried(local, [key], [c.alias(f"_in_{k}") for k, c in sums.items()], {f"_before_{k}": F.sum(f"_in_{k}").over(before) for k in sums})
+    n, total, squares = (F.coalesce(f"_here_{k}", F.lit(0)) + F.coalesce(f"_before_{k}", F.lit(0)) for k in sums)
+    rows = rows.withColumns({"_n": n, "_mean": F.try_divide(total, n), "_dev": F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares - total * F.try_divide(total, n), n - 1)))})
+    z = F.when((F.col("_n") >= 2) & (F.col("_dev") > 1e-12), (F.col("_y") - F.col("_mean")) / F.col("_dev")).otherwise(0.0)
+    rows = reflected_sums(rows.withColumn("_z", z), [key], [order], {"_s": "_z"})
     out = rows.groupBy(key).agg(
         F.max("_n").alias("n"), F.max_by("_s", "_n").alias("statistic"), F.min(F.when(F.col("_s") > threshold, F.col("_n"))).alias("change_at"), F.max_by(x, "_n").alias("_last"), F.avg(x).alias("_all")
     )
@@ -285,11 +292,19 @@ def triggering_trades(trades: DataFrame, minutes: int = 60, least: float = 5000.
 
 
 def ema(df: DataFrame, key: str, order: str, x: str, alpha: float = 0.2) -> DataFrame:
-    """Exponential moving average at the end of each group, from its first value on: a sum with weights that fall from the last row back."""
-    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(x))
-    rows = df.select(key, F.col(x).alias("_x"), (F.row_number().over(w) - 1).alias("_back"), F.lead(F.lit(1)).over(w).isNull().alias("_first"))
-    weight = F.when(F.col("_first"), 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("_back"))
-    return rows.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(weight * F.col("_x")).alias("ema"))
+    """Exponential moving average at the end of each group, from its first value on: a sum with weights that fall from the last row back.
+
+    Rows of a segment are weighted from its end, and the segment's sum by the rows behind it. Rows of
+    one place count in the order of x.
+    """
+    w = Window.partitionBy(key, "_segment").orderBy(F.desc(order), F.desc(x))
+    rows = by_rank(df.select(key, order, x), [key], order).withColumn("_back", F.row_number().over(w) - 1)
+    falling = lambda n: F.pow(F.lit(1 - alpha), n)
+    each = rows.groupBy(key, "_segment").agg(F.count(F.lit(1)).alias("_m"), F.sum(alpha * falling(F.col("_back")) * F.col(x)).alias("_sum"), F.min(F.struct(F.col(order).alias("at"), F.col(x).alias("x"))).alias("_first"))
+    behind = F.coalesce(F.sum("_m").over(Window.partitionBy(key).orderBy(F.desc("_segment")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = each.withColumn("_behind", behind).groupBy(key).agg(F.sum("_m").alias("n"), F.sum(falling(F.col("_behind")) * F.col("_sum")).alias("ema"), F.min("_first").alias("_first"))
+    # the first value counts in full
+    return out.select(key, F.col("n").cast("int").alias("n"), (F.col("ema") + F.coalesce(falling(F.col("n")) * F.col("_first.x"), F.lit(0.0))).alias("ema"))
 
 
 def bars(trades: DataFrame, minutes: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import folders
 from .statistics import auc
 
 FEATURES = ("price", "size_percentile", "size_zscore", "price_trend_30m", "ofi_scaled", "minutes_scaled", "is_tail_n", "is_against_ofi_n")
@@ -27,8 +28,10 @@ def logistic_report(events: DataFrame, penalty: float = 0.01) -> DataFrame:
     days = rows.groupBy("day").agg(F.count(F.lit(1)).alias("m"))
     share = F.sum("m").over(Window.partitionBy().orderBy("day")) / F.sum("m").over(Window.partitionBy())
     part = F.when(share <= 0.6, "train").when(share <= 0.8, "validation").otherwise("test")
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.join(days.select("day", part.alias("part")), "day"))
-    train = rows.where("part = 'train'").cache()
+    # read several times and by each round of the fit
+    rows = folders.cut(rows.join(days.select("day", part.alias("part")), "day").select(*FEATURES, "outcome_won", "label", "part"))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows)
+    train = rows.where("part = 'train'")
     empty = events.sparkSession.createDataFrame([], "name string, value double")
     if rows.count() < 50 or train.select("label").distinct().count() < 2:
         return empty

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from .performance import event_metrics
 
 WARNING, CRITICAL, LEAST = 1.5, 2.5, 20
@@ -52,14 +53,13 @@ def rolling_win_rate(events: DataFrame, by: str, window: int = 10) -> DataFrame:
 def page_hinkley(series: DataFrame, by: str, x: str, place: str, drift: float = 0.01, threshold: float = 0.5) -> DataFrame:
     """Two-sided cumulative sums against the mean of the first third, and the first place over the threshold.
 
-    S = max(0, S + step) is P - min(0, running min of P) with P the running sum of the steps, so
-    three windows take the place of the recursion. place counts from 0. None below 5 values.
+    place counts from 0. None below 5 values. A group's rows are scanned in segments; its size and
+    the mean of its first third come from grouped sums.
     """
-    here, order = Window.partitionBy(by), Window.partitionBy(by).orderBy(place)
-    m = F.count(F.lit(1)).over(here)
-    rows = series.withColumn("m", m).where("m >= 5").withColumn("target", F.avg(F.when(F.col(place) < F.floor(F.col("m") / 3), F.col(x))).over(here))
-    for name, step in (("plus", F.col(x) - F.col("target") - drift), ("minus", F.col("target") - F.col(x) - drift)):
-        rows = rows.withColumn("p", F.sum(step).over(order)).withColumn(name, F.col("p") - F.least(F.lit(0.0), F.min("p").over(order)))
+    rows = scan.by_rank(series, [by], place, F.count(F.lit(1)).alias("m")).where("m >= 5")
+    target = rows.where(F.col(place) < F.floor(F.col("m") / 3)).groupBy(by).agg(F.avg(x).alias("target"))
+    rows = rows.join(target, by, "left").withColumns({"_up": F.col(x) - F.col("target") - drift, "_down": F.col("target") - F.col(x) - drift})
+    rows = scan.reflected_sums(rows, [by], [place], {"plus": "_up", "minus": "_down"})
     over = F.when((F.col("plus") > threshold) | (F.col("minus") > threshold), F.col(place))
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(over).alias("change_at"), F.max("plus").alias("max_plus"), F.max("minus").alias("max_minus")).withColumn("changed", F.col("change_at").isNotNull())
 

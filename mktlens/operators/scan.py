@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
+#: Parts into which by_rank cuts a key's rows.
+PARTS = 32
 #: Seconds in a segment of time, unless frames need longer ones.
 SEGMENT_S = 3600
 
@@ -20,6 +22,16 @@ def time_segment(us: Column, seconds: int = SEGMENT_S) -> Column:
     return F.floor(us / F.lit(seconds * MICROS)).cast("long")
 
 
+def by_rank(df: DataFrame, keys: list[str], order: str, *more: Column) -> DataFrame:
+    """df in segments (_segment) of about as many rows of a key each, at sampled bounds of order; rows of one place stay together.
+
+    more: further aggregates of a key that its rows are to carry. Keys are not null.
+    """
+    bounds = F.percentile_approx(order, F.array(*(F.lit(k / PARTS) for k in range(1, PARTS))), F.lit(1000)).alias("_bounds")
+    rows = df.join(df.groupBy(*keys).agg(bounds, *more), keys)
+    return rows.withColumn("_segment", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
+
+
 def local_window(keys: list[str], order: list) -> Window:
     """Rows of a segment up to the current one."""
     return Window.partitionBy(*keys, "_segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -47,6 +59,27 @@ def running_sum(rows: DataFrame, keys: list[str], order: list, x: str, name: str
     return out.withColumn(name, F.col("_here") + F.coalesce("_before", F.lit(0))).drop("_here", "_before")
 
 
+def reflected_sums(rows: DataFrame, keys: list[str], order: list, steps: dict[str, str]) -> DataFrame:
+    """rows (with _segment, which grows with order) and, by name, S = max(0, S + step) after each row, from 0 on.
+
+    S is P - min(0, running min of P) with P the running sum of the steps, whose nulls count as 0. A
+    segment tells its sum and how low its own running sum gets.
+    """
+    here, before, local, summary = local_window(keys, order), earlier(keys), rows, []
+    for name, step in steps.items():
+        local = local.withColumn(f"_{name}_p", F.coalesce(F.sum(step).over(here), F.lit(0.0)))
+        local = local.withColumn(f"_{name}_low", F.min(f"_{name}_p").over(here))
+        summary += [F.coalesce(F.sum(step), F.lit(0.0)).alias(f"_{name}_total"), F.min(f"_{name}_p").alias(f"_{name}_least")]
+    each = local.groupBy(*keys, "_segment").agg(*summary)
+    for name in steps:
+        each = each.withColumn(f"_{name}_before", F.coalesce(F.sum(f"_{name}_total").over(before), F.lit(0.0)))
+        each = each.withColumn(f"_{name}_floor", F.least(F.lit(0.0), F.min(F.col(f"_{name}_before") + F.col(f"_{name}_least")).over(before)))
+    each = each.select(*keys, "_segment", *(f"_{name}_{c}" for name in steps for c in ("before", "floor")))
+    out = local.join(each, [*keys, "_segment"])
+    reflected = {n: F.col(f"_{n}_before") + F.col(f"_{n}_p") - F.least(F.col(f"_{n}_floor"), F.col(f"_{n}_before") + F.col(f"_{n}_low")) for n in steps}
+    return out.withColumns(reflected).drop(*(f"_{name}_{c}" for name in steps for c in ("p", "low", "before", "floor")))
+
+
 def in_segments(df: DataFrame, us: Column, back_s: float, ahead_s: float = 0.0, seconds: int | None = None) -> DataFrame:
     """df's rows in their segments of time (_segment, _own) and once more in each one whose frames reach them.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mktlens.operators import buckets as B
 from mktlens.operators import features as X
+from mktlens.operators import models, monitoring
 from mktlens.operators import order as O
 from mktlens.operators import portfolio as P
 from mktlens.operators import scan
@@ -80,6 +81,99 @@ def test_running_totals_over_segments(spark, monkeypatch):
             assert (r["bankroll"], r["peak"], r["drawdown"], r["max_drawdown"], r["losses_in_row"]) == pytest.approx((bank, peak, (peak - bank) / peak, worst, run))
 
 
+@pytest.fixture(scope="module")
+def series():
+    """A hot key whose level shifts, one of equal values at first, one with nulls, and short ones: key, place, value."""
+    rng = random.Random(8)
+    rows = [("hot", k, rng.gauss(0.5, 0.2) + (0.3 if k > 400 else 0.0)) for k in range(700)]
+    rows += [("flat", k, 0.1 if k < 50 else 0.1 + rng.random()) for k in range(90)]
+    rows += [("gaps", k, None if k % 5 == 0 else rng.random()) for k in range(80)]
+    return rows + [(f"short{n}", k, rng.random()) for n in range(1, 8) for k in range(n)]
+
+
+def of_key(series):
+    return {key: [x for k, _, x in series if k == key] for key, _, _ in series}
+
+
+def test_cusum_over_segments(spark, series):
+    mixed = random.Random(1).sample(series, len(series))
+    got = {r["key"]: r for r in X.cusum(spark.createDataFrame(mixed, "key string, place int, x double"), "key", "place", "x").collect()}
+    assert set(got) == set(of_key(series))
+    for key, xs in of_key(series).items():
+        seen, s, change = [], 0.0, None
+        for x in (x for x in xs if x is not None):
+            seen.append(x)
+            dev = statistics.stdev(seen) if len(seen) > 1 else 0.0
+            s = max(0.0, s + ((x - statistics.fmean(seen)) / dev if dev > 1e-12 else 0.0))
+            change = change or (len(seen) if s > 5 else None)
+        assert (got[key]["n"], got[key]["change_at"]) == (len(seen), change), key
+        assert got[key]["statistic"] == pytest.approx(s, abs=1e-6), key
+        last_above = seen[-1] > statistics.fmean(seen)
+        assert got[key]["direction"] == ("none" if s < 2 else "increase" if last_above else "decrease")
+
+
+def test_page_hinkley_over_segments(spark, series):
+    known = [(key, k, x) for key, xs in of_key([r for r in series if r[2] is not None]).items() for k, x in enumerate(xs)]
+    rows = spark.createDataFrame(random.Random(2).sample(known, len(known)), "key string, place int, x double")
+    got = {r["key"]: r for r in monitoring.page_hinkley(rows, "key", "x", "place").collect()}
+    assert set(got) == {key for key, xs in of_key(known).items() if len(xs) >= 5}
+    for key, r in got.items():
+        xs = of_key(known)[key]
+        target = statistics.fmean(xs[: len(xs) // 3])
+        plus = minus = most = least = 0.0
+        change = None
+        for k, x in enumerate(xs):
+            plus, minus = max(0.0, plus + x - target - 0.01), max(0.0, minus + target - x - 0.01)
+            most, least = max(most, plus), max(least, minus)
+            change = k if change is None and max(plus, minus) > 0.5 else change
+        assert (r["n"], r["change_at"], r["changed"]) == (len(xs), change, change is not None), key
+        assert (r["max_plus"], r["max_minus"]) == pytest.approx((most, least)), key
+
+
+def test_ema_over_segments(spark, series):
+    known = [r for r in series if r[2] is not None] + [("hot", 699, 0.01), ("hot", 0, 0.9)]  # rows of one place count in the order of x
+    got = {r["key"]: r for r in X.ema(spark.createDataFrame(random.Random(3).sample(known, len(known)), "key string, place long, x double"), "key", "place", "x", 0.2).collect()}
+    for key in of_key(known):
+        xs = [x for _, x in sorted((k, x) for one, k, x in known if one == key)]
+        value = xs[0]
+        for x in xs[1:]:
+            value += 0.2 * (x - value)
+        assert (got[key]["n"], got[key]["ema"]) == (len(xs), pytest.approx(value)), key
+    assert X.ema(spark.createDataFrame([], "key string, place long, x double"), "key", "place", "x").count() == 0
+
+
+def test_segments_of_ranks_are_even_and_grow(spark, series):
+    rows = scan.by_rank(spark.createDataFrame(series, "key string, place int, x double"), ["key"], "place").where("key = 'hot'").toPandas().sort_values("place")
+    assert rows["_segment"].is_monotonic_increasing and rows["_segment"].nunique() == scan.PARTS
+    assert rows.groupby("_segment").size().max() <= 2 * len(rows) / scan.PARTS
+
+
+def test_logistic_report_is_the_optimum(spark):
+    """Newton's method over the first 60 percent of the days gives the same weights; every part has its area."""
+    rng = np.random.default_rng(7)
+    n = 400
+    x = np.column_stack([rng.random(n), rng.random(n), rng.normal(size=n), rng.normal(size=n) / 10, rng.normal(size=n), rng.random(n), rng.integers(0, 2, n), rng.integers(0, 2, n)]).astype(float)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 2] + x[:, 7] - 1)))).astype(float)
+    day = np.arange(n) // 40
+    rows = [(int(DAY + 86_400 * d), float(r[0]), float(r[1]), float(r[2]), float(r[3]), float(r[4] * 100_000), float(r[5] * 1440), bool(r[6]), bool(r[7]), bool(label)) for d, r, label in zip(day, x, y, strict=True)]
+    rows += [(DAY, 0.5, 0.5, 0.0, 0.0, 0.0, 1.0, False, False, None)] * 5  # not resolved
+    columns = "s long, price double, size_percentile double, size_zscore double, price_trend_30m double, ofi_30m double, minutes_before_close double, is_tail boolean, is_against_ofi boolean, outcome_won boolean"
+    events = spark.createDataFrame(rows, columns).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = {r["name"]: r["value"] for r in models.logistic_report(events).collect()}
+    train = day < 6
+    a, t, w = np.column_stack([x[train], np.ones(train.sum())]), y[train], np.zeros(9)
+    ridge = np.r_[np.full(8, 0.01), 0.0]
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a / len(t) + np.diag(ridge), a.T @ (p - t) / len(t) + ridge * w)
+    assert [got[f"weight_{c}"] for c in models.FEATURES] == pytest.approx(w[:8].tolist(), abs=2e-3)
+    for name, chosen in {"train": train, "validation": (day >= 6) & (day < 8), "test": day >= 8}.items():
+        score = x[chosen] @ w[:8]
+        won, lost = score[y[chosen] == 1], score[y[chosen] == 0]
+        assert got[f"auc_{name}"] == pytest.approx((won[:, None] > lost[None]).mean(), abs=5e-3)
+    assert models.logistic_report(events.limit(40)).count() == 0
+
+
 def test_frames_reach_over_segments(spark, hot):
     rows = scan.in_segments(trades_of(spark, hot), F.unix_micros("ts"), 1800, 600)
     assert scan.own(rows).count() == len(hot) and rows.where("_own").count() == len(hot)
