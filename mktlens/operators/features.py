@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.numeric import clamp, seconds_to_close, time_ramp
+from ..sources import folders
 from .events import MAD_SCALE
 from .scan import by_rank, earlier, in_segments, local_window, own, reflected_sums, time_segment, with_carried
 
@@ -171,6 +172,7 @@ def cusum(series: DataFrame, key: str, order: str, x: str, threshold: float = 5.
     deviation of values that have all been equal is 0.
     """
     anchor = F.min_by(x, F.when(F.col(x).isNotNull(), F.col(order))).alias("_anchor")
+    series = folders.cut(series.select(key, order, x))
     rows = by_rank(series, [key], order, anchor).withColumn("_y", F.col(x) - F.col("_anchor")).withColumn("_yy", F.col("_y") * F.col("_y"))
     w, before = local_window([key], [order]), earlier([key])
     sums = {"n": F.count(x), "y": F.sum("_y"), "yy": F.sum("_yy")}

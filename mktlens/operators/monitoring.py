@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import folders
 from . import scan
 from .performance import event_metrics
 
@@ -43,11 +44,16 @@ def health(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def rolling_win_rate(events: DataFrame, by: str, window: int = 10) -> DataFrame:
-    """Win rate of the last `window` resolved events at each, of groups with twice as many."""
-    order = Window.partitionBy(by).orderBy("ts", "trade_id")
-    rows = events.where("outcome_won is not null").select(by, "ts", "trade_id", F.col("outcome_won").cast("double").alias("won"))
-    rows = rows.withColumn("k", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(by))).withColumn("win_rate", F.avg("won").over(order.rowsBetween(1 - window, 0)))
-    return rows.where((F.col("m") >= 2 * window) & (F.col("k") >= window)).select(by, "trade_id", "ts", (F.col("k") - window).alias("k"), "win_rate")
+    """Win rate of the last `window` resolved events at each, of groups with twice as many.
+
+    A group's events are counted up in segments, and averaged in blocks of places that overlap by a window.
+    """
+    resolved = events.where("outcome_won is not null").select(by, "ts", "trade_id", F.unix_micros("ts").alias("_us"), F.col("outcome_won").cast("double").alias("won"), F.lit(1).alias("_one"))
+    rows = scan.by_rank(folders.cut(resolved), [by], "_us", F.count(F.lit(1)).alias("m")).where(F.col("m") >= 2 * window)
+    rows = scan.in_blocks(scan.running_sum(rows, [by], ["_us", "trade_id"], "_one", "k"), "k", window - 1)
+    last = Window.partitionBy(by, "_segment").orderBy("k").rowsBetween(1 - window, 0)
+    rows = scan.own(rows.withColumn("win_rate", F.avg("won").over(last)))
+    return rows.where(F.col("k") >= window - 1).select(by, "trade_id", "ts", (F.col("k") - (window - 1)).alias("k"), "win_rate")
 
 
 def page_hinkley(series: DataFrame, by: str, x: str, place: str, drift: float = 0.01, threshold: float = 0.5) -> DataFrame:
@@ -56,6 +62,7 @@ def page_hinkley(series: DataFrame, by: str, x: str, place: str, drift: float =
     place counts from 0. None below 5 values. A group's rows are scanned in segments; its size and
     the mean of its first third come from grouped sums.
     """
+    series = folders.cut(series.select(by, place, x))
     rows = scan.by_rank(series, [by], place, F.count(F.lit(1)).alias("m")).where("m >= 5")
     target = rows.where(F.col(place) < F.floor(F.col("m") / 3)).groupBy(by).agg(F.avg(x).alias("target"))
     rows = rows.join(target, by, "left").withColumns({"_up": F.col(x) - F.col("target") - drift, "_down": F.col("target") - F.col(x) - drift})

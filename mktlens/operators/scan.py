@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 #: Parts into which by_rank cuts a key's rows.
 PARTS = 32
+#: Rows in a block of in_blocks.
+BLOCK_ROWS = 4096
 #: Seconds in a segment of time, unless frames need longer ones.
 SEGMENT_S = 3600
 
@@ -93,6 +95,13 @@ def in_segments(df: DataFrame, us: Column, back_s: float, ahead_s: float = 0.0,
     return df.withColumn("_segment", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_segment") == at)
 
 
+def in_blocks(df: DataFrame, place: str, back: int) -> DataFrame:
+    """As in_segments, for frames that reach `back` rows back: blocks of a key's rows by their place, a number from 0 on without gaps."""
+    block = lambda k: F.floor(k / F.lit(BLOCK_ROWS)).cast("long")
+    rows = df.withColumn("_segment", F.explode(F.sequence(block(F.col(place)), block(F.col(place) + F.lit(back)))))
+    return rows.withColumn("_own", F.col("_segment") == block(F.col(place)))
+
+
 def own(df: DataFrame) -> DataFrame:
-    """The rows of in_segments that stand in their own segment."""
+    """The rows of in_segments or in_blocks that stand in their own segment."""
     return df.where("_own").drop("_own", "_segment")

@@ -130,6 +130,23 @@ def test_page_hinkley_over_segments(spark, series):
         assert (r["max_plus"], r["max_minus"]) == pytest.approx((most, least)), key
 
 
+@pytest.mark.parametrize("rows_in_block", [16, 4096])
+def test_rolling_win_rate_over_blocks(spark, monkeypatch, rows_in_block):
+    """Ties in time, events that aren't resolved, groups that are too small."""
+    monkeypatch.setattr(scan, "BLOCK_ROWS", rows_in_block)
+    rng = random.Random(9)
+    rows = [(i, "hot" if i % 5 else f"cold{i // 5 % 2}", DAY + rng.randrange(300), rng.choice((True, True, False, None))) for i in range(600)]
+    rows += [(1000 + i, "exact", DAY + i, i % 3 == 0) for i in range(20)] + [(2000 + i, "few", DAY + i, True) for i in range(19)]
+    events = spark.createDataFrame(random.Random(3).sample(rows, len(rows)), "trade_id long, strategy_id string, s long, outcome_won boolean").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["trade_id"]: (r["strategy_id"], r["k"], r["win_rate"]) for r in monitoring.rolling_win_rate(events, "strategy_id").collect()}
+    expected = {}
+    for key in {r[1] for r in rows}:
+        known = sorted((s, i, won) for i, k, s, won in rows if k == key and won is not None)
+        for n in range(10, len(known) + 1) if len(known) >= 20 else ():
+            expected[known[n - 1][1]] = (key, n - 10, pytest.approx(sum(won for *_, won in known[n - 10 : n]) / 10))
+    assert got == expected and len({x[0] for x in expected.values()}) >= 3
+
+
 def test_ema_over_segments(spark, series):
     known = [r for r in series if r[2] is not None] + [("hot", 699, 0.01), ("hot", 0, 0.9)]  # rows of one place count in the order of x
     got = {r["key"]: r for r in X.ema(spark.createDataFrame(random.Random(3).sample(known, len(known)), "key string, place long, x double"), "key", "place", "x", 0.2).collect()}
