@@ -164,3 +164,13 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarra
     row_end = np.repeat(first[1:], np.diff(first))
     at = np.flatnonzero(np.arange(len(words)) + n <= row_end)
     return rabin_karp(words, at, at + n), at
+
+
+#: For SQL that checks operators: a CTE with the table of CRC-32, and the CRC-32 of a list of bytes by it.
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+)"""
+
+
+def crc_sql(data: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])))"

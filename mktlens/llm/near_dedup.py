@@ -404,3 +404,32 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of documents: three-word shingles, 85 percent."""
     return near_groups(documents(spark, sf_dir), shingle=3, percent=85).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o) AS shingle, coalesce(lead(i, 2) OVER o, 0) > 0 OR n < 3 AND i = 1 AS whole
+  FROM (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words)
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+),
+sets AS MATERIALIZED (SELECT doc_id, shingle, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles WHERE whole),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS one, b.doc_id AS two
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY ALL
+  HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+reached AS (
+  SELECT two AS doc_id, one AS reach FROM links
+  UNION SELECT one, two FROM links
+  UNION
+  SELECT r.doc_id, CASE WHEN l.one = r.reach THEN l.two ELSE l.one END
+  FROM reached r JOIN links l ON r.reach = l.one OR r.reach = l.two
+),
+least AS (SELECT doc_id, min(reach) AS reach FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.reach, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.reach, d.doc_id) AS kept
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, n FROM sets) s USING (doc_id) LEFT JOIN least l USING (doc_id)
+"""

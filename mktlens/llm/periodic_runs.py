@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, gram_hashes, steps, text_bytes, word_hashes, word_spans
+from .common import CRC_TABLE_SQL, crc_sql, documents, gram_hashes, steps, text_bytes, word_hashes, word_spans
 
 #: A run has at least LEAST words and TIMES periods.
 LEAST, TIMES = 24, 3
@@ -240,3 +240,35 @@ def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
     and of its words.
     """
     return digests(periodic_runs(documents(spark, sf_dir), marked_words))
+
+
+ORACLE_SQL = rf"""
+WITH {CRC_TABLE_SQL},
+hashed AS (
+  SELECT doc_id, w, len(w) AS n,
+         {crc_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")} AS h
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), crc_table
+),
+marked AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 1 + (n - CASE WHEN n > 0 THEN (h // 10) % n END) // (3 + (h // 10) % 8) AS p FROM hashed),
+original AS (SELECT doc_id, n, a, p, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM marked),
+words AS MATERIALIZED (
+  SELECT o.doc_id, o.n, o.i, s.word
+  FROM original o JOIN original s ON s.doc_id = o.doc_id AND s.i = CASE WHEN o.i >= o.a THEN o.a + (o.i - o.a) % o.p ELSE o.i END
+),
+equal AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS stretch, x.i
+  FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM equal GROUP BY doc_id, q, stretch),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         first({{'start': start, 'length': length, 'period': period}} ORDER BY length / period DESC, start, period) AS best
+  FROM runs GROUP BY doc_id
+),
+dropped AS (SELECT DISTINCT w.doc_id, w.i FROM words w JOIN runs r ON w.doc_id = r.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -24,5 +24,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op3_secret_scans": secrets.ORACLE_SQL,
+    "op7_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_periodic_runs": periodic_runs.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }

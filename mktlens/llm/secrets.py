@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, steps, text_bytes
+from .common import CRC_TABLE_SQL, crc_sql, documents, steps, text_bytes
 
 HEX_LEAST = 24
 
@@ -199,3 +199,45 @@ def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
         F.sha2(_listed(F.filter("spans", lambda s: s["kind"].isin(KINDS[:3]))), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
     )
+
+
+#: The kinds' expressions for SQL, whose engine knows no lookahead; each has what a match is judged by as its group.
+_SQL_KINDS = {
+    "assign": r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "(AKIA[A-Z0-9]+)",
+    "hex": "([0-9a-f]+)",
+    "github": "gh[oprsu]_([A-Za-z0-9]{36})",
+    "npm": "npm_([A-Za-z0-9]{36})",
+}
+_SQL_MATCHED = "\n  UNION ALL ".join(
+    f"SELECT doc_id, text, {place} AS place, '{kind}' AS kind, regexp_extract_all(text, '{e}') AS whole, regexp_extract_all(text, '{e}', 1) AS body, string_split_regex(text, '{e}') AS between FROM texts" for place, (kind, e) in enumerate(_SQL_KINDS.items(), 1)
+)
+
+ORACLE_SQL = rf"""
+WITH {CRC_TABLE_SQL},
+texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+matched AS (
+  {_SQL_MATCHED}
+),
+placed AS (
+  SELECT doc_id, text, place, kind, unnest(whole) AS match, unnest(body) AS body,
+         unnest(list_transform(range(1, len(whole) + 1), lambda k: length(array_to_string(between[1:k], '')) + length(array_to_string(whole[1:k - 1], '')))) AS start
+  FROM matched WHERE len(whole) > 0 AND (place != 3 OR list_bool_or(list_transform(body, lambda x: length(x) >= {HEX_LEAST})))
+),
+ended AS (SELECT *, start + length(match) AS stop FROM placed),
+sealed AS (
+  SELECT e.*, {crc_sql("list_transform(string_split(left(body, 30), ''), lambda x: unicode(x)::BIGINT)")} AS h
+  FROM ended e, crc_table WHERE place >= 4 AND NOT regexp_matches(substr(text, stop + 1, 1), '[A-Za-z0-9]')
+),
+spans AS (
+  SELECT doc_id, place, kind, start, stop FROM ended WHERE place = 1 AND length(body) >= 6 OR place = 2 AND length(body) >= 20 OR place = 3 AND length(body) >= {HEX_LEAST}
+  UNION ALL
+  SELECT doc_id, place, kind, start, stop FROM sealed
+  WHERE right(body, 6) = array_to_string(list_transform([916132832, 14776336, 238328, 3844, 62, 1], lambda p: substr('{BASE62.decode()}', 1 + (h // p) % 62, 1)), '')
+),
+told AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM spans)
+SELECT d.doc_id, count(*) FILTER (place = 1) AS n_assign, count(*) FILTER (place = 2) AS n_access, count(*) FILTER (place = 3) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, place) FILTER (place <= 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, place), '') AS spans
+FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""

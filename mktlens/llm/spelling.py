@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, steps
+from .common import CRC_TABLE_SQL, Scratch, crc_sql, documents, steps
 
 #: Words have at least LETTERS code points and COUNT occurrences; a form occurs TIMES as often as its variant.
 LETTERS, COUNT, TIMES = 6, 5, 5
@@ -178,3 +178,43 @@ def spelling_variants(docs: DataFrame, change=None) -> DataFrame:
 def op13_spelling_variants(spark, sf_dir: str) -> DataFrame:
     """word, n, n_near, form, form_n and root of every frequent word of documents."""
     return spelling_variants(documents(spark, sf_dir), without_letter)
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+),
+spread AS (SELECT doc_id, run, count(*) AS n FROM found GROUP BY ALL),
+coded AS (
+  SELECT doc_id, run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS bytes
+  FROM spread
+),
+hashed AS (
+  SELECT run, n, {crc_sql('bytes')} AS h FROM coded, crc_table
+),
+counted AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, 2 + h % length(run)) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+),
+less AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i, left(word, i - 1) || substr(word, i + 1) AS rest FROM counted),
+pairs AS (
+  SELECT x.word AS one, y.word AS two FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word != y.word
+  UNION SELECT x.word, c.word FROM less x JOIN counted c ON c.word = x.rest
+  UNION SELECT c.word, x.word FROM less x JOIN counted c ON c.word = x.rest
+),
+near AS (
+  SELECT one AS word, count(*) AS n_near, first({{'word': two, 'n': c.n}} ORDER BY c.n DESC, encode(two)) AS top
+  FROM pairs JOIN counted c ON c.word = two GROUP BY one
+),
+formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 5 * n THEN top.word END AS form, CASE WHEN top.n >= 5 * n THEN top.n END AS form_n
+  FROM counted LEFT JOIN near USING (word)
+),
+followed AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL
+  SELECT f.word, f.next, g.form FROM followed f JOIN formed g ON g.word = f.next
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN followed r ON r.word = f.word AND r.next IS NULL
+"""

@@ -225,3 +225,27 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return whole.join(less, "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("less_sha256", "whole_sha256").alias("kept_sha256")
     )
+
+
+ORACLE_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+),
+windows AS (
+  SELECT doc_id, i, word, count(*) OVER ahead AS size, string_agg(word, ' ') OVER ahead AS passage
+  FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+),
+repeats AS (
+  SELECT doc_id, i, word, size = 20 AND row_number() OVER (PARTITION BY passage, size ORDER BY doc_id, i) > 1 AS again FROM windows
+),
+judged AS (
+  SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM repeats
+)
+SELECT d.doc_id,
+       count(i) AS n_words,
+       count(i) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""
