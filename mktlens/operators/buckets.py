@@ -142,7 +142,8 @@ def volume_buckets(events: DataFrame, by: str, size: float = 50_000.0, span: int
         F.col(by).cast("string").alias("_by"), us.alias("_t"), "trade_id", F.col("notional").alias("_v"), F.coalesce(buy, F.lit(False)).alias("_b"), steps.cast("decimal(20,0)").alias("_x"), time_segment(us).alias("_segment")
     )
     whole, stretch = int(round(size * STEPS)), int(round(size * STEPS)) * span
-    rows = running_sum(rows, ["_by"], ["_t", "trade_id"], "_x", "_s")
+    # a running sum reads its rows twice, and events may be a long plan
+    rows = running_sum(cut(rows), ["_by"], ["_t", "trade_id"], "_x", "_s")
     # written once: each pass below reads it
     rows = rows.withColumn("_g", F.expr(f"_s div {stretch}")).withColumn("_r", (F.col("_s") - F.col("_g") * F.lit(stretch).cast("decimal(20,0)")).cast("long"))
     rows = cut(rows.select("_by", "_g", "_r", "_v", "_b"))
