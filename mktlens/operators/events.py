@@ -41,23 +41,36 @@ def price_and_flow(trades: DataFrame, minutes: int = 30) -> DataFrame:
 
     Frames are open on both sides before a trade, and closed at their end after it. Trades of one
     instant don't see each other. Markets are dealt by segments of time, so a large one is many tasks' work.
+    Spark goes through a sliding frame again for each row, but adds to a growing one, so a frame is
+    the difference of two growing ones. Their sums are decimals: differences are exact, and don't
+    depend on the order in which rows come.
     """
     us = F.unix_micros("ts")
     rows = in_segments(trades, us, minutes * 60, 2 * minutes * 60)
     token = Window.partitionBy("condition_id", "_segment", "token_id").orderBy(us)
     market = Window.partitionBy("condition_id", "_segment").orderBy(us)
-    back = (-minutes * _MINUTE + 1, -1)
     signed = F.when(F.col("side") == "BUY", F.col("notional")).otherwise(-F.col("notional"))
 
+    def before(c: Column, w: Window) -> Column:
+        """A sum or count over the last `minutes`, which the growing frame up to their start doesn't hold yet."""
+        until = lambda end: F.coalesce(c.over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
+        return until(-1) - until(-minutes * _MINUTE)
+
+    def total(x: Column, kind: str, w: Window) -> Column:
+        """NaN where a value of the frame is no decimal."""
+        number = x.try_cast(kind)
+        return F.when(before(F.count(x), w) == before(F.count(number), w), before(F.sum(number), w).cast("double")).otherwise(float("nan"))
+
     def later(m: int) -> Column:
-        best = F.max(F.struct(us.alias("us"), "trade_id", "price")).over(token.rangeBetween(1, m * _MINUTE))
-        return (best["price"] - F.col("price")) / F.col("price")
+        best = F.max(F.struct(us.alias("us"), "trade_id", "price")).over(token.rangeBetween(Window.unboundedPreceding, m * _MINUTE))
+        return F.when(best["us"] > us, (best["price"] - F.col("price")) / F.col("price"))
 
+    mean = F.try_divide(total(F.col("price"), "decimal(18,8)", token), before(F.count("price"), token))
     return own(
         rows.select(
             "*",
-            (F.col("price") - F.coalesce(F.avg("price").over(token.rangeBetween(*back)), F.col("price"))).alias("price_trend_30m"),
-            F.coalesce(F.sum(signed).over(market.rangeBetween(*back)), F.lit(0.0)).alias("ofi_30m"),
+            (F.col("price") - F.coalesce(mean, F.col("price"))).alias("price_trend_30m"),
+            total(signed, "decimal(27,8)", market).alias("ofi_30m"),
             later(minutes).alias("drift_30m"),
             later(2 * minutes).alias("drift_60m"),
         )
