@@ -282,10 +282,18 @@ def feature_vectors(trades: DataFrame, books: DataFrame, wallets: DataFrame, mar
 
 
 def highest_trade(trades: DataFrame, minutes: int = 60, least: float = 500.0) -> DataFrame:
-    """Each trade with the id and notional of the token's highest one in the last hour, from `least` on."""
-    rows = in_segments(trades, F.unix_micros("ts"), minutes * 60)
-    top = F.max(F.when(F.col("notional") >= least, F.struct("notional", F.col("trade_id")))).over(_frame(minutes, "token_id", "_segment"))
-    return own(rows.withColumn("top_trade_id", top["trade_id"]).withColumn("top_notional", top["notional"]))
+    """Each trade with the id and notional of the token's highest one in the last hour, from `least` on.
+
+    An hour is the end of the segments before a trade's own, and what of its own is past. Both are
+    growing frames, one of them back in time, to which Spark adds row by row.
+    """
+    us, keys = F.unix_micros("ts"), ("token_id", "_segment")
+    rows = in_segments(trades, us, minutes * 60, seconds=minutes * 60)  # a segment is no longer than a frame
+    large, first = F.when(F.col("notional") >= least, F.struct("notional", F.col("trade_id"))), Window.unboundedPreceding
+    here = F.max(F.when(F.col("_own"), large)).over(Window.partitionBy(*keys).orderBy(us).rangeBetween(first, 0))
+    rows = rows.withColumn("_before", F.max(F.when(~F.col("_own"), large)).over(Window.partitionBy(*keys).orderBy(-us).rangeBetween(first, int(minutes * _MINUTE))))
+    top = F.greatest(F.col("_here"), F.col("_before"))
+    return own(rows.withColumn("_here", here).withColumns({"top_trade_id": top["trade_id"], "top_notional": top["notional"]}).drop("_here", "_before"))
 
 
 def triggering_trades(trades: DataFrame, minutes: int = 60, least: float = 5000.0, most: int = 3) -> DataFrame:

@@ -1,11 +1,13 @@
 """Frames of time as differences of growing frames, against plain Python with exact fractions."""
 
 import random
+import time
 from fractions import Fraction
 
 from pyspark.sql import functions as F
 
 from mktlens.operators import events as E
+from mktlens.operators import features as X
 
 DAY = 1_704_067_200
 
@@ -39,3 +41,24 @@ def test_sizes_that_are_no_numbers_stay_in_their_frames(spark):
     rows = [(0, "a", 0.0, 0.5, float("nan"), "BUY"), (1, "a", 60.0, 0.5, 1.0, "BUY"), (2, "a", 3600.0, 0.5, 2.0, "SELL"), (3, "a", 3700.0, 0.5, 2.0, "SELL")]
     got = {r["trade_id"]: r["ofi_30m"] for r in E.price_and_flow(trades_of(spark, rows)).collect()}
     assert got[1] != got[1] and (got[0], got[2], got[3]) == (0.0, 0.0, -2.0)
+
+
+def test_highest_trade_over_segments(spark):
+    rng = random.Random(6)
+    rows = [(k, "ab"[k % 5 == 0], rng.choice((rng.randrange(20_000), 1800 * rng.randrange(12))) + 0.0, 0.5, rng.choice((rng.randrange(20) * 50.0, float("nan"), None, 900.0)) if k % 7 == 0 else rng.randrange(20) * 50.0, "BUY") for k in range(600)]
+    nan = lambda v: (v != v, v)
+    for minutes in (60, 1):
+        got = {r["trade_id"]: (r["top_trade_id"], r["top_notional"]) for r in X.highest_trade(trades_of(spark, rows), minutes).collect()}
+        assert len(got) == len(rows)
+        for i, token, s, *_ in rows:
+            frame = [(nan(v), k, v) for k, t, at, _, v, _ in rows if t == token and s - 60 * minutes <= at <= s and v is not None and not v < 500]
+            top = max(frame, key=lambda r: (r[0][0], 0 if r[0][0] else r[2], r[1]), default=None)
+            assert got[i][0] == (top and top[1]) and (top is None or got[i][1] == top[2] or top[2] != top[2])
+
+
+def test_highest_trade_of_a_crowded_hour(spark):
+    """150,000 trades of a token within an hour: about 10**10 steps, if each row goes through its frame."""
+    crowd = spark.range(150_000).select(F.col("id").alias("trade_id"), F.lit("a").alias("token_id"), F.timestamp_micros(F.lit(DAY * 1_000_000) + F.col("id") * 20_000).alias("ts"), (F.col("id") * 7919 % 1000 + 0.0).alias("notional"))
+    start = time.time()
+    assert X.highest_trade(crowd).agg(F.max("top_notional")).first()[0] == 999.0
+    assert time.time() - start < 30
