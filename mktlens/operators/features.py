@@ -193,25 +193,20 @@ def book_metrics(levels: DataFrame) -> DataFrame:
     """One row for each snapshot: best prices, mid, spread, depths, imbalances, thin side, scores.
 
     Depth is the sum of the 5 % and the 10 % band; depth_10 is the plain one. Books with an empty
-    side have null mid and no band depth.
+    side have null mid and no band depth. A book's levels meet in one aggregate as two short arrays,
+    so that no window sorts all levels of a task again.
     """
     keys = ["snapshot_id", "ts", "token_id", "condition_id", "category"]
-    bid = F.col("is_bid")
-    here = Window.partitionBy("snapshot_id")
-    rows = levels.withColumns({"best_bid": F.max(F.when(bid, F.col("price"))).over(here), "best_ask": F.min(F.when(~bid, F.col("price"))).over(here)})
-    rows = rows.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
-    place = F.row_number().over(Window.partitionBy("snapshot_id", "is_bid").orderBy(F.when(bid, -F.col("price")).otherwise(F.col("price"))))
-    rows = rows.withColumn("_place", place)
-
-    def depth(side: Column, part: float) -> Column:
-        near = F.abs(F.col("price") - F.col("mid")) <= F.col("mid") * part + 1e-9
-        return F.coalesce(F.sum(F.when(side & near, F.col("size"))), F.lit(0.0))
-
-    top = lambda side: F.coalesce(F.sum(F.when(side & (F.col("_place") <= 5), F.col("size"))), F.lit(0.0))
-    out = rows.groupBy(*keys, "best_bid", "best_ask", "mid").agg(
-        depth(bid, 0.05).alias("bid_5"), depth(~bid, 0.05).alias("ask_5"), depth(bid, 0.10).alias("bid_10"), depth(~bid, 0.10).alias("ask_10"), top(bid).alias("bid_top5"), top(~bid).alias("ask_top5"),
-        F.sum("size").alias("total_size"),
+    bid, price = F.col("is_bid"), F.col("price")
+    side = lambda c, order: F.sort_array(F.collect_list(F.when(c, F.struct(order.alias("order"), "price", "size"))))
+    rows = levels.groupBy(*keys).agg(
+        F.max(F.when(bid, price)).alias("best_bid"), F.min(F.when(~bid, price)).alias("best_ask"), side(bid, -price).alias("_bids"), side(~bid, price).alias("_asks"), F.sum("size").alias("total_size")
     )
+    rows = rows.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
+    total = lambda side: F.aggregate(side, F.lit(0.0), lambda sum_, level: sum_ + F.coalesce(level["size"].cast("double"), F.lit(0.0)))
+    near = lambda side, part: total(F.filter(side, lambda level: F.abs(level["price"] - F.col("mid")) <= F.col("mid") * part + 1e-9))
+    out = rows.withColumns({f"{name}_{part}": near(f"_{name}s", part / 100) for part in (5, 10) for name in ("bid", "ask")})
+    out = out.withColumns({f"{name}_top5": total(F.slice(f"_{name}s", 1, 5)) for name in ("bid", "ask")}).drop("_bids", "_asks")
     return S.with_book_features(out)
 
 
