@@ -47,13 +47,15 @@ def st3(spark, d):
 
 def replayed_tokens(spark, d, processor, until):
     """Trades and books through a processor. The tables' files may come in any order, so the watermark waits for the whole span of time."""
-    books = X.book_metrics(V.book_levels(spark, d)).where("mid is not null").select("token_id", "snapshot_id", "ts", "mid")
     first, last = V.trades(spark, d).agg(F.min("ts"), F.max("ts")).first()
     seconds = int(max((UNTIL - BEGIN).total_seconds(), (last - first).total_seconds() if first else 0)) + 1
-    rows = OR.token_rows(ST.trade_stream(spark, d), ST.as_stream(books))
+    # nothing comes out before all has been read, and each micro-batch goes to every bucket again, so they are large
+    rows = OR.token_rows(ST.trade_stream(spark, d, REPLAY_FILES), ST.as_stream(V.book_mids(spark, d), REPLAY_FILES))
     return OR.replayed(spark, rows, processor, until, f"{seconds} seconds", seconds)
 
 
+#: The most files in a micro-batch of a replay.
+REPLAY_FILES = 64
 #: The books of the tables lie between these.
 BEGIN, UNTIL = datetime(2024, 1, 1), datetime(2024, 2, 1)
 AS_OF = datetime(2024, 1, 31)

@@ -37,6 +37,9 @@ def token_rows(trades: DataFrame, books: DataFrame | None = None) -> DataFrame:
 class Ordered(StatefulProcessor):
     """Hands a key's rows to released() bucket by bucket, in the order of time, kind and id."""
 
+    #: Rows of a key that are gathered before they go to their buckets.
+    GATHERED = 1 << 18
+
     def __init__(self, width_ms: int = 600_000) -> None:
         self.width_ms = width_ms
 
@@ -49,25 +52,44 @@ class Ordered(StatefulProcessor):
         return (us // (self.width_ms * 1000) + 1) * self.width_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # each call to the state costs more than many rows, so frames are gathered first
+        gathered: list[np.ndarray] = []
         for frame in rows:
             frame = frame[frame["kind"] != TICK]
             record = np.empty(len(frame), dtype=RECORD)
             record["us"] = frame["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
             for c in ("kind", "id", "value"):
                 record[c] = frame[c].to_numpy()
-            buckets = record["us"] // (self.width_ms * 1000)
-            for bucket in np.unique(buckets).tolist():
-                before = b""
-                if self.held.containsKey((bucket,)):
-                    before = bytes(self.held.getValue((bucket,))[0])
-                else:
-                    self.handle.registerTimer((bucket + 1) * self.width_ms)
-                self.held.updateValue((bucket,), (before + record[buckets == bucket].tobytes(),))
-            # a timer that is set while timers expire waits for the next micro-batch, so these are set now
-            for end in self.further_ends(record):
-                self.handle.registerTimer(end)
+            gathered.append(record)
+            if sum(map(len, gathered)) >= self.GATHERED:
+                gathered = [self.thinned(np.concatenate(gathered))]
+                if len(gathered[0]) >= self.GATHERED // 2:
+                    self.hold(gathered.pop())
+        if sum(map(len, gathered)):  # a tick alone leaves nothing to hold
+            self.hold(self.thinned(np.concatenate(gathered)))
         return iter(())
 
+    def hold(self, record: np.ndarray) -> None:
+        """Put rows to those of their buckets; a bucket's timer is set with its first row."""
+        at = record["us"] // (self.width_ms * 1000)
+        buckets, place = np.unique(at, return_inverse=True)
+        parts = np.split(record[np.argsort(place, kind="stable")], np.cumsum(np.bincount(place, minlength=len(buckets)))[:-1])
+        for bucket, part in zip(buckets.tolist(), parts, strict=True):
+            held = self.held.getValue((bucket,))
+            before = b"" if held is None else bytes(held[0])
+            if held is None:
+                self.handle.registerTimer((bucket + 1) * self.width_ms)
+            after = self.thinned(np.concatenate([np.frombuffer(before, dtype=RECORD), part])).tobytes()
+            if held is None or after != before:
+                self.held.updateValue((bucket,), (after,))
+        # a timer that is set while timers expire waits for the next micro-batch, so these are set now
+        for end in sorted(set(self.further_ends(record)) - {(bucket + 1) * self.width_ms for bucket in buckets.tolist()}):
+            self.handle.registerTimer(end)
+
+    def thinned(self, rows: np.ndarray) -> np.ndarray:
+        """The rows that released() has to see, in any order; all of them unless a processor knows better."""
+        return rows
+
     def further_ends(self, rows: np.ndarray) -> list[int]:
         """Ends of buckets, in ms, at which released() is called even if no row falls into them."""
         return []
@@ -76,8 +98,9 @@ class Ordered(StatefulProcessor):
         # timers expire in the order of their times
         end, rows = expiredTimerInfo.getExpiryTimeInMs(), np.empty(0, dtype=RECORD)
         bucket = (end // self.width_ms - 1,)
-        if self.held.containsKey(bucket):
-            rows = np.sort(np.frombuffer(bytes(self.held.getValue(bucket)[0]), dtype=RECORD), order=["us", "kind", "id"])
+        held = self.held.getValue(bucket)
+        if held is not None:
+            rows = np.sort(np.frombuffer(bytes(held[0]), dtype=RECORD), order=["us", "kind", "id"])
             self.held.removeKey(bucket)
         yield from self.released(key[0], rows, end)
 
@@ -166,16 +189,29 @@ class Silence(Ordered):
         # each kind's last row, below 0 once its silence is told; null before the first one
         self.last = handle.getValueState("last", "book long, trade long")
 
-    def further_ends(self, rows: np.ndarray) -> list[int]:
+    def limits_us(self, kinds: np.ndarray) -> np.ndarray:
         limits = np.zeros(TICK, dtype=np.int64)
-        limits[list(self.limits_ms)] = list(self.limits_ms.values())
-        return [self.end_after(us) for us in np.unique(rows["us"] + 1000 * limits[rows["kind"]]).tolist()]
+        limits[list(self.limits_ms)] = [1000 * ms for ms in self.limits_ms.values()]
+        return limits[kinds]
+
+    def thinned(self, rows: np.ndarray) -> np.ndarray:
+        """The first and the last row of each stretch of a kind's limit: rows between them neither begin nor end a silence."""
+        rows = rows[np.lexsort((rows["us"], rows["kind"]))]
+        stretch = rows["us"] // np.maximum(self.limits_us(rows["kind"]), 1)
+        new = np.ones(len(rows) + 1, dtype=bool)
+        new[1:-1] = (rows["kind"][1:] != rows["kind"][:-1]) | (stretch[1:] != stretch[:-1])
+        first, last = new[:-1], new[1:]
+        return rows[first | (last & (rows["us"] != rows["us"][np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]))]
+
+    def further_ends(self, rows: np.ndarray) -> list[int]:
+        width = self.width_ms * 1000
+        return (np.unique((rows["us"] + self.limits_us(rows["kind"])) // width + 1) * self.width_ms).tolist()
 
     def released(self, token: str, rows: np.ndarray, end_ms: int) -> Iterator[pd.DataFrame]:
-        known = self.last.exists()
-        last = dict(zip((BOOK, TRADE), self.last.get() if known else (None, None), strict=True))
+        known = self.last.get()
+        last = dict(zip((BOOK, TRADE), known or (None, None), strict=True))
         out: list[tuple] = []
-        if not known and len(rows) and rows["kind"][0] == TRADE:
+        if known is None and len(rows) and rows["kind"][0] == TRADE:
             out.append((token, self.NAMES[BOOK], None, int(rows["us"][0])))
         for kind, limit_ms in self.limits_ms.items():
             limit, us = 1000 * limit_ms, np.unique(rows["us"][rows["kind"] == kind])
