@@ -2,7 +2,8 @@
 
 Equal values are counted first. Each group's distinct values are then split into ranges at sampled
 bounds, counted up within a range, and offset by the ranges before it: no group is one task's work,
-and how good the bounds are only matters for balance.
+and how good the bounds are only matters for balance. They are written, as what is sampled depends
+on how rows are dealt and must not be sampled twice for one result.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import cut
+
 #: Ranges into which a group's distinct values are split.
 PARTS = 32
 
@@ -22,7 +25,7 @@ def value_counts(df: DataFrame, by: tuple[str, ...], x: str) -> DataFrame:
 def placed(counts: DataFrame, by: tuple[str, ...], x: str, parts: int = PARTS) -> DataFrame:
     """counts (by, x, m) with below (rows with a smaller value) and total (rows of the group)."""
     keys = list(by)
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx(x, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(1000)).alias("_bounds"), F.sum("m").alias("total"))
+    bounds = cut(counts.groupBy(*keys).agg(F.percentile_approx(x, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(1000)).alias("_bounds"), F.sum("m").alias("total")))
     rows = (counts.join(bounds, keys) if keys else counts.crossJoin(F.broadcast(bounds))).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(x)))).drop("_bounds")
     ranges = rows.groupBy(*keys, "_range").agg(F.sum("m").alias("_in"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over `parts` rows

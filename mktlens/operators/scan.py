@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import cut
+
 MICROS = 1_000_000
 #: Parts into which by_rank cuts a key's rows.
 PARTS = 32
@@ -27,10 +29,11 @@ def time_segment(us: Column, seconds: int = SEGMENT_S) -> Column:
 def by_rank(df: DataFrame, keys: list[str], order: str, *more: Column) -> DataFrame:
     """df in segments (_segment) of about as many rows of a key each, at sampled bounds of order; rows of one place stay together.
 
-    more: further aggregates of a key that its rows are to carry. Keys are not null.
+    more: further aggregates of a key that its rows are to carry. Keys are not null. Bounds are
+    written: a scan asks for its rows twice, and sampled again the bounds may be others.
     """
     bounds = F.percentile_approx(order, F.array(*(F.lit(k / PARTS) for k in range(1, PARTS))), F.lit(1000)).alias("_bounds")
-    rows = df.join(df.groupBy(*keys).agg(bounds, *more), keys)
+    rows = df.join(cut(df.groupBy(*keys).agg(bounds, *more)), keys)
     return rows.withColumn("_segment", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
 
 
