@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from ..params import EventFilter, EventParams
 from ..sources.folders import cut
 from .order import placed, quantile, value_counts
-from .scan import in_segments, own
+from .scan import in_segments, own, time_segment
 
 MAD_SCALE = 1.4826
 _MINUTE = 60_000_000
+#: A mean price of doubles is off by less.
+_ROUNDING = 1e-9
 
 
 def size_ranks(trades: DataFrame, keys: tuple[str, ...] = ("condition_id",), x: str = "notional") -> DataFrame:
@@ -77,24 +79,46 @@ def price_and_flow(trades: DataFrame, minutes: int = 30) -> DataFrame:
     )
 
 
+def mean_in_order(rows: DataFrame, trades: DataFrame, minutes: int) -> DataFrame:
+    """condition_id, token_id, ts of the rows and the mean price in the `minutes` before, as a sum of doubles in the order of time.
+
+    For few rows: each goes through its frame. Rows without a price before them are left out.
+    """
+    us, width, at = F.unix_micros("ts"), minutes * 60, F.col("_at")
+    start, key = us - F.lit(minutes * _MINUTE), ["condition_id", "token_id", "ts"]
+    frames = rows.select(*key).distinct().withColumn("_segment", F.explode(F.sequence(time_segment(start, width), time_segment(us, width))))
+    seen = trades.where("price is not null").select("condition_id", "token_id", time_segment(us, width).alias("_segment"), us.alias("_at"), "trade_id", "price")
+    inside = frames.join(seen, ["condition_id", "token_id", "_segment"]).where((at > start) & (at < us))
+    growing = Window.partitionBy(*key).orderBy("_at", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = inside.select(*key, "_at", "trade_id", F.sum("price").over(growing).alias("_sum"))
+    return sums.groupBy(*key).agg((F.max_by("_sum", F.struct("_at", "trade_id")) / F.count(F.lit(1))).alias("mean"))
+
+
 def contrarian_events(trades: DataFrame, markets: DataFrame, wallets: DataFrame, params: EventParams = EventParams()) -> DataFrame:
     """Large buys before the close, with their size, trend, flow, drift, wallet and outcome.
 
     outcome_won is null where the market has no winner. Of trades of one token and instant the last
-    one counts.
+    one counts. Where the trend is at its limit but for rounding, the mean is added up in the order of
+    time, as a sliding average does.
     """
     featured = price_and_flow(size_ranks(trades), params.trend_minutes)
     info = markets.select("condition_id", "end_date", "winning_outcome", "question")
     minutes = (F.unix_micros("end_date") - F.unix_micros("ts")) / F.lit(float(_MINUTE))
-    against_trend, against_flow = F.col("price_trend_30m") < params.against_trend_below, F.col("ofi_30m") < 0
     last = Window.partitionBy("condition_id", "token_id", "ts").orderBy(F.desc("trade_id"))
-    return (
+    large = cut(
         featured.join(info, "condition_id")
         .withColumn("minutes_before_close", minutes)
         .where((F.col("side") == "BUY") & (F.col("notional") >= params.min_notional) & F.col("minutes_before_close").between(0, params.window_minutes))
         .withColumn("_place", F.row_number().over(last))
         .where("_place = 1")
         .drop("_place")
+    )
+    at_limit = large.where(F.abs(F.col("price_trend_30m") - params.against_trend_below) < _ROUNDING)
+    trend = F.coalesce(F.col("price") - F.col("_mean"), "price_trend_30m")
+    against_trend, against_flow = F.col("_trend") < params.against_trend_below, F.col("ofi_30m") < 0
+    return (
+        large.join(mean_in_order(at_limit, trades, params.trend_minutes).withColumnRenamed("mean", "_mean"), ["condition_id", "token_id", "ts"], "left")
+        .withColumn("_trend", trend)
         .join(wallets, "wallet", "left")
         .withColumns(
             {
@@ -107,6 +131,7 @@ def contrarian_events(trades: DataFrame, markets: DataFrame, wallets: DataFrame,
                 "wallet_age_us": F.unix_micros("ts") - F.unix_micros("first_seen_at"),
             }
         )
+        .drop("_mean", "_trend")
     )
 
 
