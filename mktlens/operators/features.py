@@ -234,13 +234,14 @@ def post_trade_impact(trades: DataFrame, books: DataFrame, horizons: tuple[int,
 
     mid_before is that of the last book at or before the trade, mid_<s>s that of the last one within
     s seconds after it (null: none came). impact is the drift at the longest horizon that has one.
+    Of books of one instant the largest snapshot_id counts, before and after alike.
     """
     before = as_of_book(trades.select("trade_id", "token_id", "ts", "side"), books.where("mid is not null"), ("mid",)).withColumnRenamed("mid", "mid_before")
-    tagged = before.select("trade_id", "token_id", "ts", "side", "mid_before", F.lit(None).cast("double").alias("mid"))
-    quotes = books.where("mid is not null").select(F.lit(None).cast("long").alias("trade_id"), "token_id", "ts", F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("mid_before"), "mid")
+    tagged = before.select("trade_id", "token_id", "ts", "side", "mid_before", F.lit(None).cast("long").alias("snapshot_id"), F.lit(None).cast("double").alias("mid"))
+    quotes = books.where("mid is not null").select(F.lit(None).cast("long").alias("trade_id"), "token_id", "ts", F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("mid_before"), "snapshot_id", "mid")
     us = F.unix_micros("ts")
     both = in_segments(tagged.unionByName(quotes), us, 0, max(horizons))
-    known = F.max(F.when(F.col("mid").isNotNull(), F.struct(us.alias("u"), "mid")))
+    known = F.max(F.when(F.col("mid").isNotNull(), F.struct(us.alias("u"), "snapshot_id", "mid")))
     w = Window.partitionBy("token_id", "_segment").orderBy(us)
     rows = own(both.withColumns({f"mid_{s}s": known.over(w.rangeBetween(1, s * 1_000_000))["mid"] for s in horizons})).where("trade_id is not null")
     sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)

@@ -18,3 +18,11 @@ def test_book_metrics_without_a_window(spark):
         3: (0.58, 0.6, 5.0, 0.0, 5.0, 0.0, 14.0, 0.0, 14.0),
     }
     assert got[2]["mid"] is None and round(got[1]["mid"], 6) == 0.51
+
+
+def test_books_of_one_instant_after_a_trade(spark):
+    """The largest snapshot_id counts, not the largest mid, on both sides of a trade."""
+    books = spark.createDataFrame([(1, 5, 0.7), (2, 5, 0.5), (3, 20, 0.6), (4, 20, 0.4), (6, 50, 0.3), (5, 50, 0.9)], "snapshot_id long, s long, mid double").selectExpr("*", "'t' AS token_id", "timestamp_seconds(s) AS ts")
+    trades = spark.sql("SELECT 9L AS trade_id, 't' AS token_id, timestamp_seconds(10) AS ts, 'BUY' AS side")
+    (got,) = X.post_trade_impact(trades, books).collect()
+    assert (got["mid_before"], got["mid_30s"], got["mid_60s"]) == (0.5, 0.4, 0.3)
