@@ -26,16 +26,17 @@ def _sum_if(c: Column, x: Column) -> Column:
 def metric_sums(outcome: Column | None = None) -> list[Column]:
     """Sums over resolved events that all metrics are made of; they combine map-side, and from cell to cell.
 
-    Prices have few digits, so their sums are exact decimals, whatever order they are taken in.
+    Prices have few digits, so their sums are exact decimals, whatever order they are taken in. So
+    are sums of money; configurations that the same events satisfy have equal P&L.
     """
     y = won() if outcome is None else outcome
     gain = F.when(y, 1 - F.col("price")).when(~y, -F.col("price"))
     return [
         F.count(y).alias("n"),
         F.count_if(y).alias("wins"),
-        _sum_if(y.isNotNull(), F.col("notional")).alias("total_notional"),
-        _sum_if(y, F.col("notional") * (1 - F.col("price"))).alias("win_pnl"),
-        _sum_if(~y, -F.col("notional") * F.col("price")).alias("loss_pnl"),
+        *_money("total_notional", y.isNotNull(), F.col("notional")),
+        *_money("win_pnl", y, F.col("notional") * (1 - F.col("price"))),
+        *_money("loss_pnl", ~y, -F.col("notional") * F.col("price")),
         _exact(F.when(y.isNotNull(), F.col("price"))).alias("price_sum"),
         _sum_if(y.isNotNull(), F.col("price") * F.col("notional")).alias("price_notional"),
         _exact(gain).alias("return_sum"),
@@ -49,9 +50,19 @@ def _exact(x: Column) -> Column:
     return F.coalesce(F.sum(x.cast("decimal(18,8)")), F.lit(0).cast("decimal(28,8)"))
 
 
+MONEY = ("total_notional", "win_pnl", "loss_pnl")
+
+
+def _money(name: str, c: Column, x: Column) -> list[Column]:
+    """The exact sum of x where c, and in <name>_rest that of doubles with more than 8 decimal places, NaN and infinite ones."""
+    number = x.try_cast("decimal(27,8)")
+    few = F.coalesce(F.abs(x - number.cast("double")) <= F.abs(x) * 1e-12, F.lit(False))
+    return [F.coalesce(F.sum(F.when(c & few, number)), F.lit(0).cast("decimal(37,8)")).alias(name), _sum_if(c & ~few, x).alias(f"{name}_rest")]
+
+
 def combined_sums() -> list[Column]:
     """metric_sums of groups of groups."""
-    plain = ("n", "wins", "total_notional", "win_pnl", "loss_pnl", "price_sum", "price_notional", "return_sum", "return_squares")
+    plain = ("n", "wins", *MONEY, *(f"{m}_rest" for m in MONEY), "price_sum", "price_notional", "return_sum", "return_squares")
     return [*(F.sum(c).alias(c) for c in plain), F.min("return_min").alias("return_min"), F.max("return_max").alias("return_max")]
 
 
@@ -65,6 +76,7 @@ def metrics(sums: DataFrame, weighted: bool = False) -> DataFrame:
     weighted: the average price is weighted by notional, and Kelly's fraction may be clamped at 1.
     """
     c = F.col
+    sums = sums.withColumns({m: c(m).cast("double") + c(f"{m}_rest") for m in MONEY}).drop(*(f"{m}_rest" for m in MONEY))
     sums = sums.withColumns({"price_sum": c("price_sum").cast("double"), "return_sum": c("return_sum").cast("double")})
     spread = (c("return_squares") - c("return_sum") * c("return_sum") / F.nullif(c("n"), F.lit(0))) / F.nullif(c("n") - 1, F.lit(0))
     sums = sums.withColumns({"mean_return": c("return_sum") / F.nullif(c("n"), F.lit(0)), "std_return": F.when(c("return_min") == c("return_max"), spread * 0.0).otherwise(F.sqrt(F.greatest(spread, F.lit(0.0))))})
